@@ -66,33 +66,53 @@ def passthrough_unit(value: Column, unit: Column, canonical: str) -> Column:
     return _result(value, canonical, F.when(bad, F.concat(F.lit("expected " + canonical + ", got: "), unit)))
 
 
-def whole_number(value: Column) -> Column:
-    """Nearest whole number, ties to even."""
-    return F.bround(value, 0)
+def unit_part(unit: Column) -> Column:
+    """Token of a unit, or one of the words absent, empty, blank, unknown."""
+    text = F.lower(strip(unit))
+    return F.when(unit.isNull(), "absent").when(unit == "", "empty").when(text == "", "blank").otherwise(
+        F.coalesce(lookup(text, dims.UNIT_SPELLINGS), F.lit("unknown")))
 
 
-def convert(field: Column, value: Column, unit: Column) -> Column:
-    """Struct of value, unit and error in the canonical unit of ``field``."""
-    out = _result(value, None, F.concat(F.lit("no conversion rule for: "), field))
+def _factors() -> dict[str, float]:
+    """Factor to the canonical unit by ``field:unit part`` for the fields whose unit must be known."""
+    out = {}
     for name, canonical in dims.CANONICAL_FIELDS:
-        if canonical == "kW":
-            rule = convert_power(value, unit)
-        elif canonical == "kg":
-            rule = convert_mass(value, unit)
-        elif canonical == "%":
-            rule = normalize_efficiency(value, unit)
-        elif canonical is not None:
-            rule = passthrough_unit(value, unit, canonical)
-        elif name == "power_factor":
-            rule = normalize_power_factor(value, unit)
-        elif name in dims.INTEGER_FIELDS:
-            rule = _result(whole_number(value), None, F.lit(None).cast("string"))
+        if canonical in ("kW", "kg"):
+            table = {**(dims.POWER_FACTORS if canonical == "kW" else dims.MASS_FACTORS), "absent": 1.0, "empty": 1.0}
+        elif canonical is not None and canonical != "%":
+            table = {canonical: 1.0, "absent": 1.0}
         else:
             continue
-        out = F.when(field == name, rule).otherwise(out)
+        out.update({f"{name}:{part}": factor for part, factor in table.items()})
     return out
 
 
+def unit_factor(field: Column, part: Column) -> Column:
+    """Factor to the canonical unit; null when the unit does not fit the field."""
+    return F.when(field.isin("efficiency", "power_factor"), F.when(part != "unknown", 1.0)).when(
+        field.isin(dims.INTEGER_FIELDS), 1.0).otherwise(literal_map(F.concat(field, F.lit(":"), part), _factors()))
+
+
+def canonical_value(field: Column, num: Column, part: Column, factor: Column) -> Column:
+    """Value in the canonical unit of the field, given the factor."""
+    above = num > dims.FRACTION_LIMIT
+    return F.when(field == "efficiency", F.round(F.when((part == "%") | above, num).otherwise(num * 100.0), 6)).when(
+        field == "power_factor", F.round(F.when((part == "%") & above, num / 100.0).otherwise(num), 6)).when(
+        field.isin(dims.INTEGER_FIELDS), F.bround(num, 0)).when(
+        field.isin("rated_power", "weight"), F.round(num * factor, 6)).otherwise(num)
+
+
+def convert(field: Column, value: Column, unit: Column) -> Column:
+    """Struct of value, unit and error in the canonical unit of ``field``."""
+    part = unit_part(unit)
+    factor = unit_factor(field, part)
+    known = factor.isNotNull()
+    return F.struct(
+        F.when(known, canonical_value(field, value, part, factor)).alias("value"),
+        F.when(known, literal_map(field, {f: u for f, u in dims.CANONICAL_FIELDS if u})).alias("unit"),
+        F.when(~known, F.concat_ws(" ", F.lit("no conversion for"), field, F.lit("from"), unit)).alias("error"))
+
+
 def is_equivalent(a: Column, unit_a: Column, b: Column, unit_b: Column,
                   tolerance: float = dims.CONFLICT_TOLERANCE) -> Column:
     """Null equals only null; otherwise units must be equal and values within the tolerance."""

@@ -26,13 +26,23 @@ def first_number(col: Column, comma_decimal: bool = False) -> Column:
     return _group(text, FIRST_NUMBER).try_cast("double")
 
 
+def number_of(col: Column) -> Column:
+    """Number of ``number [unit]`` text, else null."""
+    return _group(strip(col), NUMBER_WITH_UNIT).try_cast("double")
+
+
+def unit_of(col: Column) -> Column:
+    """Unit of ``number [unit]`` text, else null."""
+    return _group(strip(col), NUMBER_WITH_UNIT, 2)
+
+
 def parse_numeric(col: Column) -> Column:
     """Struct of number, unit and error for ``number [unit]`` text."""
     text = strip(col)
-    num = _group(text, NUMBER_WITH_UNIT).try_cast("double")
+    num = number_of(col)
     error = F.when(col.isNull(), "no text").when(text == "", "empty text").when(
         num.isNull(), F.concat(F.lit("not a number: "), col))
-    return F.struct(num.alias("num"), _group(text, NUMBER_WITH_UNIT, 2).alias("unit"), error.alias("error"))
+    return F.struct(num.alias("num"), unit_of(col).alias("unit"), error.alias("error"))
 
 
 def parse_ip_rating(col: Column) -> Column:
