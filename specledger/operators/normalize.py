@@ -144,7 +144,8 @@ def _field_aggregates(copies: Column) -> list[Column]:
         F.min_by(F.struct(*[F.col(f"`{c}`") for c in REF_COLUMNS]), order).alias("first_ref"),
         F.min("value_num").alias("min_num"), F.max("value_num").alias("max_num"),
         F.min("value_str").alias("min_str"), F.max("value_str").alias("max_str"),
-        F.sum(F.when(ok, F.col("confidence") * copies)).alias("sum_confidence"),
+        # Exact sums, so that the mean does not depend on the order of the rows.
+        F.sum(F.when(ok, F.col("confidence").cast("decimal(12,6)") * copies)).alias("sum_confidence"),
         F.collect_set("source_type").alias("source_types"),
         F.min_by("value", F.when(kilowatt, F.struct(F.abs("value"), order))).alias("kw_raw"),
     ]
@@ -188,7 +189,7 @@ def assemble_fields(normalized: DataFrame, products: DataFrame, global_normalize
             F.least("min_num", "g_min_num").alias("min_num"), F.greatest("max_num", "g_max_num").alias("max_num"),
             F.least("min_str", "g_min_str").alias("min_str"), F.greatest("max_str", "g_max_str").alias("max_str"),
             F.when(F.col("n_ok") + F.coalesce("g_n_ok", F.lit(0)) > 0,
-                   F.coalesce("sum_confidence", F.lit(0.0)) + F.coalesce("g_sum_confidence", F.lit(0.0)))
+                   F.coalesce("sum_confidence", F.lit(0)) + F.coalesce("g_sum_confidence", F.lit(0)))
             .alias("sum_confidence"),
             F.array_union("source_types", F.coalesce("g_source_types", F.array().cast("array<string>")))
             .alias("source_types"),
@@ -205,7 +206,7 @@ def assemble_fields(normalized: DataFrame, products: DataFrame, global_normalize
         F.when(F.col("n_ok") == 0, "missing").when(F.col("has_conflict"), "conflict")
         .otherwise(F.col("rep_outcome")).alias("outcome"),
         F.when(kept, F.col("rep_num")).alias("value_num"), F.when(kept, F.col("rep_str")).alias("value_str"),
-        F.round(F.col("sum_confidence") / F.col("n_ok"), 4).alias("confidence"),
+        F.round(F.col("sum_confidence").cast("double") / F.col("n_ok"), 4).alias("confidence"),
         "has_conflict", "n_refs", "n_ok", F.array_sort("source_types").alias("source_types"),
         F.when(F.col("n_refs") == 0, "no evidence").when(F.col("n_ok") == 0, "no usable evidence").alias("note"),
         "rep_num", "rep_str", "rep_ref", "first_ref", "kw_raw")

@@ -61,7 +61,8 @@ def _emit(df: DataFrame, findings: list[Column]) -> DataFrame:
     return rows.select("product_id", "_f.*").select(*FINDING)
 
 
-_MISSING = F.col("outcome") == "missing"
+def _missing() -> Column:
+    return F.col("outcome") == "missing"
 
 
 def _field() -> Column:
@@ -75,7 +76,7 @@ def _value_text() -> Column:
 def _units_rule(expected: dict[str, str]) -> Column:
     want = literal_map(_field(), expected)
     same = F.col("canonical_unit").eqNullSafe(want)
-    return F.when(~_MISSING, _finding(
+    return F.when(~_missing(), _finding(
         "SCHEMA_CANONICAL_UNITS", "SCHEMA", F.when(same, "PASS").otherwise("FAIL"),
         F.when(same, "INFO").otherwise("HIGH"), _field(), F.col("canonical_unit"),
         expected=F.concat(F.lit("unit is "), F.coalesce(want, F.lit("none"))),
@@ -84,9 +85,9 @@ def _units_rule(expected: dict[str, str]) -> Column:
 
 def _presence_rule(rule_id: str, category: str, names: list[str], status: str, severity: str) -> Column:
     return F.when(_field().isin(names), _finding(
-        rule_id, category, F.when(_MISSING, status).otherwise("PASS"), F.when(_MISSING, severity).otherwise("INFO"),
+        rule_id, category, F.when(_missing(), status).otherwise("PASS"), F.when(_missing(), severity).otherwise("INFO"),
         _field(), _value_text(), expected="at least one usable fact",
-        explanation=F.when(_MISSING, "no usable fact from any source").otherwise(
+        explanation=F.when(_missing(), "no usable fact from any source").otherwise(
             F.concat(F.col("n_refs").cast("string"), F.lit(" facts, outcome "), F.col("outcome")))))
 
 
@@ -100,7 +101,7 @@ def _important() -> Column:
 
 def _inventory() -> Column:
     optional = ~_field().isin(dims.REQUIRED_FIELDS + dims.IMPORTANT_FIELDS)
-    return F.when(_MISSING & optional, _finding(
+    return F.when(_missing() & optional, _finding(
         "MISSING_DATA_INVENTORY", "MISSING_DATA", "NOT_CHECKED", "LOW", _field(), expected="optional field",
         explanation="optional field without a usable fact"))
 

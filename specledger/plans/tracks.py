@@ -1,9 +1,9 @@
-"""The two tracks end to end, as lazy tables or written stage by stage."""
+"""The two tracks end to end. Each table is built when it is first asked for."""
 
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,76 +13,112 @@ from specledger.session import stage_table, tune
 from specledger.sources.stored import compact_global, split_global
 
 
-@dataclass
 class SpecTrack:
-    """Tables of the specification track."""
-
-    products: DataFrame
-    mapped: DataFrame
-    normalized: DataFrame
-    unmapped: DataFrame
-    global_normalized: DataFrame | None
-    global_unmapped: DataFrame | None
-    fields: DataFrame
-    pairs: DataFrame
-    findings: DataFrame
-    summary: DataFrame
-    parsed: DataFrame | None
-    claims: DataFrame | None
-    attributes: DataFrame
-    claim_results: DataFrame | None
-    reviews: DataFrame
-    scores: DataFrame
-    overall: DataFrame
-    open_conflicts: DataFrame
-    report: DataFrame
-
-
-def spec_track(evidence: DataFrame, products: DataFrame, responses: DataFrame | None = None,
-               folder: str | None = None, has_global: bool = True) -> SpecTrack:
     """Evidence to trust report.
 
-    With a ``folder``, or ``spark.checkpoint.dir`` set, the tables several stages read are written once and read back:
-    normalised facts, fields, pairs, findings and attribute trust. Else everything stays one lazy plan.
+    Tables that several later ones read are written once to the shared stage folder and read back: fields, pairs,
+    findings, answers, attributes and reviews. Without such a folder they stay lazy. Facts are cheap to normalise (one
+    pass without a shuffle), so they are recomputed, not stored.
     """
-    spark = tune(evidence.sparkSession)
-
-    def stage(df: DataFrame, name: str) -> DataFrame:
-        return stage_table(df, name, folder)
-
-    if "normalization_version" not in products.columns:
-        products = products.withColumn("normalization_version", F.lit(dims.NORMALIZATION_VERSION))
-    own, shared = split_global(evidence) if has_global else (evidence, None)
-    mapped = normalize.map_attributes(own)
-    unmapped = normalize.unmapped_evidence(mapped)
-    normalized = stage(normalize.normalize_values(mapped), "normalized")
-    global_normalized = global_unmapped = None
-    if shared is not None:
-        global_mapped = normalize.map_attributes(compact_global(shared))
-        global_normalized = normalize.normalize_values(global_mapped)
-        global_unmapped = normalize.unmapped_evidence(global_mapped)
-    fields = stage(normalize.assemble_fields(normalized, products, global_normalized), "fields")
-    pairs = stage(normalize.conflicts(normalized, fields, global_normalized), "pairs")
-    findings = stage(validate.run_rules(fields, products, pairs, normalized, unmapped, global_normalized,
-                                        global_unmapped), "findings")
-    summary = validate.findings_summary(findings)
-    parsed = claim_rows = claim_results = guesses = answered = None
-    if responses is not None:
-        parsed = stage(claims.parse_responses(responses), "answers")
-        claim_rows = claims.explode_claims(parsed)
-        guesses = claims.inferred_fields(parsed)
-        answered = claims.open_conflicts(parsed, findings)
-    attributes = stage(trust.attribute_trust(fields, findings, guesses), "attributes")
-    if claim_rows is not None:
-        claim_results = trust.claim_trust(claim_rows, attributes)
-    reviews = trust.dedupe_reviews(trust.review_items(attributes, findings, claim_results))
-    scores = trust.trust_score(attributes, fields, summary)
-    overall = trust.overall_trust(scores, attributes, reviews)
-    open_conflicts = trust.unresolved_conflicts(pairs, answered)
-    report = trust.product_report(products, overall, trust.publishable_lists(attributes), open_conflicts)
-    assert spark is not None
-    return SpecTrack(products, mapped, normalized, unmapped, global_normalized, global_unmapped, fields, pairs, findings,
-                     summary, parsed, claim_rows, attributes, claim_results, reviews, scores, overall, open_conflicts, report)
+
+    def __init__(self, evidence: DataFrame, products: DataFrame, responses: DataFrame | None = None,
+                 folder: str | None = None) -> None:
+        tune(evidence.sparkSession)
+        self.evidence, self.responses, self.folder = evidence, responses, folder
+        if "normalization_version" not in products.columns:
+            products = products.withColumn("normalization_version", F.lit(dims.NORMALIZATION_VERSION))
+        self.products = products
+        own, self.global_facts = split_global(evidence)
+        self.mapped = normalize.map_attributes(own)
+        self.unmapped = normalize.unmapped_evidence(self.mapped)
+        self.normalized = normalize.normalize_values(self.mapped)
+        self.global_mapped = normalize.map_attributes(compact_global(self.global_facts))
+        self.global_normalized = normalize.normalize_values(self.global_mapped)
+        self.global_unmapped = normalize.unmapped_evidence(self.global_mapped)
+
+    def _stage(self, df: DataFrame, name: str) -> DataFrame:
+        return stage_table(df, name, self.folder)
+
+    @cached_property
+    def fields(self) -> DataFrame:
+        return self._stage(normalize.assemble_fields(self.normalized, self.products, self.global_normalized), "fields")
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return self._stage(normalize.conflicts(self.normalized, self.fields, self.global_normalized), "pairs")
+
+    @cached_property
+    def product_summary(self) -> DataFrame:
+        counts = normalize.fact_counts(self.mapped, self.normalized)
+        shared = normalize.fact_counts(self.global_mapped, self.global_normalized)
+        return normalize.product_summary(self.fields, counts, shared)
+
+    @cached_property
+    def normalization_report(self) -> DataFrame:
+        return normalize.normalization_report(self.product_summary, self.products)
+
+    @cached_property
+    def product_rows(self) -> DataFrame:
+        return validate.product_row(self.fields, self.unmapped, self.global_unmapped)
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        return self._stage(validate.run_rules(
+            self.fields, self.products, self.pairs, self.normalized, self.unmapped, self.global_normalized,
+            self.global_unmapped), "findings")
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return validate.findings_summary(self.findings)
+
+    @cached_property
+    def parsed(self) -> DataFrame | None:
+        return None if self.responses is None else self._stage(claims.parse_responses(self.responses), "answers")
+
+    @cached_property
+    def claims(self) -> DataFrame | None:
+        return None if self.parsed is None else claims.explode_claims(self.parsed)
+
+    @cached_property
+    def inferred(self) -> DataFrame | None:
+        return None if self.parsed is None else claims.inferred_fields(self.parsed)
+
+    @cached_property
+    def named_conflicts(self) -> DataFrame | None:
+        return None if self.parsed is None else claims.open_conflicts(self.parsed, self.findings)
+
+    @cached_property
+    def attributes(self) -> DataFrame:
+        return self._stage(trust.attribute_trust(self.fields, self.findings, self.inferred), "attributes")
+
+    @cached_property
+    def claim_results(self) -> DataFrame | None:
+        return None if self.claims is None else trust.claim_trust(self.claims, self.attributes)
+
+    @cached_property
+    def review_items(self) -> DataFrame:
+        return trust.review_items(self.attributes, self.findings, self.claim_results)
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        return self._stage(trust.dedupe_reviews(self.review_items), "reviews")
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        return trust.trust_score(self.attributes, self.fields, self.summary)
+
+    @cached_property
+    def overall(self) -> DataFrame:
+        return trust.overall_trust(self.scores, self.attributes, self.reviews)
+
+    @cached_property
+    def open_conflicts(self) -> DataFrame:
+        return trust.unresolved_conflicts(self.pairs, self.named_conflicts)
+
+    @cached_property
+    def report(self) -> DataFrame:
+        return self._stage(trust.product_report(
+            self.products, self.overall, trust.publishable_lists(self.attributes), self.open_conflicts), "report")
 
 
 def catalog_track(rows: DataFrame, dictionary: DataFrame, gold: DataFrame | None = None,

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_DIRS: dict[str, str] = {}
+
 # Runtime settings the plans count on. All can be set on a running session.
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -36,15 +39,26 @@ def build_session(app: str = "specledger", master: str | None = None, **conf: st
 
 
 def stage_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names, or None when there is none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or None
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named, a local session (as in tests) gets a temporary folder of its own; a cluster gets None.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        return None
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="run-")
+    return _LOCAL_DIRS[app]
 
 
 def stage_table(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back, so later stages do not recompute it.
 
-    The table goes to the cluster's shared folder, so a lost executor costs no recomputation of earlier
-    stages. Without a folder the frame is returned as it is and stays lazy.
+    The table goes to the cluster's shared folder, so a lost executor costs no recomputation of earlier stages.
+    Without a folder the frame is returned as it is and stays lazy.
     """
     spark = df.sparkSession
     root = folder or stage_dir(spark)
