@@ -105,7 +105,7 @@ def match_by_trigram(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
     low = texts.select("text", F.lower("text").alias("t"), F.pmod(F.xxhash64("text"), F.lit(GRAM_SLOTS)).alias("_slot"))
     # Common trigrams are dealt over slots by text; the dictionary, the small side, is repeated per slot.
     slots = keyed.filter(F.col("gram").isNotNull()).withColumn(
-        "_slot", F.explode(F.sequence(F.lit(0), F.lit(GRAM_SLOTS - 1))).cast("long"))
+        "_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GRAM_SLOTS - 1).cast("long"))))
     by_gram = low.withColumn("gram", F.explode(_trigrams(F.col("t")))).join(slots, ["gram", "_slot"]).filter(
         _hits(F.col("t"), F.col("low")))
     exact = low.join(keyed.filter(F.col("gram").isNull()), F.col("t") == F.col("low"))
@@ -270,27 +270,29 @@ def product_name(gold_name: Column) -> Column:
         .otherwise("no known product word"))
 
 
+def _family(text: Column, label: str, pattern: str, unit: str | None, fixed_dims: bool) -> Column:
+    """Matches of one pattern as structs of label, raw value and unit."""
+    def entry(raw: Column, uom: Column) -> Column:
+        return F.struct(F.lit(label).alias("label"), raw.alias("raw"), uom.alias("uom"))
+
+    if unit is None and fixed_dims:
+        pattern = dims.FIXED_DIMENSION_PATTERN
+    values = F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(1))
+    if unit is not None:
+        return F.transform(values, lambda v: entry(v, F.lit(unit)))
+    marks = F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(2))
+    pairs = F.transform(F.arrays_zip(values.alias("v"), marks.alias("u")), lambda z: entry(
+        strip(z["v"]), F.coalesce(F.nullif(strip(z["u"]), F.lit("")), F.lit('"'))))
+    return F.filter(pairs, lambda p: ~p["raw"].rlike(r"^\d+$") | (p["raw"].try_cast("double") < dims.MAX_PLAIN_DIMENSION))
+
+
 def extract_attributes(text: Column, fixed_dims: bool = False) -> Column:
     """Attribute triples found in a text: voltage, amperage, sound level, dimensions, in this order.
 
     Whole dimensions of 100 and more are taken for ratings and skipped. ``fixed_dims`` also finds inch marks that no
     word character follows.
     """
-    lists = []
-    for label, pattern, unit in dims.ATTRIBUTE_PATTERNS:
-        if unit is None and fixed_dims:
-            pattern = dims.FIXED_DIMENSION_PATTERN
-        values = F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(1))
-        if unit is not None:
-            lists.append(F.transform(values, lambda v, label=label, unit=unit: F.struct(
-                F.lit(label).alias("label"), v.alias("raw"), F.lit(unit).alias("uom"))))
-            continue
-        marks = F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(2))
-        pairs = F.transform(F.arrays_zip(values.alias("v"), marks.alias("u")), lambda z, label=label: F.struct(
-            F.lit(label).alias("label"), strip(z["v"]).alias("raw"),
-            F.coalesce(F.nullif(strip(z["u"]), F.lit("")), F.lit('"')).alias("uom")))
-        lists.append(F.filter(pairs, lambda p: ~p["raw"].rlike(r"^\d+$") | (
-            p["raw"].try_cast("double") < dims.MAX_PLAIN_DIMENSION)))
+    lists = [_family(text, label, pattern, unit, fixed_dims) for label, pattern, unit in dims.ATTRIBUTE_PATTERNS]
     raw = F.when(F.coalesce(text, F.lit("")) != "", F.concat(*lists)).otherwise(
         F.array().cast("array<struct<label:string,raw:string,uom:string>>"))
     return F.transform(raw, lambda a: value_unit_status(a["label"], a["raw"], a["uom"]))
