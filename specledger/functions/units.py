@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, functions as F
 
 from specledger import dims
-from specledger.functions.text import blank_to_null, clean_string, literal_map, lookup, strip
+from specledger.functions.text import blank_to_null, literal_map, lookup, strip
 from specledger.functions.values import parse_fraction
 
 Spellings = Mapping[str, Sequence[str]]
@@ -121,25 +121,19 @@ def is_equivalent(a: Column, unit_a: Column, b: Column, unit_b: Column,
 
 
 def normalize_uom(col: Column, aliases: Mapping[str, str] = dims.UOM_ALIASES) -> Column:
-    """Struct of unit and status: canonical text Verified, alias Inferred, other text kept as Unknown."""
-    groups: dict[str, list[str]] = {}
-    for alias, canonical in aliases.items():
-        groups.setdefault(canonical, []).append(alias.lower())
-    text = strip(col)
-    canonical = F.when(clean_string(col).isNotNull(), lookup(F.lower(text), groups))
-    given = F.coalesce(col, F.lit("")) != ""
+    """Struct of unit and status: canonical text Verified, alias Inferred, other text kept as Unknown.
+
+    A placeholder is never an alias.
+    """
+    known = {a.lower(): c for a, c in aliases.items() if a.lower() not in dims.PLACEHOLDERS and not (
+        a.startswith("--") and a.endswith("--"))}
+    text = F.nullif(strip(col), F.lit(""))
+    canonical = literal_map(F.lower(text), known)
     status = F.when(canonical.isNull(), "Unknown").when(text == canonical, "Verified").otherwise("Inferred")
-    return F.struct(
-        F.when(given, F.coalesce(canonical, text)).alias("uom"),
-        F.when(given, status).otherwise("Unknown").alias("status"),
-    )
+    return F.struct(F.coalesce(canonical, F.when(col != "", strip(col))).alias("uom"), status.alias("status"))
 
 
-def value_unit_status(label: Column, raw_value: Column, raw_uom: Column,
-                      aliases: Mapping[str, str] = dims.UOM_ALIASES) -> Column:
-    """An attribute triple: number or text, canonical unit, status, confidence and reason."""
-    number = parse_fraction(raw_value)
-    uom = normalize_uom(raw_uom, aliases)
+def _triple(label: Column, raw_value: Column, raw_uom: Column, number: Column, uom: Column) -> Column:
     verified = (uom["status"] == "Verified") & number.isNotNull()
     inferred = (uom["status"] == "Inferred") | number.isNotNull()
     reason = F.when(verified, F.concat(F.lit("known unit and number: "), uom["uom"])).when(
@@ -156,3 +150,17 @@ def value_unit_status(label: Column, raw_value: Column, raw_uom: Column,
         F.when(verified, F.lit(1.0)).when(inferred, F.lit(0.9)).otherwise(F.lit(0.5)).alias("confidence"),
         reason.alias("reason"),
     )
+
+
+def value_unit_status(label: Column, raw_value: Column, raw_uom: Column,
+                      aliases: Mapping[str, str] = dims.UOM_ALIASES) -> Column:
+    """An attribute triple: number or text, canonical unit, status, confidence and reason."""
+    return _triple(label, raw_value, raw_uom, parse_fraction(raw_value), normalize_uom(raw_uom, aliases))
+
+
+def value_unit_statuses(items: Column, aliases: Mapping[str, str] = dims.UOM_ALIASES) -> Column:
+    """Triples of an array of ``label, raw, uom``. Number and unit are parsed once per element."""
+    parsed = F.transform(items, lambda a: F.struct(
+        a["label"].alias("label"), a["raw"].alias("raw"), a["uom"].alias("uom"),
+        parse_fraction(a["raw"]).alias("number"), normalize_uom(a["uom"], aliases).alias("unit")))
+    return F.transform(parsed, lambda p: _triple(p["label"], p["raw"], p["uom"], p["number"], p["unit"]))

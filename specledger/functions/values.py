@@ -82,20 +82,15 @@ def pole_from_text(col: Column) -> Column:
 
 
 def parse_fraction(col: Column, table: Mapping[str, float] | None = None) -> Column:
-    """Inches from ``1/2``, ``1-1/2``, ``7 1/4`` or plain numbers; a zero denominator gives null."""
-    table = dims.fractions() if table is None else table
-    text = F.translate(strip(col), "\"'", "")
-    known = literal_map(text, table) if table else F.lit(None)
-
-    def quotient(pattern: str, first: int) -> Column:
-        num = _group(text, pattern, first).try_cast("double")
-        den = F.nullif(_group(text, pattern, first + 1).try_cast("double"), F.lit(0.0))
-        return num / den
-
-    compound = r"^(\d+)[\s\-]+(\d+)/(\d+)$"
-    return F.coalesce(
-        known.cast("double"),
-        F.round(_group(text, compound).try_cast("double") + quotient(compound, 2), 6),
-        F.round(quotient(r"^(\d+)/(\d+)$", 1), 6),
-        F.when(strip(text).rlike(PLAIN_FLOAT), strip(text).try_cast("double")),
-    )
+    """Inches from ``1/2``, ``1-1/2``, ``7 1/4`` or plain numbers; a zero denominator gives null.
+
+    ``table`` may give other values for known texts; the standard table (see ``dims.fractions``) agrees with the
+    quotient to the last of its six places, so it needs no look-up.
+    """
+    text = strip(F.translate(col, "\"'", ""))
+    pattern = r"^(?:(\d+)[\s\-]+)?(\d+)/(\d+)$"
+    quotient = _group(text, pattern, 2).try_cast("double") / F.nullif(_group(text, pattern, 3).try_cast("double"), F.lit(0.0))
+    whole = F.coalesce(_group(text, pattern, 1).try_cast("double"), F.lit(0.0))
+    number = F.when(F.contains(text, F.lit("/")), F.round(whole + quotient, 6)).when(
+        text.rlike(PLAIN_FLOAT), text.try_cast("double"))
+    return F.coalesce(literal_map(text, table), number) if table else number

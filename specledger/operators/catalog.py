@@ -6,14 +6,17 @@ join moves data.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from specledger import dims
 from specledger.functions.text import clean_string, literal_map, strip, strip_supplier_code
-from specledger.functions.units import value_unit_status
+from specledger.functions.units import value_unit_statuses
+from specledger.operators.once import once
 from specledger.operators.skew import join_spread
 
 # Largest number of dictionary signals matched inside each row; a larger dictionary is joined on trigrams.
@@ -67,20 +70,37 @@ def _hits(text: Column, low: Column) -> Column:
     return (text == low) | ((F.length(low) >= MIN_CONTAINED) & F.contains(text, low))
 
 
-def inline_signals(dictionary: DataFrame, limit: int = INLINE_SIGNALS) -> Column | None:
-    """The dictionary as one literal array in dictionary order, or None when it has more than ``limit`` signals."""
-    rows = signals(dictionary).limit(limit + 1).collect()
+@dataclass
+class InlineDictionary:
+    """A small dictionary as literals: entries in dictionary order, and the texts looked for."""
+
+    entries: Column
+    contained: Column
+    whole: Column | None
+
+
+def inline_signals(dictionary: DataFrame, limit: int = INLINE_SIGNALS) -> InlineDictionary | None:
+    """The dictionary as literals, or None when it has more than ``limit`` signals."""
+    rows = [r.asDict() for r in signals(dictionary).limit(limit + 1).collect()]
     if len(rows) > limit:
         return None
     rows.sort(key=lambda r: (r["entry_pos"], r["signal_pos"], r["signal"]))
-    entries = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in SIGNAL.fields]) for r in rows]
-    return F.array(*entries) if entries else F.array().cast(T.ArrayType(SIGNAL))
+    # Equal texts are contained in each other, so only short signals need a test for equality.
+    short = [r["low"] for r in rows if len(r["low"]) < MIN_CONTAINED]
+    entries = F.from_json(F.lit(json.dumps(rows)), T.ArrayType(SIGNAL))
+    texts = F.from_json(F.lit(json.dumps([r["low"] for r in rows])), T.ArrayType(T.StringType()))
+    return InlineDictionary(entries, texts, F.lit(True) if short else None)
 
 
-def match_inline(text: Column, entries: Column) -> Column:
-    """First dictionary signal that equals the text or, from three characters on, is contained in it."""
-    low = F.lower(clean_string(text))
-    return F.get(F.filter(entries, lambda e: _hits(low, e["low"])), F.lit(0))
+def match_inline(low: Column, dictionary: InlineDictionary) -> Column:
+    """First dictionary signal that equals the lower-case text or, from three characters on, is contained in it."""
+    if dictionary.whole is None:
+        found = F.filter(dictionary.contained, lambda s: F.contains(low, s))
+    else:
+        found = F.filter(dictionary.contained, lambda s: _hits(low, s))
+    first = F.get(found, F.lit(0))
+    # Without a match the position is null, and so is the entry.
+    return F.get(dictionary.entries, F.array_position(dictionary.contained, first).cast("int") - 1)
 
 
 def _trigrams(low: Column) -> Column:
@@ -118,7 +138,8 @@ def match_signal(df: DataFrame, text: str, dictionary: DataFrame, limit: int = I
     """Add ``m``: the dictionary match of a text column, null without one."""
     entries = inline_signals(dictionary, limit)
     if entries is not None:
-        return df.withColumn("m", match_inline(F.col(text), entries))
+        low = once(df, {"_low": F.lower(clean_string(F.col(text)))})
+        return once(low, {"m": match_inline(F.col("_low"), entries)}).drop("_low")
     clean = df.withColumn("_text", clean_string(F.col(text)))
     distinct = clean.select(F.col("_text").alias("text")).filter("text is not null").distinct()
     matched = match_by_trigram(distinct, dictionary).withColumnRenamed("text", "_text")
@@ -137,19 +158,24 @@ def brand_signals(rows: DataFrame) -> DataFrame:
     texts = F.array_distinct(F.array_compact(F.array(
         *[clean_string(F.col(c)) for c in ("e1_brand", "unilog_brand", "dib_brand")],
         F.when(~distributor, supplier))))
-    return rows.withColumn("raw_brands", F.array_sort(texts)).withColumn("brand_conflict", F.size("raw_brands") > 1)
+    return once(rows, {"raw_brands": F.array_sort(texts)}).withColumn("brand_conflict", F.size("raw_brands") > 1)
 
 
 def _with_matches(rows: DataFrame, dictionary: DataFrame, limit: int) -> DataFrame:
     """Add ``_matches``: source, raw value and match of each matched column, in priority order."""
     entries = inline_signals(dictionary, limit)
-    named = [F.struct(F.lit(name).alias("source"), clean_string(F.col(c)).alias("raw_val")) for name, c in dims.BRAND_SOURCES]
-    out = rows.withColumn("_texts", F.filter(F.array(*named), lambda x: x["raw_val"].isNotNull()))
+    texts = {f"_t{i}": clean_string(F.col(c)) for i, (_, c) in enumerate(dims.BRAND_SOURCES)}
+    out = once(rows, texts)
     if entries is not None:
-        matched = F.transform("_texts", lambda x: F.struct(
-            x["source"].alias("source"), x["raw_val"].alias("raw_val"),
-            F.get(F.filter(entries, lambda e: _hits(F.lower(x["raw_val"]), e["low"])), F.lit(0)).alias("m")))
-        return out.withColumn("_matches", F.filter(matched, lambda x: x["m"].isNotNull())).drop("_texts")
+        found = once(out, {f"_m{i}": match_inline(F.lower(F.col(f"_t{i}")), entries) for i in range(len(texts))})
+        matched = F.array_compact(F.array(*[
+            F.when(F.col(f"_m{i}").isNotNull(), F.struct(
+                F.lit(name).alias("source"), F.col(f"_t{i}").alias("raw_val"), F.col(f"_m{i}").alias("m")))
+            for i, (name, _) in enumerate(dims.BRAND_SOURCES)]))
+        return once(found, {"_matches": matched}).drop(*texts, *[f"_m{i}" for i in range(len(texts))])
+    named = F.array(*[F.struct(F.lit(name).alias("source"), F.col(f"_t{i}").alias("raw_val"))
+                      for i, (name, _) in enumerate(dims.BRAND_SOURCES)])
+    out = out.withColumn("_texts", F.filter(named, lambda x: x["raw_val"].isNotNull())).drop(*texts)
     # Distinct texts are matched once; the candidates come back per row, at most one per column.
     long = out.select("row_id", F.posexplode("_texts").alias("i", "x")).select(
         "row_id", "i", F.col("x.source").alias("source"), F.col("x.raw_val").alias("text"))
@@ -169,30 +195,32 @@ def resolve_brand(rows: DataFrame, dictionary: DataFrame, limit: int = INLINE_SI
     Six columns are matched in priority order. More than one distinct brand is a conflict without a brand; otherwise the
     first match stands, verified when a part number, supplier or brand column matched, inferred from other columns.
     """
-    out = _with_matches(rows, dictionary, limit)
     found = F.col("_matches")
-    first = F.get(found, F.lit(0))["m"]
-    brands = F.array_distinct(F.filter(F.transform(found, lambda x: x["m"]["brand"]), lambda b: F.coalesce(b, F.lit("")) != ""))
-    makers = F.filter(F.transform(found, lambda x: x["m"]["manufacturer"]), lambda b: F.coalesce(b, F.lit("")) != "")
-    conflict = F.size(brands) > 1
-    exact = F.exists(found, lambda x: x["source"].isin(dims.VERIFYING_SOURCES))
-    none = F.size(found) == 0
-
-    def quoted(x: Column) -> Column:
-        return F.concat(x["source"], F.lit("='"), x["raw_val"], F.lit("'"))
-
-    sources = F.when(conflict, F.transform(found, lambda x: F.concat(quoted(x), F.lit("->"), x["m"]["brand"]))).otherwise(
-        F.transform(found, quoted))
+    matched = once(_with_matches(rows, dictionary, limit), {
+        "_brands": F.array_distinct(F.transform(
+            F.filter(found, lambda x: F.coalesce(x["m"]["brand"], F.lit("")) != ""), lambda x: x["m"]["brand"])),
+        "_first": F.get(found, F.lit(0))["m"],
+        "_exact": F.exists(found, lambda x: x["source"].isin(dims.VERIFYING_SOURCES)),
+        "_quoted": F.transform(found, lambda x: F.concat(x["source"], F.lit("='"), x["raw_val"], F.lit("'"))),
+    })
+    first, brands, exact = F.col("_first"), F.col("_brands"), F.col("_exact")
+    conflict, none = F.size(brands) > 1, F.size(found) == 0
+    maker = F.array_min(F.filter(F.transform(found, lambda x: x["m"]["manufacturer"]),
+                                 lambda b: F.coalesce(b, F.lit("")) != ""))
+    arrows = F.transform(F.arrays_zip(F.col("_quoted").alias("q"), found.alias("f")),
+                         lambda z: F.concat(z["q"], F.lit("->"), z["f"]["m"]["brand"]))
     reason = F.when(none, "no manufacturer or brand signal").when(
         conflict, F.concat(F.lit("several brands: "), F.array_join(F.array_sort(brands), ", "))).otherwise(
         F.concat(F.lit("dictionary match: "), first["signal"]))
-    return out.withColumn("resolution", F.struct(
-        F.when(conflict, F.array_min(makers)).otherwise(first["manufacturer"]).alias("manufacturer"),
+    resolution = F.struct(
+        F.when(conflict, maker).otherwise(first["manufacturer"]).alias("manufacturer"),
         F.when(~conflict, first["brand"]).alias("brand"),
         F.when(~conflict, first["trade_name"]).alias("trade_name"),
         F.when(none, "Unknown").when(conflict, "Conflicted").when(exact, "Verified").otherwise("Inferred").alias("status"),
         F.when(none, 0.0).when(conflict, 0.40).when(exact, 1.0).otherwise(0.85).alias("confidence"),
-        sources.alias("sources"), reason.alias("reason"), conflict.alias("is_conflicted"))).drop("_matches")
+        F.when(conflict, arrows).otherwise(F.col("_quoted")).alias("sources"), reason.alias("reason"),
+        conflict.alias("is_conflicted"))
+    return once(matched, {"resolution": resolution}).drop("_matches", "_brands", "_first", "_exact", "_quoted")
 
 
 def brand_fields(rows: DataFrame, strict_conflicts: bool = False) -> DataFrame:
@@ -213,14 +241,18 @@ def brand_fields(rows: DataFrame, strict_conflicts: bool = False) -> DataFrame:
 
     e1, unilog, dib = ("E1_Brand", "e1_brand"), ("Unilog_Brand", "unilog_brand"), ("DIB_Brand", "dib_brand")
     maker, part = ("Part_Manuf", "part_manuf"), ("Mfg_Part_Num", "mfg_part_num")
+    decided = once(rows, {"_state": F.when(conflict, "conflict").when(resolved, "resolved").otherwise("unknown")})
+    conflict, resolved = F.col("_state") == "conflict", F.col("_state") == "resolved"
+    shared = once(decided, {
+        "_sources": F.when(conflict, given(e1, unilog, dib, maker)).when(resolved, r["sources"]).otherwise(
+            given(maker, e1, dib, part)),
+        "_reason": F.when(conflict, F.concat(F.lit("incompatible brands: "), F.array_join("raw_brands", ", "))).when(
+            resolved, r["reason"]).otherwise("not in the dictionary; nothing made up"),
+        "_trade": F.when(resolved, F.nullif(r["trade_name"], F.lit("")))})
     status = F.when(conflict, "Conflicted").when(resolved, r["status"]).otherwise("Unknown")
     confidence = F.when(conflict, 0.40).when(resolved, r["confidence"]).otherwise(0.0)
-    sources = F.when(conflict, given(e1, unilog, dib, maker)).when(resolved, r["sources"]).otherwise(
-        given(maker, e1, dib, part))
-    reason = F.when(conflict, F.concat(F.lit("incompatible brands: "), F.array_join("raw_brands", ", "))).when(
-        resolved, r["reason"]).otherwise("not in the dictionary; nothing made up")
-    trade = F.when(resolved, F.nullif(r["trade_name"], F.lit("")))
-    return rows.withColumns({
+    trade, sources, reason = F.col("_trade"), F.col("_sources"), F.col("_reason")
+    return once(shared, {
         "manufacturer_name": field(F.when(resolved, r["manufacturer"]), status, confidence, sources, reason),
         "brand_name": field(F.when(resolved, r["brand"]), status, confidence, sources, reason),
         "trade_name": field(
@@ -228,7 +260,7 @@ def brand_fields(rows: DataFrame, strict_conflicts: bool = False) -> DataFrame:
             F.when(trade.isNotNull(), 1.0).otherwise(0.0),
             F.when(trade.isNotNull(), r["sources"]).otherwise(no_sources()),
             F.when(conflict, "brand conflict").when(trade.isNotNull(), "from the dictionary").otherwise("not given")),
-    })
+    }).drop("_state", "_sources", "_reason", "_trade")
 
 
 # --- names and attributes ---
@@ -295,7 +327,7 @@ def extract_attributes(text: Column, fixed_dims: bool = False) -> Column:
     lists = [_family(text, label, pattern, unit, fixed_dims) for label, pattern, unit in dims.ATTRIBUTE_PATTERNS]
     raw = F.when(F.coalesce(text, F.lit("")) != "", F.concat(*lists)).otherwise(
         F.array().cast("array<struct<label:string,raw:string,uom:string>>"))
-    return F.transform(raw, lambda a: value_unit_status(a["label"], a["raw"], a["uom"]))
+    return value_unit_statuses(raw)
 
 
 def last_per_part(rows: DataFrame, order: str = "row_id") -> DataFrame:
@@ -327,18 +359,21 @@ def join_gold(rows: DataFrame, gold: DataFrame, attributes: DataFrame | None = N
     return join_spread(keyed, right.drop("_gold_row"), ["part_key"], spread=["row_id"]).drop("part_key")
 
 
-def merge_gold_attributes(extracted: Column, gold: Column) -> Column:
-    """Extracted triples, then gold ones whose label has not been seen, each normalised.
+def merge_gold_attributes(rows: DataFrame, extracted: str = "_extracted", gold: str = "gold_attributes") -> DataFrame:
+    """Add ``attributes``: extracted triples, then gold ones whose label has not been seen, each normalised.
 
     A gold label counts as seen once an earlier gold entry has added it.
     """
-    have = F.transform(extracted, lambda a: F.lower(a["label"]))
-    labels = F.transform(gold, lambda g: F.lower(g["label"]))
-    new = F.filter(gold, lambda g, i: ~F.array_contains(have, F.lower(g["label"])) & (
-        F.array_position(labels, F.lower(g["label"])) == i + 1))
-    return F.concat(extracted, F.coalesce(
-        F.transform(new, lambda g: value_unit_status(g["label"], g["value"], g["uom"])),
-        F.filter(extracted, lambda a: F.lit(False))))
+    labelled = once(rows, {"_have": F.transform(extracted, lambda a: F.lower(a["label"])),
+                           "_labels": F.transform(gold, lambda g: F.lower(g["label"]))})
+    # One flag per gold entry: first of its label, and not among the extracted ones.
+    new = F.filter(F.arrays_zip(F.col(gold).alias("g"), F.col("_labels").alias("low")), lambda z, i: (
+        F.array_position(F.col("_labels"), z["low"]) == i + 1) & ~F.array_contains(F.col("_have"), z["low"]))
+    added = F.transform(new, lambda z: F.struct(z["g"]["label"].alias("label"), z["g"]["value"].alias("raw"),
+                                                z["g"]["uom"].alias("uom")))
+    has_gold = F.coalesce(F.size(gold), F.lit(0)) > 0
+    return once(labelled, {"attributes": F.when(has_gold, F.concat(extracted, value_unit_statuses(added))).otherwise(
+        F.col(extracted))}).drop("_have", "_labels")
 
 
 def short_description() -> Column:
@@ -382,11 +417,9 @@ def enrich_catalog(rows: DataFrame, dictionary: DataFrame, gold: DataFrame | Non
     if gold is not None:
         base = join_gold(rows, gold, gold_attrs)
     else:
-        empty = F.array().cast("array<struct<ordinal:int,label:string,value:string,uom:string>>")
-        base = rows.withColumns({c: F.lit(None).cast("string") for c in ("gold_name", "gold_classpath", "gold_long_desc")}
-                                ).withColumn("gold_attributes", empty)
+        base = rows.withColumns({c: F.lit(None).cast("string") for c in ("gold_name", "gold_classpath", "gold_long_desc")})
     branded = brand_fields(resolve_brand(brand_signals(base), dictionary, limit), strict_conflicts)
-    named = branded.withColumns({
+    named = once(branded, {
         "manufacturer_part_number": part_number_field(),
         "product_name": product_name(F.col("gold_name")),
         "classpath": gold_field(F.col("gold_classpath")),
@@ -394,10 +427,8 @@ def enrich_catalog(rows: DataFrame, dictionary: DataFrame, gold: DataFrame | Non
         "series": field(F.lit(None), "Unknown", 0.0, no_sources(), ""),
         "_extracted": extract_attributes(F.col("part_desc"), fixed_dims),
     })
-    full = named.withColumn("attributes", merge_gold_attributes(
-        F.col("_extracted"), F.coalesce("gold_attributes", F.array().cast(
-            "array<struct<ordinal:int,label:string,value:string,uom:string>>")))).withColumn(
-        "short_desc", short_description()).withColumn("_tier", overall_tier())
+    merged = merge_gold_attributes(named) if gold is not None else named.withColumnRenamed("_extracted", "attributes")
+    full = once(merged, {"short_desc": short_description(), "_tier": overall_tier()})
     conflict = F.col("_tier.status") == "Conflicted"
     return full.select(
         "row_id", "mfg_part_num", "part_desc", "e1_brand", "unilog_brand", "dib_brand", "part_manuf", "raw_brands",

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from specledger import dims
 from specledger.functions import units, values
 from specledger.functions.text import blank_to_null, literal_map, lookup
+from specledger.operators.once import once
 from specledger.operators.skew import join_spread
 from specledger.schema import EVIDENCE, REF_COLUMNS, ref_struct
 
@@ -64,13 +65,12 @@ def normalize_values(mapped: DataFrame) -> DataFrame:
     facts = mapped.filter(F.col("kind") == "canonical")
     field, raw = F.col("canonical_field"), F.col("raw_value")
     is_text = field.isin(dims.STRING_FIELDS)
-    # The steps below stay small on purpose: filters are pushed through them, expression by expression.
-    given = facts.select(
-        *facts.columns,
-        F.coalesce("value", values.number_of(raw)).alias("_num"),
-        F.when(F.col("value").isNull(), F.coalesce("unit", values.unit_of(raw))).otherwise(F.col("unit")).alias("_unit"))
+    # Parsing is done once per fact; the small steps after it may be copied into filters.
+    given = once(facts, {
+        "_num": F.coalesce("value", values.number_of(raw)),
+        "_unit": F.when(F.col("value").isNull(), F.coalesce("unit", values.unit_of(raw))).otherwise(F.col("unit"))})
     parts = given.withColumn("_part", units.unit_part(F.col("_unit")))
-    ready = parts.withColumn("_factor", units.unit_factor(field, F.col("_part")))
+    ready = once(parts, {"_factor": units.unit_factor(field, F.col("_part"))})
     num = units.canonical_value(field, F.col("_num"), F.col("_part"), F.col("_factor"))
     text = F.when(field == "ip_rating", F.coalesce(values.parse_ip_rating(raw), F.lit(""))).otherwise(
         values.parse_frame_size(raw))

@@ -175,7 +175,7 @@ CATALOG = {
     "e1_brand": f"case when {K} % 3 = 0 then '-- Unbranded --' else p_brand end",
     "unilog_brand": f"case when {K} % 2 = 0 then '-' else '-- No Unilog Brand --' end",
     "dib_brand": f"case when {K} % 6 = 1 then concat('Brand#', {_text(f'1 + {SIZE} % 25')}) else '-- No DIB Brand --' end",
-    "part_manuf": f"concat(case when {K} % 2 = 0 then 'General Supply' else p_brand end, ' (', {_text(SIZE)}, ')')",
+    "part_manuf": f"concat(case when {K} % 2 = 0 then 'General Supply' when {K} % 8 = 3 then 'Acme Works' else p_brand end, ' (', {_text(SIZE)}, ')')",
 }
 # Brands whose number is a multiple of five are not in the dictionary.
 DICTIONARY = {
@@ -217,10 +217,19 @@ def catalog_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(*[F.expr(e).alias(n) for n, e in CATALOG.items()])
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a file with fewer splits than there are cores, dealt to all cores by a hash of their key.
+
+    Work per row is heavy in the catalog track, and a small table is one split. Large tables are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from specledger.functions.text import clean_string
 
-    raw = catalog_raw(spark, sf_dir)
+    raw = dealt(catalog_raw(spark, sf_dir), "row_id")
     return raw.select("row_id", "mfg_part_num", "part_desc", *[
         clean_string(F.col(c)).alias(c) for c in ("e1_brand", "unilog_brand", "dib_brand", "part_manuf")])
 
