@@ -109,24 +109,28 @@ def _trigrams(low: Column) -> Column:
         F.sequence(F.lit(1), last), lambda i: F.substring(low, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
 
 
-def match_by_trigram(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
+def match_by_trigram(texts: DataFrame, dictionary: DataFrame, ignore_case: bool = True,
+                     slots: int = GRAM_SLOTS) -> DataFrame:
     """Matches for distinct ``text`` values against a dictionary of any size: ``text, m``.
 
     Each signal is filed under the trigram that is rarest in the dictionary; a text that contains the signal contains
     that trigram, so an equi-join on it finds every match. Signals shorter than three characters match whole texts only.
     """
     entries = signals(dictionary)
+    if not ignore_case:
+        entries = entries.withColumn("low", F.col("signal"))
     words = entries.select("low").distinct()
     grams = words.select("low", F.explode(_trigrams(F.col("low"))).alias("gram"))
     usage = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("used"))
     filed = grams.join(usage, "gram").groupBy("low").agg(F.min(F.struct("used", "gram")).alias("g")).select(
         "low", F.col("g.gram").alias("gram"))
     keyed = entries.join(filed, "low", "left")
-    low = texts.select("text", F.lower("text").alias("t"), F.pmod(F.xxhash64("text"), F.lit(GRAM_SLOTS)).alias("_slot"))
+    folded = F.lower("text") if ignore_case else F.col("text")
+    low = texts.select("text", folded.alias("t"), F.pmod(F.xxhash64("text"), F.lit(slots)).alias("_slot"))
     # Common trigrams are dealt over slots by text; the dictionary, the small side, is repeated per slot.
-    slots = keyed.filter(F.col("gram").isNotNull()).withColumn(
-        "_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GRAM_SLOTS - 1).cast("long"))))
-    by_gram = low.withColumn("gram", F.explode(_trigrams(F.col("t")))).join(slots, ["gram", "_slot"]).filter(
+    repeated = keyed.filter(F.col("gram").isNotNull()).withColumn(
+        "_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    by_gram = low.withColumn("gram", F.explode(_trigrams(F.col("t")))).join(repeated, ["gram", "_slot"]).filter(
         _hits(F.col("t"), F.col("low")))
     exact = low.join(keyed.filter(F.col("gram").isNull()), F.col("t") == F.col("low"))
     entry = F.struct(*SIGNAL.names)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from specledger import dims
 from specledger.functions.text import location_text, source_display
+from specledger.operators.catalog import match_by_trigram
 from specledger.operators.normalize import KEYS
+from specledger.operators.skew import join_spread
 from specledger.operators.trust import REVIEW
 
 CATEGORY = "Industrial Electric Motor"
@@ -106,17 +108,14 @@ def latest_resolutions(log: DataFrame, key: str = "review_id", order: tuple[str,
 def attach_product(new: DataFrame, products: DataFrame) -> DataFrame:
     """Product of a resolution: the first product id contained in its review id, '' when there is none.
 
-    Review ids read ``REV-<product id>-<rest>``, so the candidate ids are the prefixes of the text after ``REV-`` and a
-    product is found by an equi-join; ids at other places are found through all word runs of the review id.
+    Product ids are filed under their rarest trigram, so the containment is an equi-join.
     """
-    words = F.split("review_id", "-")
-    n = F.size(words)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
-        F.sequence(i, n), lambda j: F.array_join(F.slice(words, i, j - i + 1), "-"))))
-    found = new.select("review_id", F.explode(F.array_distinct(runs)).alias("product_id")).join(
-        products.select("product_id").distinct(), "product_id").groupBy("review_id").agg(
-        F.min("product_id").alias("product_id"))
-    return new.drop("product_id").join(found, "review_id", "left").withColumn(
+    ids = products.select(F.lit(0).alias("entry_pos"), F.lit(0).alias("signal_pos"), F.col("product_id").alias("signal"),
+                          *[F.lit("").alias(c) for c in ("canonical_manufacturer", "canonical_brand", "trade_name")])
+    texts = new.select(F.col("review_id").alias("text")).filter("text is not null").distinct()
+    found = match_by_trigram(texts, ids, ignore_case=False, slots=1).select(
+        F.col("text").alias("review_id"), F.col("m.signal").alias("product_id"))
+    return join_spread(new.drop("product_id"), found, ["review_id"], spread=["resolved_at"]).withColumn(
         "product_id", F.coalesce("product_id", F.lit("")))
 
 

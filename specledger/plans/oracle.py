@@ -314,10 +314,10 @@ _REVIEWS = {
         " FROM review_items) WHERE rn = 1"),
     "scores": (
         "SELECT product_id, n_conflicted, completeness, validity, diversity, penalty AS conflict_penalty,"
-        " greatest(0, least(1, 0.35 * completeness + 0.35 * validity + 0.3 * diversity - penalty)) AS trust_score FROM ("
+        " greatest(0::DOUBLE, least(1::DOUBLE, 0.35::DOUBLE * completeness + 0.35::DOUBLE * validity + 0.3::DOUBLE * diversity - penalty)) AS trust_score FROM ("
         "SELECT a.product_id, a.n_conflicted, a.n_present / a.n AS completeness, CASE WHEN s.total_findings - s.n_not_checked > 0 THEN"
-        " least(1, (s.n_pass + 0.75 * s.n_warning) / (s.total_findings - s.n_not_checked)) ELSE 1 END AS validity,"
-        " CASE WHEN d.k >= 2 THEN 1 WHEN d.k = 1 THEN 0.75 ELSE 0.3 END AS diversity, least(0.5, 0.15 * a.n_conflicted) AS penalty FROM"
+        " least(1, (s.n_pass + 0.75::DOUBLE * s.n_warning) / (s.total_findings - s.n_not_checked)) ELSE 1 END AS validity,"
+        " CASE WHEN d.k >= 2 THEN 1::DOUBLE WHEN d.k = 1 THEN 0.75::DOUBLE ELSE 0.3::DOUBLE END AS diversity, least(0.5::DOUBLE, 0.15::DOUBLE * a.n_conflicted) AS penalty FROM"
         " (SELECT product_id, count(*) AS n, count(*) FILTER (trust_status <> 'MISSING') AS n_present, count(*) FILTER (is_conflicted) AS"
         " n_conflicted FROM attributes GROUP BY 1) a LEFT JOIN summary s ON s.product_id = a.product_id LEFT JOIN (SELECT product_id,"
         " count(DISTINCT source_type) AS k FROM collected GROUP BY 1) d ON d.product_id = a.product_id)"),
