@@ -74,6 +74,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a file with fewer splits than there are cores, dealt to all cores by a hash of their key.
+
+    Work per row is heavy in both tracks, and a small table is one split. Large tables are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def part_facts(part: DataFrame) -> DataFrame:
     """Facts of two sources for every part."""
     facts = F.array(*[
@@ -110,10 +119,12 @@ def global_facts(region: DataFrame) -> DataFrame:
 
 
 def evidence(spark: SparkSession, sf_dir: str, with_web: bool = True) -> DataFrame:
-    out = conform(part_facts(table(spark, sf_dir, "part")), EVIDENCE).unionByName(
+    part = dealt(table(spark, sf_dir, "part").select(K, SIZE), K)
+    out = conform(part_facts(part), EVIDENCE).unionByName(
         conform(global_facts(table(spark, sf_dir, "region")), EVIDENCE))
     if with_web:
-        out = out.unionByName(conform(web_facts(table(spark, sf_dir, "lineitem")), EVIDENCE))
+        items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+        out = out.unionByName(conform(web_facts(dealt(items, "l_orderkey")), EVIDENCE))
     return out
 
 
@@ -217,15 +228,6 @@ def catalog_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(*[F.expr(e).alias(n) for n, e in CATALOG.items()])
 
 
-def dealt(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a file with fewer splits than there are cores, dealt to all cores by a hash of their key.
-
-    Work per row is heavy in the catalog track, and a small table is one split. Large tables are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
-
 def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from specledger.functions.text import clean_string
 

@@ -16,9 +16,8 @@ from specledger.sources.stored import compact_global, split_global
 class SpecTrack:
     """Evidence to trust report.
 
-    Tables that several later ones read are written once to the shared stage folder and read back: fields, pairs,
-    findings, answers, attributes and reviews. Without such a folder they stay lazy. Facts are cheap to normalise (one
-    pass without a shuffle), so they are recomputed, not stored.
+    Tables that several later ones read are written once to the shared stage folder and read back: normalised facts,
+    fields, pairs, findings, answers, attributes, reviews and report. Without such a folder they stay lazy.
     """
 
     def __init__(self, evidence: DataFrame, products: DataFrame, responses: DataFrame | None = None,
@@ -31,7 +30,6 @@ class SpecTrack:
         own, self.global_facts = split_global(evidence)
         self.mapped = normalize.map_attributes(own)
         self.unmapped = normalize.unmapped_evidence(self.mapped)
-        self.normalized = normalize.normalize_values(self.mapped)
         self.global_mapped = normalize.map_attributes(compact_global(self.global_facts))
         self.global_normalized = normalize.normalize_values(self.global_mapped)
         self.global_unmapped = normalize.unmapped_evidence(self.global_mapped)
@@ -39,6 +37,10 @@ class SpecTrack:
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
         return stage_table(df, name, self.folder)
 
+    @cached_property
+    def normalized(self) -> DataFrame:
+        return self._stage(normalize.normalize_values(self.mapped), "normalized")
+
     @cached_property
     def fields(self) -> DataFrame:
         return self._stage(normalize.assemble_fields(self.normalized, self.products, self.global_normalized), "fields")

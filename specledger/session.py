@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     # A skewed join may add one shuffle after it: cheaper than one task with a third of the rows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Aggregates with struct buffers hash this many groups per task before they sort (default 128).
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
 }
 
 
