@@ -195,8 +195,8 @@ ATTRIBUTE_PATTERNS: list[tuple[str, str, str | None]] = [
     ("Sound Level", r"\b(\d+(?:\.\d+)?)\s*(?:dBA|db)\b", "dBA"),
     ("Dimension / Size", r"\b((?:\d+[\s\-]*)?\d+/\d+|\d+(?:\.\d+)?)\s*(IN|in\.|\"|in)\b", None),
 ]
-# The same without the word boundary after the unit, so that 36" before a blank is found.
-FIXED_DIMENSION_PATTERN = r"\b((?:\d+[\s\-]*)?\d+/\d+|\d+(?:\.\d+)?)\s*(?:(IN|in\.|in)\b|(?:\"))"
+# The same without the word boundary around it, so that 36" before a blank and x.045" are found whole.
+FIXED_DIMENSION_PATTERN = r"(?<![\d/.])((?:\d+[\s\-]*)?\d+/\d+|\d*\.\d+|\d+)\s*(?:(IN|in\.|in)\b|\")"
 MAX_PLAIN_DIMENSION = 100
 TIERS = ["Verified", "Inferred", "Conflicted", "Unknown"]
 # Columns tried for a dictionary match, in priority order: (report name, input column).

@@ -158,6 +158,17 @@ def value_unit_status(label: Column, raw_value: Column, raw_uom: Column,
     return _triple(label, raw_value, raw_uom, parse_fraction(raw_value), normalize_uom(raw_uom, aliases))
 
 
+def number_with_unit(label: str, raw_value: Column, unit: str, aliases: Mapping[str, str] = dims.UOM_ALIASES) -> Column:
+    """The triple of a plain number whose unit is fixed, so that its status is known beforehand."""
+    canonical = {a.lower(): c for a, c in aliases.items()}.get(unit.strip().lower())
+    if canonical is None or canonical != unit:
+        return value_unit_status(F.lit(label), raw_value, F.lit(unit), aliases)
+    return F.struct(
+        F.lit(label).alias("label"), raw_value.try_cast("double").alias("value_num"), F.lit(None).cast("string").alias("value_str"),
+        F.lit(unit).alias("uom"), raw_value.alias("raw_value"), F.lit(unit).alias("raw_uom"), F.lit("Verified").alias("status"),
+        F.lit(1.0).alias("confidence"), F.lit("known unit and number: " + unit).alias("reason"))
+
+
 def value_unit_statuses(items: Column, aliases: Mapping[str, str] = dims.UOM_ALIASES) -> Column:
     """Triples of an array of ``label, raw, uom``. Number and unit are parsed once per element."""
     parsed = F.transform(items, lambda a: F.struct(

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from specledger import dims
 from specledger.functions.text import clean_string, literal_map, strip, strip_supplier_code
-from specledger.functions.units import value_unit_statuses
+from specledger.functions.units import number_with_unit, value_unit_statuses
 from specledger.operators.once import once
 from specledger.operators.skew import join_spread
 
@@ -307,31 +307,31 @@ def product_name(gold_name: Column) -> Column:
 
 
 def _family(text: Column, label: str, pattern: str, unit: str | None, fixed_dims: bool) -> Column:
-    """Matches of one pattern as structs of label, raw value and unit."""
-    def entry(raw: Column, uom: Column) -> Column:
-        return F.struct(F.lit(label).alias("label"), raw.alias("raw"), uom.alias("uom"))
+    """Triples of the matches of one pattern.
 
+    A pattern with a unit of its own matches plain numbers only, so all but the number is known beforehand.
+    """
     if unit is None and fixed_dims:
         pattern = dims.FIXED_DIMENSION_PATTERN
     values = F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(1))
     if unit is not None:
-        return F.transform(values, lambda v: entry(v, F.lit(unit)))
+        return F.transform(values, lambda v: number_with_unit(label, v, unit))
     marks = F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(2))
-    pairs = F.transform(F.arrays_zip(values.alias("v"), marks.alias("u")), lambda z: entry(
-        strip(z["v"]), F.coalesce(F.nullif(strip(z["u"]), F.lit("")), F.lit('"'))))
-    return F.filter(pairs, lambda p: ~p["raw"].rlike(r"^\d+$") | (p["raw"].try_cast("double") < dims.MAX_PLAIN_DIMENSION))
+    pairs = F.transform(F.arrays_zip(values.alias("v"), marks.alias("u")), lambda z: F.struct(
+        F.lit(label).alias("label"), strip(z["v"]).alias("raw"),
+        F.coalesce(F.nullif(strip(z["u"]), F.lit("")), F.lit('"')).alias("uom")))
+    return value_unit_statuses(F.filter(pairs, lambda p: ~p["raw"].rlike(r"^\d+$") | (
+        p["raw"].try_cast("double") < dims.MAX_PLAIN_DIMENSION)))
 
 
 def extract_attributes(text: Column, fixed_dims: bool = False) -> Column:
     """Attribute triples found in a text: voltage, amperage, sound level, dimensions, in this order.
 
     Whole dimensions of 100 and more are taken for ratings and skipped. ``fixed_dims`` also finds inch marks that no
-    word character follows.
+    word character follows. A null text has no attributes.
     """
-    lists = [_family(text, label, pattern, unit, fixed_dims) for label, pattern, unit in dims.ATTRIBUTE_PATTERNS]
-    raw = F.when(F.coalesce(text, F.lit("")) != "", F.concat(*lists)).otherwise(
-        F.array().cast("array<struct<label:string,raw:string,uom:string>>"))
-    return value_unit_statuses(raw)
+    return F.concat(*[_family(F.coalesce(text, F.lit("")), label, pattern, unit, fixed_dims)
+                      for label, pattern, unit in dims.ATTRIBUTE_PATTERNS])
 
 
 def last_per_part(rows: DataFrame, order: str = "row_id") -> DataFrame:
