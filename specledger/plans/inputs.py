@@ -164,8 +164,10 @@ def track(spark: SparkSession, sf_dir: str, with_responses: bool = False) -> Spe
     """The specification track over an input folder. Within one session its stage tables are shared between queries."""
     key = (spark.sparkContext.applicationId, sf_dir, with_responses)
     if key not in _TRACKS:
-        _TRACKS[key] = SpecTrack(evidence(spark, sf_dir), products(spark, sf_dir),
-                                 responses(spark, sf_dir) if with_responses else None)
+        if with_responses:
+            _TRACKS[key] = track(spark, sf_dir).with_responses(responses(spark, sf_dir))
+        else:
+            _TRACKS[key] = SpecTrack(evidence(spark, sf_dir), products(spark, sf_dir))
     return _TRACKS[key]
 
 

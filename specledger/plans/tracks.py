@@ -34,6 +34,13 @@ class SpecTrack:
         self.global_normalized = normalize.normalize_values(self.global_mapped)
         self.global_unmapped = normalize.unmapped_evidence(self.global_mapped)
 
+    def with_responses(self, responses: DataFrame) -> SpecTrack:
+        """The same track with a text model's answers. The stages that do not depend on them are shared."""
+        shared = {name: getattr(self, name) for name in ("normalized", "fields", "pairs", "findings")}
+        other = SpecTrack(self.evidence, self.products, responses, self.folder)
+        other.__dict__.update(shared)
+        return other
+
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
         return stage_table(df, name, self.folder)
 
