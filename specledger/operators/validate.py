@@ -34,31 +34,42 @@ RULE_NO = {
     "MISSING_DATA_INVENTORY": 16,
     "CONFLICT_RATED_CURRENT_PDF_VS_CSV": 17,
 }
+CATEGORY = {
+    **{r: "SCHEMA" for r in RULE_NO if r.startswith("SCHEMA")},
+    **{r: "RANGE" for r in RULE_NO if r.startswith("RANGE")},
+    **{r: "ENGINEERING" for r in RULE_NO if r.startswith("ENGINEERING")},
+    **{r: "CONFLICT" for r in RULE_NO if r.startswith("CON")},
+    "REQUIRED_FIELD_PRESENCE": "REQUIRED_FIELD",
+    "IMPORTANT_FIELD_PRESENCE": "MISSING_DATA",
+    "MISSING_DATA_INVENTORY": "MISSING_DATA",
+}
 
 
-def _finding(rule_id: str, category: str, status: Column | str, severity: Column | str, field: Column | str,
+def _finding(rule_id: Column | str, status: Column | str, severity: Column | str, field: Column | str,
              text: Column | None = None, num: Column | None = None, unit: Column | str | None = None,
              expected: Column | str | None = None, explanation: Column | str = "",
              item: Column | None = None) -> Column:
     def col(x: Column | str | None, kind: str = "string") -> Column:
         return (x if isinstance(x, Column) else F.lit(x)).cast(kind)
 
-    where = col(field)
     return F.struct(
-        F.lit(RULE_NO[rule_id]).alias("rule_no"),
-        F.coalesce(literal_map(where, FIELD_POS), F.lit(99)).cast("int").alias("field_pos"),
-        (F.lit(0) if item is None else item).cast("long").alias("item"),
-        F.lit(rule_id).alias("rule_id"), F.lit(category).alias("category"), col(status).alias("status"),
-        col(severity).alias("severity"), where.alias("field"), col(text).alias("actual_value"),
-        col(num, "double").alias("actual_num"), col(unit).alias("actual_unit"), col(expected).alias("expected_condition"),
-        col(explanation).alias("explanation"),
-    )
+        (F.lit(0) if item is None else item).cast("long").alias("item"), col(rule_id).alias("rule_id"),
+        col(status).alias("status"), col(severity).alias("severity"), col(field).alias("field"),
+        col(text).alias("actual_value"), col(num, "double").alias("actual_num"), col(unit).alias("actual_unit"),
+        col(expected).alias("expected_condition"), col(explanation).alias("explanation"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Add the place and category that rule and field stand for."""
+    return rows.withColumns({
+        "rule_no": literal_map(F.col("rule_id"), RULE_NO), "category": literal_map(F.col("rule_id"), CATEGORY),
+        "field_pos": F.coalesce(literal_map(F.col("field"), FIELD_POS), F.lit(99))}).select(*FINDING)
 
 
 def _emit(df: DataFrame, findings: list[Column]) -> DataFrame:
     """One row per non-null finding of each input row."""
     rows = df.select("product_id", F.explode(F.array_compact(F.array(*findings))).alias("_f"))
-    return rows.select("product_id", "_f.*").select(*FINDING)
+    return _numbered(rows.select("product_id", "_f.*"))
 
 
 def _missing() -> Column:
@@ -77,62 +88,64 @@ def _units_rule(expected: dict[str, str]) -> Column:
     want = literal_map(_field(), expected)
     same = F.col("canonical_unit").eqNullSafe(want)
     return F.when(~_missing(), _finding(
-        "SCHEMA_CANONICAL_UNITS", "SCHEMA", F.when(same, "PASS").otherwise("FAIL"),
+        "SCHEMA_CANONICAL_UNITS", F.when(same, "PASS").otherwise("FAIL"),
         F.when(same, "INFO").otherwise("HIGH"), _field(), F.col("canonical_unit"),
         expected=F.concat(F.lit("unit is "), F.coalesce(want, F.lit("none"))),
         explanation=F.concat(F.lit("unit of the field: "), F.coalesce("canonical_unit", F.lit("none")))))
 
 
-def _presence_rule(rule_id: str, category: str, names: list[str], status: str, severity: str) -> Column:
+def _presence_rule(rule_id: str, names: list[str], status: str, severity: str) -> Column:
     return F.when(_field().isin(names), _finding(
-        rule_id, category, F.when(_missing(), status).otherwise("PASS"), F.when(_missing(), severity).otherwise("INFO"),
+        rule_id, F.when(_missing(), status).otherwise("PASS"), F.when(_missing(), severity).otherwise("INFO"),
         _field(), _value_text(), expected="at least one usable fact",
         explanation=F.when(_missing(), "no usable fact from any source").otherwise(
             F.concat(F.col("n_refs").cast("string"), F.lit(" facts, outcome "), F.col("outcome")))))
 
 
 def _required() -> Column:
-    return _presence_rule("REQUIRED_FIELD_PRESENCE", "REQUIRED_FIELD", dims.REQUIRED_FIELDS, "FAIL", "HIGH")
+    return _presence_rule("REQUIRED_FIELD_PRESENCE", dims.REQUIRED_FIELDS, "FAIL", "HIGH")
 
 
 def _important() -> Column:
-    return _presence_rule("IMPORTANT_FIELD_PRESENCE", "MISSING_DATA", dims.IMPORTANT_FIELDS, "WARNING", "MEDIUM")
+    return _presence_rule("IMPORTANT_FIELD_PRESENCE", dims.IMPORTANT_FIELDS, "WARNING", "MEDIUM")
 
 
 def _inventory() -> Column:
     optional = ~_field().isin(dims.REQUIRED_FIELDS + dims.IMPORTANT_FIELDS)
     return F.when(_missing() & optional, _finding(
-        "MISSING_DATA_INVENTORY", "MISSING_DATA", "NOT_CHECKED", "LOW", _field(), expected="optional field",
+        "MISSING_DATA_INVENTORY", "NOT_CHECKED", "LOW", _field(), expected="optional field",
         explanation="optional field without a usable fact"))
 
 
-def _bounds(rule: tuple) -> tuple[Column, Column, Column]:
-    _, _, low, high, strict, _ = rule
-    return F.lit(low).cast("double"), F.lit(high).cast("double"), F.lit(strict)
+class _Range:
+    """The range rule of the row's field, read from the rule table."""
+
+    def __init__(self) -> None:
+        def column(i: int) -> Column:
+            return literal_map(_field(), {r[1]: r[i] for r in dims.RANGE_RULES if r[i] is not None})
+
+        self.rule_id, self.low, self.high, self.severity = column(0), column(2), column(3), column(5)
+        self.strict = _field().isin([r[1] for r in dims.RANGE_RULES if r[4]])
+
+    def violated_by(self, value: Column) -> Column:
+        return (value < self.low) | (self.strict & (value == self.low)) | F.coalesce(value > self.high, F.lit(False))
 
+    def condition(self, checked: Column | None = None) -> Column:
+        return range_condition(self.low, self.high, self.strict if checked is None else self.strict & checked)
 
-def _violates(value: Column, rule: tuple) -> Column:
-    _, _, low, high, strict, _ = rule
-    bad = F.lit(False)
-    if low is not None:
-        bad = bad | ((value <= low) if strict else (value < low))
-    if high is not None:
-        bad = bad | (value > high)
-    return bad
 
+_RANGED = [r[1] for r in dims.RANGE_RULES]
 
-def _range_single(rule: tuple) -> Column:
+
+def _range_single() -> Column:
     """Missing field, or the single value of a field without conflict."""
-    rule_id, field, *_, severity = rule
-    value = F.col("value_num")
-    bad = _violates(value, rule)
-    low, high, strict = _bounds(rule)
-    status = F.when(value.isNull(), "NOT_CHECKED").when(bad, "FAIL").otherwise("PASS")
-    return F.when((_field() == field) & ~F.col("has_conflict"), _finding(
-        rule_id, "RANGE", status, F.when(value.isNull(), "LOW").when(bad, severity).otherwise("INFO"), field,
-        value.cast("string"), value, F.when(value.isNotNull(), F.col("canonical_unit")),
-        range_condition(low, high, F.when(value.isNull(), F.lit(False)).otherwise(strict)),
-        F.when(value.isNull(), "no value").when(bad, "value outside the range").otherwise("value within the range")))
+    rule, value = _Range(), F.col("value_num")
+    bad, absent = rule.violated_by(value), value.isNull()
+    return F.when(_field().isin(_RANGED) & ~F.col("has_conflict"), _finding(
+        rule.rule_id, F.when(absent, "NOT_CHECKED").when(bad, "FAIL").otherwise("PASS"),
+        F.when(absent, "LOW").when(bad, rule.severity).otherwise("INFO"), _field(),
+        value.cast("string"), value, F.when(~absent, F.col("canonical_unit")), rule.condition(~absent),
+        F.when(absent, "no value").when(bad, "value outside the range").otherwise("value within the range")))
 
 
 def _efficiency_single() -> Column:
@@ -140,7 +153,7 @@ def _efficiency_single() -> Column:
     low = value < dims.EFFICIENCY_FLOOR
     status = F.when(value.isNull(), "NOT_CHECKED").when(low, "WARNING").otherwise("PASS")
     return F.when((_field() == "efficiency") & ~F.col("has_conflict"), _finding(
-        "ENGINEERING_EFFICIENCY_IE3", "ENGINEERING", status,
+        "ENGINEERING_EFFICIENCY_IE3", status,
         F.when(value.isNull(), "LOW").when(low, "MEDIUM").otherwise("INFO"), "efficiency", value.cast("string"), value,
         F.when(value.isNotNull(), "%"), F.when(value.isNotNull(), f">= {dims.EFFICIENCY_FLOOR}%"),
         F.when(value.isNull(), "no efficiency value").when(low, "efficiency below the usual floor")
@@ -156,7 +169,7 @@ def check_version(products: DataFrame, expected: str = dims.NORMALIZATION_VERSIO
     version = F.col("normalization_version")
     same = version.eqNullSafe(F.lit(expected))
     return _emit(products, [_finding(
-        "SCHEMA_NORMALIZATION_VERSION", "SCHEMA", F.when(same, "PASS").otherwise("WARNING"),
+        "SCHEMA_NORMALIZATION_VERSION", F.when(same, "PASS").otherwise("WARNING"),
         F.when(same, "INFO").otherwise("LOW"), "(product)", version, expected=f"version is {expected}",
         explanation=F.when(same, "known version").otherwise("other version, review the schema"))])
 
@@ -181,19 +194,6 @@ def _conflict_values(pairs: DataFrame) -> DataFrame:
     return pairs.filter(F.col("value_a").isNotNull()).select(*KEYS, "n_copies", F.inline(sides))
 
 
-def _range_columns(field: Column) -> tuple[Column, Column, Column, Column]:
-    """Rule table columns for a field: violation of ``value``, rule id, severity, condition."""
-    bad, rule_id, severity, condition = (F.lit(None) for _ in range(4))
-    for rule in dims.RANGE_RULES:
-        here = field == rule[1]
-        low, high, strict = _bounds(rule)
-        bad = F.when(here, _violates(F.col("value"), rule)).otherwise(bad)
-        rule_id = F.when(here, rule[0]).otherwise(rule_id)
-        severity = F.when(here, rule[5]).otherwise(severity)
-        condition = F.when(here, range_condition(low, high, strict)).otherwise(condition)
-    return bad, rule_id, severity, condition
-
-
 def _range_conflicts(fields: DataFrame, pairs: DataFrame, normalized: DataFrame,
                      global_normalized: DataFrame | None) -> DataFrame:
     """Range findings of conflicted fields.
@@ -201,43 +201,36 @@ def _range_conflicts(fields: DataFrame, pairs: DataFrame, normalized: DataFrame,
     Every value of every pair is tested, and the parsed value of every fact of the field. Values outside the range are
     filtered before the join to the conflicted fields, so only violations move.
     """
-    ruled = [r[1] for r in dims.RANGE_RULES]
-    bad, rule_id, severity, condition = _range_columns(_field())
-    from_pairs = _conflict_values(pairs).filter(_field().isin(ruled)).filter(bad).select(
+    rule = _Range()
+    bad = rule.violated_by(F.col("value"))
+    from_pairs = _conflict_values(pairs).filter(_field().isin(_RANGED)).filter(bad).select(
         *KEYS, "value", "unit", "item", "n_copies")
-    conflicted = fields.filter(F.col("has_conflict") & _field().isin(ruled)).select(*KEYS)
-    facts = normalized.filter(F.col("value").isNotNull() & _field().isin(ruled)).filter(bad).select(
+    conflicted = fields.filter(F.col("has_conflict") & _field().isin(_RANGED)).select(*KEYS)
+    facts = normalized.filter(F.col("value").isNotNull() & _field().isin(_RANGED)).filter(bad).select(
         *KEYS, "value", "unit", (F.lit(1 << 61) + fact_order()).alias("item"), F.lit(1).cast("long").alias("n_copies"))
     violations = from_pairs.unionByName(facts.join(conflicted, KEYS, "left_semi"))
     if global_normalized is not None:
         copies = F.col("n_copies") if "n_copies" in global_normalized.columns else F.lit(1).cast("long")
-        shared = global_normalized.filter(F.col("value").isNotNull() & _field().isin(ruled)).filter(bad).select(
+        shared = global_normalized.filter(F.col("value").isNotNull() & _field().isin(_RANGED)).filter(bad).select(
             "canonical_field", "value", "unit", (F.lit(1 << 61) + fact_order()).alias("item"), copies.alias("n_copies"))
         violations = violations.unionByName(conflicted.join(shared, "canonical_field").select(*violations.columns))
     # A fact that stands for several equal copies counts once per copy.
     violations = violations.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
 
-    def shape(df: DataFrame, status: str, sev: Column, text: Column, num: Column, unit: Column, why: str) -> DataFrame:
-        return df.select(
-            "product_id", literal_map(rule_id, RULE_NO).cast("int").alias("rule_no"),
-            literal_map(_field(), FIELD_POS).cast("int").alias("field_pos"), "item", rule_id.alias("rule_id"),
-            F.lit("RANGE").alias("category"), F.lit(status).alias("status"), sev.alias("severity"),
-            _field().alias("field"), text.alias("actual_value"), num.alias("actual_num"), unit.alias("actual_unit"),
-            condition.alias("expected_condition"), F.lit(why).alias("explanation"))
-
-    fails = shape(violations, "FAIL", severity, F.col("value").cast("string"), F.col("value"), F.col("unit"),
-                  "value outside the range")
-    clean = conflicted.join(violations.select(*KEYS).distinct(), KEYS, "left_anti").withColumn(
-        "item", F.lit(0).cast("long"))
-    passes = shape(clean, "PASS", F.lit("INFO"), F.lit("(conflicted)"), F.lit(None).cast("double"),
-                   F.lit(None).cast("string"), "conflicted, but every value is within the range")
-    return fails.unionByName(passes).select(*FINDING)
+    fails = violations.select("product_id", _finding(
+        rule.rule_id, "FAIL", rule.severity, _field(), F.col("value").cast("string"), F.col("value"), F.col("unit"),
+        rule.condition(), "value outside the range", F.col("item")).alias("_f"))
+    clean = conflicted.join(violations.select(*KEYS).distinct(), KEYS, "left_anti")
+    passes = clean.select("product_id", _finding(
+        rule.rule_id, "PASS", "INFO", _field(), F.lit("(conflicted)"), expected=rule.condition(),
+        explanation="conflicted, but every value is within the range").alias("_f"))
+    return _numbered(fails.unionByName(passes).select("product_id", "_f.*"))
 
 
 def check_ranges(fields: DataFrame, pairs: DataFrame, normalized: DataFrame,
                  global_normalized: DataFrame | None = None) -> DataFrame:
     """The seven range rules."""
-    return _emit(fields, [_range_single(r) for r in dims.RANGE_RULES]).unionByName(
+    return _emit(fields, [_range_single()]).unionByName(
         _range_conflicts(fields, pairs, normalized, global_normalized))
 
 
@@ -254,7 +247,7 @@ def check_cross_source(pairs: DataFrame) -> DataFrame:
     a = F.when(F.col("value_a").isNull(), F.col("text_a")).otherwise(side("value_a", "text_a", "unit_a"))
     b = F.when(F.col("value_b").isNull(), F.col("text_b")).otherwise(side("value_b", "text_b", "unit_b"))
     return _emit(_copies(pairs), [_finding(
-        "CONSISTENCY_CROSS_SOURCE", "CONFLICT", "CONFLICT", "HIGH", _field(), F.concat(a, F.lit(" / "), b),
+        "CONSISTENCY_CROSS_SOURCE", "CONFLICT", "HIGH", _field(), F.concat(a, F.lit(" / "), b),
         expected="all sources agree", item=fact_order(),
         explanation=F.concat(F.lit("sources disagree: "), F.col("ref_a.source_type"), F.lit(" reports "), a,
                              F.lit(", "), F.col("ref_b.source_type"), F.lit(" reports "), b,
@@ -273,7 +266,7 @@ def check_source_pair(pairs: DataFrame, field: str = "rated_current", first: str
                     F.coalesce(two, F.lit("text")))
     rows = pairs.filter((_field() == field) & (straight | turned))
     return _emit(_copies(rows), [_finding(
-        rule_id, "CONFLICT", "CONFLICT", "HIGH", field, text, expected="both sources report the same value",
+        rule_id, "CONFLICT", "HIGH", field, text, expected="both sources report the same value",
         explanation=F.concat(F.lit("named sources disagree, "), text), item=fact_order())])
 
 
@@ -282,7 +275,7 @@ def _efficiency_conflicts(pairs: DataFrame) -> DataFrame:
     low = value < dims.EFFICIENCY_FLOOR
     each = _copies(_conflict_values(pairs.filter(_field() == "efficiency")))
     return _emit(each, [_finding(
-        "ENGINEERING_EFFICIENCY_IE3", "ENGINEERING", F.when(low, "WARNING").otherwise("PASS"),
+        "ENGINEERING_EFFICIENCY_IE3", F.when(low, "WARNING").otherwise("PASS"),
         F.when(low, "MEDIUM").otherwise("INFO"), "efficiency", value.cast("string"), value, "%",
         f">= {dims.EFFICIENCY_FLOOR}%", F.when(low, "efficiency below the usual floor").otherwise("plausible efficiency"),
         item=F.col("item"))])
@@ -324,7 +317,7 @@ def _torque_rule() -> Column:
     status = F.when(absent.isNotNull(), "NOT_CHECKED").when(stopped, "FAIL").when(near, "PASS").otherwise("WARNING")
     checked = absent.isNull() & ~stopped
     return _finding(
-        "ENGINEERING_TORQUE_POWER_RPM", "ENGINEERING", status,
+        "ENGINEERING_TORQUE_POWER_RPM", status,
         F.when(absent.isNotNull(), "LOW").when(stopped, "HIGH").when(near, "INFO").otherwise("MEDIUM"),
         F.coalesce(absent, F.when(stopped, "rated_speed"), F.lit(dims.TORQUE_ATTRIBUTE)),
         F.when(checked, t).when(absent.isNull(), n).cast("string"), F.when(checked, t).when(absent.isNull(), n),
@@ -352,7 +345,7 @@ def _sync_rule() -> Column:
     bad = (n <= 0) | (n >= sync)
     tight = slip < dims.MIN_SLIP
     return _finding(
-        "ENGINEERING_SYNCHRONOUS_SPEED", "ENGINEERING",
+        "ENGINEERING_SYNCHRONOUS_SPEED",
         F.when(absent.isNotNull(), "NOT_CHECKED").when(bad, "FAIL").when(tight, "WARNING").otherwise("PASS"),
         F.when(absent.isNotNull(), "LOW").when(bad, "HIGH").when(tight, "LOW").otherwise("INFO"),
         F.coalesce(absent, F.lit("rated_speed")), F.when(absent.isNull(), n.cast("string")),
@@ -376,7 +369,7 @@ def run_rules(fields: DataFrame, products: DataFrame, pairs: DataFrame, normaliz
     """All findings: one pass over fields, one over product rows, and the conflict rules."""
     per_field = _emit(fields, [
         _units_rule({f: u for f, u in dims.CANONICAL_FIELDS if u}), _required(), _important(),
-        *[_range_single(r) for r in dims.RANGE_RULES], _efficiency_single(), _inventory()])
+        _range_single(), _efficiency_single(), _inventory()])
     per_product = _emit(product_row(fields, unmapped, global_unmapped), [_torque_rule(), _sync_rule()])
     parts = [per_field, check_version(products), _range_conflicts(fields, pairs, normalized, global_normalized),
              check_cross_source(pairs), per_product, _efficiency_conflicts(pairs), check_source_pair(pairs)]
