@@ -112,7 +112,8 @@ _CONSTANT = " UNION ALL ".join(
 
 @register("page_constants", f"SELECT * FROM ({_CONSTANT})")
 def _constants(spark, sf):
-    pages = inputs.table(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.expr(_PAGE_TEXT).alias("text"))
+    documents = inputs.dealt(inputs.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    pages = documents.select(F.col("doc_id").alias("page"), F.expr(_PAGE_TEXT).alias("text"))
     return tabular.page_constants(pages).select(F.col("page").cast("long").alias("page"), "attribute", "raw_value", "unit", "value", "evidence_text")
 
 
@@ -136,7 +137,8 @@ def _text_specs() -> str:
 
 @register("html_text_specs", f"SELECT doc_id, attribute, raw_value, unit, value, evidence_text FROM ({_text_specs()})")
 def _text_spec_query(spark, sf):
-    pages = inputs.table(spark, sf, "documents").select(
+    documents = inputs.dealt(inputs.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    pages = documents.select(
         F.col("doc_id").cast("string").alias("product_id"), F.lit("u").alias("url"), "text")
     return html.html_text_specs(pages, TEXT_PATTERNS).select(
         F.col("product_id").cast("long").alias("doc_id"), "attribute", "raw_value", "unit", "value", "evidence_text")
@@ -165,7 +167,7 @@ def _strip_sql() -> dict[str, str]:
 
 @register("html_strip", "SELECT * FROM stripped", _strip_sql())
 def _strip(spark, sf):
-    return html.html_strip(inputs.table(spark, sf, "pages")).select("page_id", "text", F.length("body_html").cast("long").alias("n_body"))
+    return html.html_strip(inputs.dealt(inputs.table(spark, sf, "pages"), "page_id")).select("page_id", "text", F.length("body_html").cast("long").alias("n_body"))
 
 
 _HTML = (
