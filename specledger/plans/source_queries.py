@@ -49,7 +49,7 @@ def _melt(spark, sf):
 _FIRST = f"case when {K} % 17 = 0 then 'Output kW' when {K} % 19 = 0 then '1500' else replace({_text(f'{SIZE}/10')}, '.', ',') end"
 _GRID_CELLS = [_FIRST, f"concat(' ', {_text(f'{SIZE}*10')}, ' ')", "'90S'", _text(f"{K} % 7"), "''", "null", "'2,5'", "'0.01'"]
 _GRID_POLES = f"case when {K} % 3 = 0 then null else {POLES} end"
-_MANIFEST_ID = f"concat('PIQ-W-', {_text(POLES)}, 'P-', {_text(f'round({SIZE}/10 + 1, 1)')})"
+_MANIFEST_ID = f"concat('MTR-W-', {_text(POLES)}, 'P-', {_text(f'round({SIZE}/10 + 1, 1)')})"
 
 
 def _cells(spark, sf):

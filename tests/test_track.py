@@ -5,7 +5,7 @@ from specledger.operators import audit, claims, explore, normalize, skew, trust,
 from specledger.plans.tracks import SpecTrack
 from specledger.schema import EVIDENCE, conform
 
-PID = "PIQ-W22SP-4P-1.1"
+PID = "MTR-W22SP-4P-1.1"
 FACT = "source_type string, attribute string, raw_value string, value double, unit string, source_rank int, pos long, product_id string, confidence double, page int, row long, `column` string"
 DEMO = [
     ("pdf", "rated_power", "1.1", 1.1, "kW", 0, 1, PID, 0.92, 5, None, None),
@@ -20,7 +20,7 @@ DEMO = [
     ("pdf", "rated_voltage", "400", 400.0, "V", 3, 1, "GLOBAL", 0.8, 4, None, None),
     ("pdf", "rated_voltage", "400", 400.0, "V", 3, 2, "GLOBAL", 0.8, 5, None, None),
 ]
-EMPTY = "PIQ-W22SP-6P-9"
+EMPTY = "MTR-W22SP-6P-9"
 
 
 def evidence(spark, rows):
@@ -28,7 +28,7 @@ def evidence(spark, rows):
 
 
 def products(spark, *ids, version="2.0.0"):
-    return spark.createDataFrame([(i, "WEG", "W22", version) for i in ids],
+    return spark.createDataFrame([(i, "ACME", "W22", version) for i in ids],
                                  "product_id string, manufacturer string, model string, normalization_version string")
 
 
