@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DIRS: dict[str, str] = {}
-
 # Runtime settings the plans count on. All can be set on a running session.
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -40,32 +36,22 @@ def build_session(app: str = "specledger", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def stage_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+def stage_dir(spark: SparkSession) -> str:
+    """The shared folder for stage tables: ``spark.checkpoint.dir`` of the session.
 
-    Where none is named, a local session (as in tests) gets a temporary folder of its own; a cluster gets None.
+    Where it is unset, as in tests, the stages go under the session's warehouse, which driver and executors share as well.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="run-")
-    return _LOCAL_DIRS[app]
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages"
 
 
 def stage_table(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back, so later stages do not recompute it.
 
-    The table goes to the cluster's shared folder, so a lost executor costs no recomputation of earlier stages.
-    Without a folder the frame is returned as it is and stays lazy.
+    The table goes to the shared folder, so a lost executor costs no recomputation of earlier stages, and its size is known to the
+    planner when it picks joins.
     """
     spark = df.sparkSession
-    root = folder or stage_dir(spark)
-    if root is None:
-        return df
-    path = os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+    path = f"{folder or stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
