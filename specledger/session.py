@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +48,9 @@ def stage_dir(spark: SparkSession) -> str:
     return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages"
 
 
+_made: ContextVar[list[str] | None] = ContextVar("_made", default=None)
+
+
 def stage_table(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back, so later stages do not recompute it.
 
@@ -54,4 +60,31 @@ def stage_table(df: DataFrame, name: str, folder: str | None = None) -> DataFram
     spark = df.sparkSession
     path = f"{folder or stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return out
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stage tables that nothing reads any more, through the file system that holds them."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop_stages(*frames: DataFrame) -> None:
+    """Delete tables made by ``stage_table`` once all that was derived from them is stored."""
+    drop_paths(frames[0].sparkSession, [f._stage_path for f in frames])
+
+
+@contextmanager
+def noting_stages(paths: list[str]) -> Iterator[None]:
+    """Add the path of every table staged inside to ``paths``."""
+    token = _made.set(paths)
+    try:
+        yield
+    finally:
+        _made.reset(token)
