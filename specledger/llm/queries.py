@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from specledger.llm import decontaminate, packing, quality, simhash, suffix
+from specledger.llm import decontaminate, licences, packing, quality, sharding, simhash, suffix, urls, warc, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,18 +32,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ORACLE["op1_warc"] = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+d as (select page_id, strlen(body) as n, sha256(body) as digest from p),
+f as (select digest, min(page_id) as first, count(*) as copies from d where n >= 100 group by digest)
+select page_id, n as payload_bytes, d.digest as payload_digest,
+  case when copies > 1 and page_id <> first then 'revisit' else 'response' end as record_type,
+  case when copies > 1 and page_id <> first then first end as refers_to
+from d left join f on f.digest = d.digest"""
+
+
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a deduplicated WARC archive, read back."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("record_id"), "url", F.col("html").alias("payload"))
+    return warc.archive_pages(pages).select(
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose fingerprints differ in two bits or fewer."""
     return simhash.link_fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy word pieces of every document."""
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"))
+
+
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+ORACLE["op4_url_filter"] = urls.oracle(RULES)
+
+
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's URL, by rule or by its host's place in the link graph."""
+    return urls.judge_urls(table(spark, sf_dir, "pages"), RULES)
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token pieces of all documents and their places in sequences of 1,024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of near equal bytes; equal texts share a shard."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+ORACLE["op7_licences"] = licences.oracle()
+
+
+@query
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best licence notice in every document."""
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""

@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from specledger.llm.components import components
 from specledger.llm.golay import near_indices
 from specledger.llm.words import shingles, words
-from specledger.session import stage_table
+from specledger.session import drop_stages, stage_table
 
 SEED = 42
 CUTS = ((0, 22), (22, 21), (43, 21))  # first bit and length of the segments of 64 bits
@@ -105,7 +105,9 @@ def close_pairs(fps: DataFrame) -> DataFrame:
     words_near = large.select("fp", F.explode(F.transform(flips, lambda f: f.bitwiseXOR(F.col("fp")))).alias("w"))
     stars = words_near.groupBy("w").agg(F.collect_list("fp").alias("m")).filter(F.size("m") > 1).select(
         F.array_min("m").alias("a"), F.explode("m").alias("b"))
-    return pairs.unionByName(stars.filter("a <> b")).distinct()
+    edges = stage_table(pairs.unionByName(stars.filter("a <> b")).distinct(), "close-pairs")
+    drop_stages(keys, sizes)
+    return edges
 
 
 def link_fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -177,11 +179,11 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     """
     dealt = nodes.mapInPandas(_wide_rows, "key long, id long").repartition("key")
     many = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = dealt.join(many.hint("shuffle_hash"), "key")
+    members = stage_table(dealt.join(many.hint("shuffle_hash"), "key"), "bucket-members")
     few = members.filter(F.col("n") <= GROUP_PAIRS).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("m")).select(
         F.inline(F.flatten(F.transform("m", lambda x, i: F.transform(
             F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))))
-    crowd = stage_table(members.filter(F.col("n") > GROUP_PAIRS).select("key", "id"), "crowds")
+    crowd = members.filter(F.col("n") > GROUP_PAIRS).select("key", "id")
     heads = crowd.groupBy("key").agg(F.min("id").alias("a"))
     stars = crowd.join(heads, "key").select("a", F.col("id").alias("b"))
     pairs = few.unionByName(stars).filter("a < b").distinct()

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from specledger.llm.words import CHUNK_BYTES, bounded
-from specledger.session import stage_table
+from specledger.session import drop_stages, stage_table
 
 BLOCK = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -124,7 +124,7 @@ def double_ranks(alive: DataFrame) -> DataFrame:
                 "rid", "i", "a", F.xxhash64("rank", "next", F.col("b") - F.col("a")).alias("rank")), "rank-pairs")
             ranks = stage_table(pairs.join(stage_table(repeated_ranks(pairs, ["rank"]), "ranks"), "rank", "left_semi"), "ranked")
     if not found:
-        return alive.limit(0).select("rid", "i", F.col("rank").alias("c0"), F.col("rank").alias("c1"))
+        found = [alive.filter("false").select("rid", "i", F.col("rank").alias("c0"), F.col("rank").alias("c1"))]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -255,13 +255,16 @@ def repeats(numbered: DataFrame, length: int, keep_text: bool = False) -> DataFr
         raise ValueError(f"length must be at least {2 * BLOCK}")
     anchors = stage_table(numbered.select("rid", "text").mapInPandas(
         _anchor_rows(length), "rid long, i int, a long, lo long, hi long, s int, e int, rank long"), "anchors")
-    alive = stage_table(anchors.join(stage_table(repeated_ranks(anchors, ["rank"]), "grams"), "rank", "left_semi"), "alive")
+    grams = stage_table(repeated_ranks(anchors, ["rank"]), "grams")
+    alive = stage_table(anchors.join(grams, "rank", "left_semi"), "alive")
+    drop_stages(anchors, grams)
 
     spans = double_ranks(alive)
     twice = stage_table(spans.groupBy("c0", "c1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "i")).alias("rep"))
                         .filter("n > 1").drop("n"), "repeated-spans")
     settled = spans.join(twice, ["c0", "c1"]).select("rid", "i", (F.struct("rid", "i") == F.col("rep")).alias("is_rep"))
     state = stage_table(alive.join(settled, ["rid", "i"], "left").select("rid", "a", "lo", "hi", "rank", "is_rep"), "state")
+    drop_stages(alive, spans, twice)
     open_ranks = stage_table(state.filter("is_rep is null").select("rank").distinct().withColumn("wanted", F.lit(True)), "open-ranks")
     # 0: settled, 1: open, 2: settled and in the comparison for its string.
     marks = state.filter("is_rep is null or not is_rep").select(
@@ -270,6 +273,7 @@ def repeats(numbered: DataFrame, length: int, keep_text: bool = False) -> DataFr
             "rid", F.when(F.col("wanted"), 2).otherwise(0).alias("kind"), "a", "lo", "hi"))
     marked = numbered.select("rid", "text").join(_by_row(marks, kinds="kind", as_="a", los="lo", his="hi"), "rid", "left")
     second = stage_table(marked.mapInPandas(_settle(length, keep_text), _SECOND), "second")
+    drop_stages(state, open_ranks)
 
     contexts = second.filter("kind = 1").select("rid", "a", "lo", "hi", "rep", "context")
     blocks = stage_table(contexts.mapInPandas(
@@ -278,6 +282,7 @@ def repeats(numbered: DataFrame, length: int, keep_text: bool = False) -> DataFr
     whole = stage_table(live.groupBy("w0", "w1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "a", "b")).alias("one"))
                         .filter("n > 1").drop("n"), "repeated-blocks")
     judged = stage_table(live.join(whole, ["w0", "w1"], "left").withColumn("full", F.col("one").isNotNull()), "judged-blocks")
+    drop_stages(blocks, live, whole)
     unsure = judged.filter("not full and not rep")
     shared = stage_table(unsure.select("shared").distinct(), "open-blocks")
     stand_in = judged.filter((~F.col("full") & F.col("rep")) | (F.col("one") == F.struct("rid", "a", "b")))
