@@ -1,16 +1,16 @@
-"""Exact removal of repeated byte strings (operator 10): prefix doubling over sampled suffixes.
+"""Exact removal of repeated byte strings (operator 10): ranks of sampled suffixes at growing lengths.
 
 Every string of ``length`` bytes that starts in two places, in one document or two, is found; each byte it covers is
-removed. Plain prefix doubling sorts a row for each byte of the corpus in every round. Here the suffixes are sampled by content first, so that the
-sorted rows are about one for every hundred bytes, and the result is still exact to the byte:
-
-1. *Anchors.* A window of ``length`` bytes has as its anchor the first smallest hash of 8 bytes in its first half. Equal windows have equal
-   anchors at equal places, and the ``length - half + 1`` bytes from the anchor (its gram) lie inside the window. Windows with one
-   anchor are neighbours, so a row per anchor describes them all.
-2. *Prefix doubling.* Rank of an anchor: its gram. Anchors with a unique rank drop out: none of their windows is repeated. Rank pairs of
-   anchors 1, 2, 4, ... places apart are ranked again, and unique ones drop out, until the ranks span
-   all windows of an anchor. If that span occurs twice, all windows of the anchor are repeated.
-3. *Edges.* Anchors left over lie at the ends of repeats, where only some of their windows are repeated. Their windows are compared in blocks of
+removed. Plain prefix doubling sorts a row for each byte of the corpus in every round, which no disk budget here allows; so the suffixes are sampled by
+content, and the result is still exact to the byte:
+
+1. *Sampled suffixes.* A window of ``length`` bytes has as its anchor the first smallest hash of 8 bytes in its first ``REACH`` part. Equal windows
+   have equal anchors at equal places, and the bytes from the anchor that all of them hold (its gram) lie inside the window. Windows with one
+   anchor are neighbours, so one row per anchor describes them all.
+2. *Ranks at growing lengths.* First rank of an anchor: its gram. Unique ones drop out: none of their windows is repeated. Second rank: all that
+   its windows hold together. Past the threshold: if that occurs twice at the same place, all windows of the anchor are repeated. As equal strings have
+   equal hashes, the task that holds the text computes the ranks, and Spark groups them; no rank pairs need to be joined.
+3. *Edges.* Anchors left over lie at the ends of repeats, where only some of their windows are repeated. Their windows are ranked in blocks of
    ``BLOCK``, then one by one. A place that is already settled still takes part once per distinct string, because
    an edge may match it.
 
@@ -36,6 +36,7 @@ from specledger.llm.words import CHUNK_BYTES, bounded
 from specledger.session import drop_stages, stage_table
 
 BLOCK = 16
+REACH = 0.7
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 
@@ -44,8 +45,8 @@ def _bytes(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
-def window_anchors(data: bytes, half: int) -> np.ndarray:
-    """For each place, that of the first smallest hash among the ``half`` places from it (short of places at the end)."""
+def window_anchors(data: bytes, reach: int) -> np.ndarray:
+    """For each place, that of the first smallest hash among the ``reach`` places from it (short of places at the end)."""
     n = len(data)
     padded = data + bytes(8)
     grams = np.ndarray((n,), "<u8", padded, strides=(1,))
@@ -53,18 +54,18 @@ def window_anchors(data: bytes, half: int) -> np.ndarray:
     mixed ^= mixed >> np.uint64(29)
     low = ((mixed * _MIX) & _HIGH) | np.arange(n, dtype=np.uint64)
     span = 1
-    while span * 2 <= half:
+    while span * 2 <= reach:
         low = np.minimum(low[:len(low) - span], low[span:])
         span *= 2
-    if span < half:
-        low = np.minimum(low[:len(low) - (half - span)], low[half - span:])
+    if span < reach:
+        low = np.minimum(low[:len(low) - (reach - span)], low[reach - span:])
     return (low & ~_HIGH).astype(np.int64)
 
 
 def _anchor_rows(length: int):
-    half = length // 2
-    gram = length - half + 1
-    columns = ["rid", "i", "a", "lo", "hi", "s", "e", "rank"]
+    reach = int(length * REACH)
+    gram = length - reach + 1
+    columns = ["rid", "a", "lo", "hi", "rank", "u0", "u1"]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -73,7 +74,7 @@ def _anchor_rows(length: int):
                 data = b"".join(texts)
                 if len(data) < length:
                     continue
-                places = window_anchors(data, half)
+                places = window_anchors(data, reach)
                 parts, start = [], 0
                 for rid, text in zip(batch["rid"].iloc[first:last], texts):
                     if len(text) >= length:
@@ -82,13 +83,11 @@ def _anchor_rows(length: int):
                         lo = np.concatenate(([0], cut))
                         hi = np.concatenate((cut - 1, [len(own) - 1]))
                         a = own[lo]
-                        # The span of ranks that holds all windows: from the last anchor at or before the first window's start ...
-                        s = np.searchsorted(a, lo, "right") - 1
-                        # ... to the first whose gram reaches the last window's end.
-                        e = np.searchsorted(a, hi + length - gram, "left")
-                        e[e == len(a)] = -1
                         rank = np.fromiter((xxhash.xxh3_64_intdigest(text[x:x + gram]) for x in a.tolist()), np.uint64, len(a))
-                        parts.append((np.full(len(a), rid), np.arange(len(a)), a, lo, hi, s, e, rank.view(np.int64)))
+                        # The place of the anchor in the string is part of the rank.
+                        whole = np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[x:y + length], seed=z - x) for x, y, z in zip(
+                            lo.tolist(), hi.tolist(), a.tolist())]), "<i8").reshape(-1, 2)
+                        parts.append((np.full(len(a), rid), a, lo, hi, rank.view(np.int64), whole[:, 0], whole[:, 1]))
                     start += len(text)
                 if parts:
                     yield pd.DataFrame({c: np.concatenate(v) for c, v in zip(columns, zip(*parts))})
@@ -100,37 +99,6 @@ def repeated_ranks(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
 
 
-def double_ranks(alive: DataFrame) -> DataFrame:
-    """Prefix doubling: ``rid``, ``i``, ``c0``, ``c1`` of every anchor whose whole span consists of repeated ranks (the span's own rank)."""
-    spans = alive.filter("s >= 0 and e >= 0").select(
-        "rid", "i", "a", "s", "e", F.floor(F.log2(F.col("e") - F.col("s") + 1) + 1e-9).cast("int").alias("level"))
-    spans = stage_table(spans, "spans")
-    top = spans.agg(F.max("level")).first()[0]
-    ranks = alive.select("rid", "i", "a", "rank")
-    found = []
-    for level in range((-1 if top is None else top) + 1):
-        step = 1 << level
-        head = ranks.select("rid", F.col("i").alias("s"), F.col("a").alias("sa"), F.col("rank").alias("r0"))
-        tail = ranks.select("rid", (F.col("i") + step - 1).alias("e"), F.col("a").alias("ea"), F.col("rank").alias("r1"))
-        # i sets apart the anchors that have one span.
-        parts = ["r0", "r1", F.col("ea") - F.col("sa"), F.col("a") - F.col("sa")]
-        found.append(spans.filter(F.col("level") == level).join(head, ["rid", "s"]).join(tail, ["rid", "e"]).select(
-            "rid", "i", F.xxhash64(*parts).alias("c0"), F.xxhash64(F.lit("second"), *parts).alias("c1")))
-        if level < top:
-            longer = spans.filter(F.col("level") > level).select("rid").distinct()
-            left = ranks.join(longer, "rid", "left_semi")
-            right = left.select("rid", (F.col("i") - step).alias("i"), F.col("a").alias("b"), F.col("rank").alias("next"))
-            pairs = stage_table(left.join(right, ["rid", "i"]).select(
-                "rid", "i", "a", F.xxhash64("rank", "next", F.col("b") - F.col("a")).alias("rank")), "rank-pairs")
-            ranks = stage_table(pairs.join(stage_table(repeated_ranks(pairs, ["rank"]), "ranks"), "rank", "left_semi"), "ranked")
-    if not found:
-        found = [alive.filter("false").select("rid", "i", F.col("rank").alias("c0"), F.col("rank").alias("c1"))]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return stage_table(out, "span-ranks")
-
-
 def cover(starts: np.ndarray, ends: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Maximal byte runs covered by windows that start in the closed ranges ``starts``..``ends``."""
     out: list[tuple[int, int]] = []
@@ -254,17 +222,16 @@ def repeats(numbered: DataFrame, length: int, keep_text: bool = False) -> DataFr
     if length < 2 * BLOCK:
         raise ValueError(f"length must be at least {2 * BLOCK}")
     anchors = stage_table(numbered.select("rid", "text").mapInPandas(
-        _anchor_rows(length), "rid long, i int, a long, lo long, hi long, s int, e int, rank long"), "anchors")
+        _anchor_rows(length), "rid long, a long, lo long, hi long, rank long, u0 long, u1 long"), "anchors")
     grams = stage_table(repeated_ranks(anchors, ["rank"]), "grams")
     alive = stage_table(anchors.join(grams, "rank", "left_semi"), "alive")
     drop_stages(anchors, grams)
 
-    spans = double_ranks(alive)
-    twice = stage_table(spans.groupBy("c0", "c1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "i")).alias("rep"))
-                        .filter("n > 1").drop("n"), "repeated-spans")
-    settled = spans.join(twice, ["c0", "c1"]).select("rid", "i", (F.struct("rid", "i") == F.col("rep")).alias("is_rep"))
-    state = stage_table(alive.join(settled, ["rid", "i"], "left").select("rid", "a", "lo", "hi", "rank", "is_rep"), "state")
-    drop_stages(alive, spans, twice)
+    twice = stage_table(alive.groupBy("u0", "u1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "a")).alias("rep"))
+                        .filter("n > 1").drop("n"), "repeated-wholes")
+    state = stage_table(alive.join(twice, ["u0", "u1"], "left").select(
+        "rid", "a", "lo", "hi", "rank", (F.struct("rid", "a") == F.col("rep")).alias("is_rep")), "state")
+    drop_stages(alive, twice)
     open_ranks = stage_table(state.filter("is_rep is null").select("rank").distinct().withColumn("wanted", F.lit(True)), "open-ranks")
     # 0: settled, 1: open, 2: settled and in the comparison for its string.
     marks = state.filter("is_rep is null or not is_rep").select(
