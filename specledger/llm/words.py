@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 
 # Texts handled at once inside a task, so that very long ones do not pile up in memory.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 
 
 def words(text: str | None, lower: bool = False) -> list[bytes]:
