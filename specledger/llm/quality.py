@@ -99,7 +99,8 @@ def fences(parts: DataFrame, width: float, prefix: str) -> DataFrame:
     """Median plus and minus ``width`` times the distance to the quartiles, at least the metric's slack."""
     bounds = []
     for m, (_, _, below, slack) in METRICS.items():
-        low, mid, high = (F.expr(f"kll_sketch_get_quantile_double(s_{m}, {q}D)") for q in (0.25, 0.5, 0.75))
+        # Without a document the sketch is empty and has no quantile.
+        low, mid, high = (F.when(F.col("n_docs") > 0, F.expr(f"kll_sketch_get_quantile_double(s_{m}, {q}D)")) for q in (0.25, 0.5, 0.75))
         bounds.append((mid + F.greatest(width * (high - mid), F.lit(slack))).alias(f"{prefix}hi_{m}"))
         if below:
             bounds.append((mid - F.greatest(width * (mid - low), F.lit(slack))).alias(f"{prefix}lo_{m}"))
@@ -155,7 +156,9 @@ def quality_report(docs: DataFrame, **options) -> DataFrame:
 
 def filter_quality(docs: DataFrame, **options) -> DataFrame:
     """The documents that pass, with all their columns."""
-    staged = stage_table(docs.withColumn("_s", text_stats("text")), "quality-docs")
+    # The document goes into one column, so that no name of its own clashes.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    staged = stage_table(docs.select("lang", "source", whole, text_stats("text").alias("_s")), "quality-docs")
     stat = lambda name: F.col(f"_s.{name}")
     kept = judge(staged, stat, thresholds(staged.select("lang", "source", "_s"), stat, **options))
-    return kept.filter("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.filter("_kept").select("_doc.*")

@@ -279,12 +279,12 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
 def dedup_passages(docs: DataFrame, length: int) -> DataFrame:
     """The documents without repeated strings; texts of which nothing but blanks is left go. ``n_chars``, if present, is counted anew."""
-    names = docs.columns
-    numbered = number_rows(docs, *[F.col(f"`{c}`") for c in names])
-    kept = repeats(numbered.select("rid", "text"), length, keep_text=True).select(
-        "rid", F.col("n_removed").alias("_removed"), F.col("kept").alias("_kept"))
-    out = numbered.join(kept, "rid").filter((F.col("_removed") == 0) | (F.trim("_kept") != ""))
-    new = {"text": F.when(F.col("_removed") > 0, F.col("_kept")).otherwise(F.col("text"))}
-    if "n_chars" in names:
-        new["n_chars"] = F.when(F.col("_removed") > 0, F.length("_kept")).otherwise(F.col("n_chars")).cast("long")
-    return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in names])
+    # The document goes into one column, so that no name of its own clashes.
+    numbered = number_rows(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    kept = repeats(numbered.select("rid", F.col("doc.text").alias("text")), length, keep_text=True)
+    cut = F.col("n_removed") > 0
+    out = numbered.join(kept, "rid").filter(~cut | (F.trim("kept") != ""))
+    new = {"text": F.when(cut, F.col("kept")).otherwise(F.col("doc.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(cut, F.length("kept")).otherwise(F.col("doc.n_chars")).cast("long")
+    return out.select(*[new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
