@@ -174,8 +174,8 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs of ids (``a`` < ``b``) that share a wide key and lie within the radius.
 
     Up to ``GROUP_PAIRS`` members of a bucket are paired with each other. In larger buckets, which hold many copies of one text, every member is
-    paired with the smallest one and its next neighbours in order of the fingerprint; a group of copies is then
-    connected through each of the many keys that its members share, while the pairs grow in proportion to the members.
+    paired with the smallest one only, so the pairs grow in proportion to the members. This is not exact: two members that resemble each other but
+    not the smallest must meet in another of their many buckets.
     """
     dealt = nodes.mapInPandas(_wide_rows, "key long, id long").repartition("key")
     many = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
