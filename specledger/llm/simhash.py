@@ -20,6 +20,7 @@ has an id); ``near_dedup`` cannot name them and passes them on. Only ``doc_id``
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -41,6 +42,7 @@ SEGMENTS, SEGMENT = 4, 23
 RADIUS = 24
 FEATURE_WORDS, SHINGLE_WORDS, SIMILARITY = 2, 5, 0.8
 GROUP_PAIRS = 32
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def simhash(grams: list[bytes]) -> int:
@@ -170,23 +172,70 @@ def _wide_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": keys, "id": part["id"].to_numpy(np.int64)[owner]})
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs of ids (``a`` < ``b``) that share a wide key and lie within the radius.
+def _finer_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keys that also hold a Golay key of one of the two segments which the first key leaves out."""
+    in_pair = np.array([[s in pair for s in range(SEGMENTS)] for pair in combinations(range(SEGMENTS), 2)])
+    for batch in batches:
+        key, f0, f1 = (batch[c].to_numpy(np.int64) for c in ("key", "f0", "f1"))
+        for s, f in enumerate((f0, f0, f1, f1)):
+            part = (f.view(np.uint64) >> np.uint64(SEGMENT * (s % 2))) & np.uint64((1 << SEGMENT) - 1)
+            index = near_indices(part.astype(np.int64))
+            row, column = np.nonzero((index >= 0) & ~in_pair[key >> 56, s][:, None])
+            # The high byte told the pair of segments and the next bits the length class; both stay part of the mixed key.
+            mixed = key[row].astype(np.uint64) * MIX + ((s << 12) | index[row, column]).astype(np.uint64)
+            yield pd.DataFrame({"key": (mixed * MIX).view(np.int64), "id": batch["id"].to_numpy(np.int64)[row]})
+
+
+def central(crowd: DataFrame) -> DataFrame:
+    """``key``, ``h``, ``h0``, ``h1``: the member of each bucket that is nearest to the majority of its members, bit by bit.
 
-    Up to ``GROUP_PAIRS`` members of a bucket are paired with each other. In larger buckets, which hold many copies of one text, every member is
-    paired with the smallest one only, so the pairs grow in proportion to the members. This is not exact: two members that resemble each other but
-    not the smallest must meet in another of their many buckets.
+    Of a text and its edited copies that is the text, which all of them resemble more than they do each other. A sum counts two bits at once, 32
+    places apart.
     """
-    dealt = nodes.mapInPandas(_wide_rows, "key long, id long").repartition("key")
+    lanes, low = F.lit((1 << 32) | 1), F.lit((1 << 32) - 1)
+    votes = crowd.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[
+        F.sum(F.shiftrightunsigned(f, k).bitwiseAND(lanes)).alias(f"{f}_{k}") for f in ("f0", "f1") for k in range(32)])
+
+    def majority(f: str) -> Column:
+        counts = {k: F.col(f"{f}_{k}").bitwiseAND(low) for k in range(32)} | {k + 32: F.shiftrightunsigned(f"{f}_{k}", 32) for k in range(32)}
+        return reduce(Column.bitwiseOR, [F.when(2 * c > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long"))
+                                         .otherwise(F.lit(0).cast("long")) for b, c in counts.items()])
+
+    centres = votes.select("key", majority("f0").alias("c0"), majority("f1").alias("c1"))
+    off = distance(F.col("f0"), F.col("c0")) + distance(F.col("f1"), F.col("c1"))
+    nearest = crowd.join(centres, "key").groupBy("key").agg(F.min(F.struct(off.alias("off"), "id", "f0", "f1")).alias("m"))
+    return nearest.select("key", F.col("m.id").alias("h"), F.col("m.f0").alias("h0"), F.col("m.f1").alias("h1"))
+
+
+def bucket_pairs(keyed: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (``a`` < ``b``) of the members of each bucket, and the members of large buckets that are too far from its central one.
+
+    Up to ``GROUP_PAIRS`` members are paired with each other. In larger buckets each is paired with the central one, so the pairs grow in
+    proportion to the members.
+    """
+    dealt = keyed.repartition("key")
     many = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stage_table(dealt.join(many.hint("shuffle_hash"), "key"), "bucket-members")
     few = members.filter(F.col("n") <= GROUP_PAIRS).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("m")).select(
         F.inline(F.flatten(F.transform("m", lambda x, i: F.transform(
             F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))))
-    crowd = members.filter(F.col("n") > GROUP_PAIRS).select("key", "id")
-    heads = crowd.groupBy("key").agg(F.min("id").alias("a"))
-    stars = crowd.join(heads, "key").select("a", F.col("id").alias("b"))
-    pairs = few.unionByName(stars).filter("a < b").distinct()
+    crowd = stage_table(members.filter(F.col("n") > GROUP_PAIRS).select("key", "id").join(prints, "id"), "crowds")
+    heads = stage_table(central(crowd), "crowd-heads")
+    met = crowd.join(heads, "key").withColumn("off", distance(F.col("f0"), F.col("h0")) + distance(F.col("f1"), F.col("h1")))
+    stars = met.filter(F.col("off") <= RADIUS).select(F.least("h", "id").alias("a"), F.greatest("h", "id").alias("b"))
+    return few.unionByName(stars).filter("a < b"), met.filter(F.col("off") > RADIUS).select("key", "id", "f0", "f1")
+
+
+def candidate_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs of ids (``a`` < ``b``) that share a wide key and lie within the radius.
+
+    Members that are too far from the central one of a large bucket meet again in buckets that share a third segment. The search is
+    probabilistic: members of a large bucket that lie near its central one without being similar to it are not compared with each other there.
+    """
+    prints = nodes.select("id", "f0", "f1")
+    first, far_off = bucket_pairs(nodes.mapInPandas(_wide_rows, "key long, id long"), prints)
+    again, _ = bucket_pairs(far_off.mapInPandas(_finer_rows, "key long, id long"), prints)
+    pairs = first.unionByName(again).distinct()
     sides = [nodes.select(F.col("id").alias(s), F.col("f0").alias(f"{s}0"), F.col("f1").alias(f"{s}1")) for s in "ab"]
     far = distance(F.col("a0"), F.col("b0")) + distance(F.col("a1"), F.col("b1"))
     return pairs.join(sides[0], "a").join(sides[1], "b").filter(far <= RADIUS).select("a", "b")

@@ -175,6 +175,27 @@ def test_near_dedup_recall(spark):
     assert sum(k not in kept for k in similar) >= 0.95 * len(similar) > 100
 
 
+def test_near_dedup_of_crowds(spark):
+    """A text comes after many edited copies, which are similar to it but hardly to each other."""
+    rng = random.Random(9)
+    texts, originals = [], []
+    for copies in (120, 60):
+        original = prose(400, rng)
+        texts += [edited(original, 7, rng) for _ in range(copies)] + [original]
+        originals.append(original)
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+
+    def alike(a, b):
+        return len(a & b) >= 0.8 * len(a | b)
+
+    root = components_of([(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])], range(len(texts)))
+    want = set(root.values())
+    assert not all(alike(sets[0], s) for s in sets[:121]) and len(want) == 2
+    kept = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    # The search is probabilistic: as for pairs, a twentieth may be missed.
+    assert want <= kept and len(kept - want) <= 0.05 * len(texts)
+
+
 # --- 3 ---
 def test_longest_match():
     rng = random.Random(2)
