@@ -19,10 +19,9 @@ from specledger.functions.units import number_with_unit, value_unit_statuses
 from specledger.operators.once import once
 from specledger.operators.skew import join_spread
 
-# Largest number of dictionary signals matched inside each row; a larger dictionary is joined on trigrams.
+# Largest number of dictionary signals matched inside each row; a larger dictionary is joined with the substrings of the texts.
 INLINE_SIGNALS = 256
 MIN_CONTAINED = 3
-GRAM_SLOTS = 16
 
 FIELD_TYPE = "struct<value:string,status:string,confidence:double,sources:array<string>,reason:string>"
 # One signal of the dictionary: its entry, in dictionary order.
@@ -56,11 +55,11 @@ def no_sources() -> Column:
 def signals(dictionary: DataFrame) -> DataFrame:
     """Dictionary by signal. Entries may hold a ``raw_signals`` list, or come with one row per ``signal``.
 
-    The order within an entry is that of the list; rows without one are ordered by text.
+    The order within an entry is that of the list; rows without one are ordered by text. Null and empty signals match nothing and are left out.
     """
     if "raw_signals" in dictionary.columns:
         dictionary = dictionary.select("*", F.posexplode("raw_signals").alias("signal_pos", "signal"))
-    return dictionary.select(
+    return dictionary.filter(F.col("signal") != "").select(
         F.col("entry_pos").cast("long").alias("entry_pos"), "signal_pos", "signal", F.lower("signal").alias("low"),
         F.col("canonical_manufacturer").alias("manufacturer"), F.col("canonical_brand").alias("brand"),
         F.coalesce("trade_name", F.lit("")).alias("trade_name"))
@@ -103,39 +102,31 @@ def match_inline(low: Column, dictionary: InlineDictionary) -> Column:
     return F.get(dictionary.entries, F.array_position(dictionary.contained, first).cast("int") - 1)
 
 
-def _trigrams(low: Column) -> Column:
-    last = F.length(low) - 2
-    return F.when(last >= 1, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), last), lambda i: F.substring(low, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+def _parts(low: Column, lengths: Column) -> Column:
+    """The text itself and its distinct substrings of the given lengths."""
+    def of_length(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, n))
 
+    fitting = F.filter(lengths, lambda n: (n >= MIN_CONTAINED) & (n <= F.length(low)))
+    return F.array_union(F.array(low), F.flatten(F.transform(fitting, of_length)))
 
-def match_by_trigram(texts: DataFrame, dictionary: DataFrame, ignore_case: bool = True,
-                     slots: int = GRAM_SLOTS) -> DataFrame:
+
+def match_by_substring(texts: DataFrame, dictionary: DataFrame, ignore_case: bool = True) -> DataFrame:
     """Matches for distinct ``text`` values against a dictionary of any size: ``text, m``.
 
-    Each signal is filed under the trigram that is rarest in the dictionary; a text that contains the signal contains
-    that trigram, so an equi-join on it finds every match. Signals shorter than three characters match whole texts only.
+    A text is cut into its substrings of each length that a signal has, and these are joined with the signals by equality. So a row
+    comes out of the join only for a match, however alike the signals are. Signals shorter than three characters match whole texts only.
     """
     entries = signals(dictionary)
     if not ignore_case:
         entries = entries.withColumn("low", F.col("signal"))
-    words = entries.select("low").distinct()
-    grams = words.select("low", F.explode(_trigrams(F.col("low"))).alias("gram"))
-    usage = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("used"))
-    filed = grams.join(usage, "gram").groupBy("low").agg(F.min(F.struct("used", "gram")).alias("g")).select(
-        "low", F.col("g.gram").alias("gram"))
-    keyed = entries.join(filed, "low", "left")
+    first = entries.groupBy("low").agg(F.min(F.struct(*SIGNAL.names)).alias("m"))
+    # One row: the distinct lengths, which are fewer than the characters of the longest signal.
+    lengths = first.agg(F.array_sort(F.collect_set(F.length("low"))).alias("_lengths"))
     folded = F.lower("text") if ignore_case else F.col("text")
-    low = texts.select("text", folded.alias("t"), F.pmod(F.xxhash64("text"), F.lit(slots)).alias("_slot"))
-    # Common trigrams are dealt over slots by text; the dictionary, the small side, is repeated per slot.
-    repeated = keyed.filter(F.col("gram").isNotNull()).withColumn(
-        "_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
-    by_gram = low.withColumn("gram", F.explode(_trigrams(F.col("t")))).join(repeated, ["gram", "_slot"]).filter(
-        _hits(F.col("t"), F.col("low")))
-    exact = low.join(keyed.filter(F.col("gram").isNull()), F.col("t") == F.col("low"))
-    entry = F.struct(*SIGNAL.names)
-    found = by_gram.select("text", entry.alias("m")).unionByName(exact.select("text", entry.alias("m")))
-    return found.groupBy("text").agg(F.min(F.col("m")).alias("m"))
+    cut = texts.select("text", folded.alias("_t")).join(F.broadcast(lengths)).select(
+        "text", F.explode(_parts(F.col("_t"), F.col("_lengths"))).alias("low"))
+    return cut.join(first, "low").groupBy("text").agg(F.min("m").alias("m"))
 
 
 def match_signal(df: DataFrame, text: str, dictionary: DataFrame, limit: int = INLINE_SIGNALS) -> DataFrame:
@@ -146,8 +137,8 @@ def match_signal(df: DataFrame, text: str, dictionary: DataFrame, limit: int = I
         return once(low, {"m": match_inline(F.col("_low"), entries)}).drop("_low")
     clean = df.withColumn("_text", clean_string(F.col(text)))
     distinct = clean.select(F.col("_text").alias("text")).filter("text is not null").distinct()
-    matched = match_by_trigram(distinct, dictionary).withColumnRenamed("text", "_text")
-    return join_spread(clean, matched, ["_text"], spread=df.columns[:1]).drop("_text")
+    matched = match_by_substring(distinct, dictionary).withColumnRenamed("text", "_text")
+    return join_spread(clean, matched, ["_text"], spread=df.columns).drop("_text")
 
 
 # --- brands ---
@@ -183,7 +174,7 @@ def _with_matches(rows: DataFrame, dictionary: DataFrame, limit: int) -> DataFra
     # Distinct texts are matched once; the candidates come back per row, at most one per column.
     long = out.select("row_id", F.posexplode("_texts").alias("i", "x")).select(
         "row_id", "i", F.col("x.source").alias("source"), F.col("x.raw_val").alias("text"))
-    found = match_by_trigram(long.select("text").distinct(), dictionary)
+    found = match_by_substring(long.select("text").distinct(), dictionary)
     hits = join_spread(long, found, ["text"], spread=["row_id", "i"], how="inner")
     per_row = hits.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(
         "i", "source", F.col("text").alias("raw_val"), "m"))), lambda x: F.struct(

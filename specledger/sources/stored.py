@@ -203,4 +203,6 @@ def read_gold(spark: SparkSession, path: str | list[str], row_id: str | None = N
               encoding: str = "UTF-8") -> DataFrame:
     """Gold CSV with its wide columns and a ``row_id``; see ``gold_rows`` and ``gold_attributes``."""
     df = _read_csv(spark, path, encoding)
-    return _with_row_ids(df.toDF(*[c.lstrip("﻿").strip() for c in df.columns]) if row_id else df, row_id)
+    numbered = df if row_id else _with_row_ids(df, None)
+    named = numbered.toDF(*[c.lstrip("﻿").strip() for c in numbered.columns])
+    return _with_row_ids(named, row_id) if row_id else named

@@ -86,15 +86,15 @@ def test_large_dictionary_path_gives_the_same(rows, dictionary):
     assert resolutions(256) == resolutions(0)
 
 
-def test_trigram_match_agrees_with_brute_force(spark):
+def test_substring_match_agrees_with_brute_force(spark):
     import random
 
     rng = random.Random(7)
     words = ["".join(rng.choice("abc-") for _ in range(rng.randint(1, 6))) for _ in range(60)]
     texts = list({"".join(rng.choice("abcABC- ") for _ in range(rng.randint(1, 18))).strip() or "x" for _ in range(300)})
-    entries = [(i, [w], f"m{i}", f"b{i}", "") for i, w in enumerate(words)]
+    entries = [(i, [w, None, ""], f"m{i}", f"b{i}", "") for i, w in enumerate(words)]
     dictionary = spark.createDataFrame(entries, "entry_pos long, raw_signals array<string>, canonical_manufacturer string, canonical_brand string, trade_name string")
-    got = {r["text"]: r["m"]["entry_pos"] for r in catalog.match_by_trigram(spark.createDataFrame([(t,) for t in texts], "text string"), dictionary).collect()}
+    got = {r["text"]: r["m"]["entry_pos"] for r in catalog.match_by_substring(spark.createDataFrame([(t,) for t in texts], "text string"), dictionary).collect()}
     want = {}
     for t in texts:
         for i, w in enumerate(words):
