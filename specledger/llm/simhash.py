@@ -207,8 +207,8 @@ def central(crowd: DataFrame) -> DataFrame:
     return nearest.select("key", F.col("m.id").alias("h"), F.col("m.f0").alias("h0"), F.col("m.f1").alias("h1"))
 
 
-def bucket_pairs(keyed: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (``a`` < ``b``) of the members of each bucket, and the members of large buckets that are too far from its central one.
+def bucket_pairs(keyed: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (``a`` < ``b``) of the members of small buckets, those of large buckets, and the members too far from a large bucket's central one.
 
     Up to ``GROUP_PAIRS`` members are paired with each other. In larger buckets each is paired with the central one, so the pairs grow in
     proportion to the members.
@@ -223,22 +223,7 @@ def bucket_pairs(keyed: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFr
     heads = stage_table(central(crowd), "crowd-heads")
     met = crowd.join(heads, "key").withColumn("off", distance(F.col("f0"), F.col("h0")) + distance(F.col("f1"), F.col("h1")))
     stars = met.filter(F.col("off") <= RADIUS).select(F.least("h", "id").alias("a"), F.greatest("h", "id").alias("b"))
-    return few.unionByName(stars).filter("a < b"), met.filter(F.col("off") > RADIUS).select("key", "id", "f0", "f1")
-
-
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs of ids (``a`` < ``b``) that share a wide key and lie within the radius.
-
-    Members that are too far from the central one of a large bucket meet again in buckets that share a third segment. The search is
-    probabilistic: members of a large bucket that lie near its central one without being similar to it are not compared with each other there.
-    """
-    prints = nodes.select("id", "f0", "f1")
-    first, far_off = bucket_pairs(nodes.mapInPandas(_wide_rows, "key long, id long"), prints)
-    again, _ = bucket_pairs(far_off.mapInPandas(_finer_rows, "key long, id long"), prints)
-    pairs = first.unionByName(again).distinct()
-    sides = [nodes.select(F.col("id").alias(s), F.col("f0").alias(f"{s}0"), F.col("f1").alias(f"{s}1")) for s in "ab"]
-    far = distance(F.col("a0"), F.col("b0")) + distance(F.col("a1"), F.col("b1"))
-    return pairs.join(sides[0], "a").join(sides[1], "b").filter(far <= RADIUS).select("a", "b")
+    return few.filter("a < b"), stars.filter("a < b"), met.filter(F.col("off") > RADIUS).select("key", "id", "f0", "f1")
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -261,16 +246,42 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, least: float = SIMILARITY)
     return joined.filter(F.col("both") >= least * (F.col("total") - F.col("both"))).select("a", "b")
 
 
+def linked_nodes(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """``id`` and ``root`` of every node; nodes that similar pairs connect have one root.
+
+    Candidates share a wide key and lie within the radius. The pairs of large buckets are verified first. Pairs within a group that they
+    have linked can connect nothing more, so the pairs of small buckets are verified only between groups: a large group of edited copies,
+    whose members meet in many buckets, does not bring the square of its size.
+
+    Members that are too far from the central one of a large bucket meet again in buckets that share a third segment. The search is
+    probabilistic: members of a large bucket that lie near its central one without being similar to it are not compared with each other there.
+    """
+    prints = nodes.select("id", "f0", "f1")
+    few, stars, far_off = bucket_pairs(nodes.mapInPandas(_wide_rows, "key long, id long"), prints)
+    first = components(similar_pairs(docs, stage_table(stars.distinct(), "central-pairs"), least)).withColumnRenamed("node", "id")
+    grouped = stage_table(prints.join(first, "id", "left").withColumn("root", F.coalesce("root", "id")), "central-groups")
+
+    few_again, stars_again, _ = bucket_pairs(far_off.mapInPandas(_finer_rows, "key long, id long"), prints)
+    pairs = few.unionByName(few_again).unionByName(stars_again).distinct()
+    sides = [grouped.select(F.col("id").alias(s), F.col("f0").alias(f"{s}0"), F.col("f1").alias(f"{s}1"), F.col("root").alias(f"{s}_root"))
+             for s in "ab"]
+    off = distance(F.col("a0"), F.col("b0")) + distance(F.col("a1"), F.col("b1"))
+    met = stage_table(pairs.join(sides[0], "a").join(sides[1], "b").filter((off <= RADIUS) & (F.col("a_root") != F.col("b_root")))
+                      .select("a", "b", "a_root", "b_root"), "candidates")
+    between = met.join(similar_pairs(docs, met.select("a", "b"), least), ["a", "b"]).select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+    last = components(between).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    return grouped.join(last, "root", "left").select("id", F.coalesce("last", "root").alias("root"))
+
+
 def near_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``doc_id`` and ``keep_id`` of every document that has a near or exact copy; ``keep_id`` is the smallest id of its group."""
     named = docs.filter(F.col("doc_id").isNotNull())
     signed = stage_table(named.select("doc_id", signatures("text").alias("s")).select("doc_id", "s.*"), "signatures")
     nodes = stage_table(signed.groupBy("c0", "c1").agg(
         F.min("doc_id").alias("id"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("n").alias("n")), "signature-nodes")
-    pairs = stage_table(candidate_pairs(nodes.filter("n > 0")), "candidates")
-    roots = components(similar_pairs(named, pairs, least))
-    least_id = roots.groupBy("root").agg(F.min("node").alias("keep_id"))
-    renamed = stage_table(roots.join(least_id, "root").select(F.col("node").alias("id"), "keep_id"), "near-groups")
+    roots = stage_table(linked_nodes(named, nodes.filter("n > 0"), least), "near-roots")
+    least_id = roots.groupBy("root").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    renamed = stage_table(roots.join(least_id, "root").select("id", "keep_id"), "near-groups")
     kept = nodes.join(renamed, "id", "left").select("c0", "c1", F.coalesce("keep_id", "id").alias("keep_id"))
     return signed.join(kept, ["c0", "c1"]).select("doc_id", "keep_id")
 
