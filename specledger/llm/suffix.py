@@ -122,8 +122,8 @@ def _result(data: bytes, spans: list[tuple[int, int]], keep_text: bool) -> dict:
     kept.append(data[at:])
     rest = b"".join(kept)
     out = {"n_bytes": len(data), "n_removed": len(data) - len(rest), "n_spans": len(spans), "kept_sha256": hashlib.sha256(rest).hexdigest()}
-    if keep_text:
-        # A span may cut a character: its remaining bytes go as well.
+    if keep_text and spans:
+        # Texts that stay whole are not carried along. A span may cut a character: its remaining bytes go as well.
         out["kept"] = rest.decode("utf-8", "ignore")
     return out
 
@@ -218,7 +218,7 @@ def _by_row(marks: DataFrame, **lists: str) -> DataFrame:
 
 
 def repeats(numbered: DataFrame, length: int, keep_text: bool = False) -> DataFrame:
-    """Result columns (and ``kept`` text) per ``rid`` of a staged table with ``rid`` and ``text``."""
+    """Result columns (and ``kept``, the rest of texts that lose something) per ``rid`` of a staged table with ``rid`` and ``text``."""
     if length < 2 * BLOCK:
         raise ValueError(f"length must be at least {2 * BLOCK}")
     anchors = stage_table(numbered.select("rid", "text").mapInPandas(
