@@ -39,14 +39,6 @@ CANONICAL_ATTRIBUTES: dict[str, list[str]] = {
 }
 METADATA_ATTRIBUTES = ["rated_power_unit", "rated_current_unit", "current_unit"]
 SKIPPED_ATTRIBUTES = ["source_location", "manufacturer", "model"]
-# Known names without a canonical field; any name not listed at all is unmapped too.
-UNMAPPED_ATTRIBUTES = [
-    "efficiency_at_50pct_load", "efficiency_at_75pct_load",
-    "power_factor_at_50pct_load", "power_factor_at_75pct_load",
-    "full_load_torque_nm", "full_load_torque",
-    "locked_rotor_current_ratio", "locked_rotor_torque_ratio", "breakdown_torque_ratio",
-    "inertia_kgm2", "locked_rotor_time_hot_s", "locked_rotor_time_cold_s", "sound_dba",
-]
 
 # --- fixed values: spellings of each unit token (lower case) ---
 UNIT_SPELLINGS: dict[str, list[str]] = {

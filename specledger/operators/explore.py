@@ -9,7 +9,6 @@ from specledger.functions.text import location_text, source_display
 from specledger.operators.catalog import match_by_substring
 from specledger.operators.normalize import KEYS
 from specledger.operators.skew import join_spread
-from specledger.operators.trust import REVIEW
 
 CATEGORY = "Industrial Electric Motor"
 # --- fixed values: wide columns of the product list by field ---
@@ -302,7 +301,3 @@ def coverage_health(tables: dict[str, DataFrame]) -> DataFrame:
         one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
         out = one if out is None else out.unionByName(one)
     return out
-
-
-def review_columns() -> list[str]:
-    return REVIEW

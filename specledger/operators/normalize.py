@@ -15,7 +15,7 @@ from specledger.functions import units, values
 from specledger.functions.text import blank_to_null, literal_map, lookup
 from specledger.operators.once import once
 from specledger.operators.skew import join_spread
-from specledger.schema import EVIDENCE, REF_COLUMNS, ref_struct
+from specledger.schema import REF_COLUMNS, ref_struct
 
 KEYS = ["product_id", "canonical_field"]
 SUCCESS = ["normalized", "passthrough"]
@@ -318,7 +318,3 @@ def field_sources(normalized: DataFrame) -> DataFrame:
     label = evidence_label(F.col("source_type"), F.col("page"), F.col("row"), F.col("attribute"))
     return normalized.withColumn("label", label).groupBy(*KEYS, "label").agg(
         F.min(fact_order()).alias("first_order"), F.count(F.lit(1)).alias("n_facts"))
-
-
-def evidence_columns() -> list[str]:
-    return EVIDENCE.names
