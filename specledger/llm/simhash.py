@@ -7,9 +7,10 @@ Buckets of up to ``PAIRS`` members are compared pair by pair. Members of larger
 away from them: fingerprints within two bits share such a word, all that share one are within two bits, and at most 65 do. So the work
 stays in proportion to the fingerprints however similar they are, and no link is lost.
 
-``near_dedup`` is the filter for whole documents. Linking at two bits would miss texts with some changed words, so it looks for
-candidates in a wider radius (two of four 23-bit segments share Golay keys, lengths agree) and keeps as links the pairs whose sets of five-word
-shingles have a Jaccard similarity of at least 0.8. Candidate search is probabilistic there: tests measure its recall.
+``near_dedup`` is the filter for whole documents: it links the texts whose sets of five-word shingles have a Jaccard similarity of at
+least 0.8. All shingles are put in one order, rare ones first; two sets that similar share one of the first fifth of each (prefix filter), whatever
+the lengths of the texts, so buckets of those shingles hold every such pair. The place of the shared shingle in both sets bounds how many
+can follow it, which drops most other pairs before their sets are compared.
 
 Defined results: null and blank texts have fingerprint zero and are linked like any others by ``link_fingerprints``; in ``near_dedup``
 texts without words are copies of each other. Repeated rows: each is reported by the first; the second takes ``doc_id`` as the
@@ -19,30 +20,30 @@ has an id); ``near_dedup`` cannot name them and passes them on. Only ``doc_id``
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from specledger.llm.components import components
 from specledger.llm.golay import near_indices
-from specledger.llm.words import shingles, words
+from specledger.llm.words import bounded, shingles, words
 from specledger.session import drop_stages, stage_table
 
 SEED = 42
 CUTS = ((0, 22), (22, 21), (43, 21))  # first bit and length of the segments of 64 bits
 PAIRS = 16  # larger buckets take the way whose work does not grow with their square
-# The wide search of near_dedup.
-SEGMENTS, SEGMENT = 4, 23
-RADIUS = 24
+# The search of near_dedup.
 FEATURE_WORDS, SHINGLE_WORDS, SIMILARITY = 2, 5, 0.8
 GROUP_PAIRS = 32
-MIX = np.uint64(0x9E3779B97F4A7C15)
+COUNTERS, COUNTER_ROW = 1 << 20, 1 << 14
+SLIP = 1e-9  # rounding errors must not drop a pair at the bound
 
 
 def simhash(grams: list[bytes]) -> int:
@@ -123,8 +124,8 @@ def link_fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# --- the wide search ---
-SIGNATURE = StructType([StructField(n, LongType()) for n in ("f0", "f1", "n", "c0", "c1")])
+# --- the search for similar texts ---
+SIGNATURE = StructType([*[StructField(n, LongType()) for n in ("f0", "f1", "n", "c0", "c1", "size")], StructField("first", ArrayType(LongType()))])
 
 
 def signature(text: str | None) -> tuple[int, int, int, int, int]:
@@ -139,55 +140,61 @@ def signature(text: str | None) -> tuple[int, int, int, int, int]:
     return int(bits[0]), int(bits[1]), len(tokens), int(digest[0]), int(digest[1])
 
 
-@F.pandas_udf(SIGNATURE)
-def signatures(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([signature(t) for t in texts], columns=SIGNATURE.names)
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """Distinct hashes of the shingles of a text."""
+    grams = shingles(text, SHINGLE_WORDS)
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(g) for g in grams), np.uint64, len(grams)).view(np.int64))
 
 
-def wide_keys(f0: np.ndarray, f1: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of pairs of segments with the length class, and the position of each.
-
-    A length class spans a factor of 1/0.8, which bounds the lengths of similar texts; every other pair of segments uses classes shifted by
-    half, so two close lengths share a class in one of them at least.
-    """
-    low = f0.view(np.uint64)
-    high = f1.view(np.uint64)
-    cut = [low, low >> np.uint64(SEGMENT), high, high >> np.uint64(SEGMENT)]
-    index = [near_indices((c & np.uint64((1 << SEGMENT) - 1)).astype(np.int64)) for c in cut]
-    keys, owner = [], []
-    scaled = np.log(np.maximum(n, 1)) / -np.log(SIMILARITY)
-    for k, (i, j) in enumerate(combinations(range(SEGMENTS), 2)):
-        length = np.floor(scaled + 0.5 * (k % 2)).astype(np.int64)
-        row, left, right = np.nonzero((index[i] >= 0)[:, :, None] & (index[j] >= 0)[:, None, :])
-        keys.append((k << 56) | (length[row] << 24) | (index[i][row, left] << 12) | index[j][row, right])
-        owner.append(row)
-    return np.concatenate(keys), np.concatenate(owner)
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return hashes & (COUNTERS - 1)
 
 
-def _wide_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(COUNTERS, np.int64)
     for batch in batches:
-        for start in range(0, len(batch), 2000):
-            part = batch.iloc[start:start + 2000]
-            keys, owner = wide_keys(*[part[c].to_numpy(np.int64) for c in ("f0", "f1", "n")])
-            yield pd.DataFrame({"key": keys, "id": part["id"].to_numpy(np.int64)[owner]})
+        for start, end in bounded(batch["text"]):
+            total += np.bincount(_counter(np.concatenate([shingle_hashes(t) for t in batch["text"].iloc[start:end]])), minlength=COUNTERS)
+    rows = np.flatnonzero(total.reshape(-1, COUNTER_ROW).any(axis=1))
+    yield pd.DataFrame({"row": rows, "counts": [zlib.compress(r.tobytes(), 1) for r in total.reshape(-1, COUNTER_ROW)[rows]]})
 
 
-def _finer_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keys that also hold a Golay key of one of the two segments which the first key leaves out."""
-    in_pair = np.array([[s in pair for s in range(SEGMENTS)] for pair in combinations(range(SEGMENTS), 2)])
-    for batch in batches:
-        key, f0, f1 = (batch[c].to_numpy(np.int64) for c in ("key", "f0", "f1"))
-        for s, f in enumerate((f0, f0, f1, f1)):
-            part = (f.view(np.uint64) >> np.uint64(SEGMENT * (s % 2))) & np.uint64((1 << SEGMENT) - 1)
-            index = near_indices(part.astype(np.int64))
-            row, column = np.nonzero((index >= 0) & ~in_pair[key >> 56, s][:, None])
-            # The high byte told the pair of segments and the next bits the length class; both stay part of the mixed key.
-            mixed = key[row].astype(np.uint64) * MIX + ((s << 12) | index[row, column]).astype(np.uint64)
-            yield pd.DataFrame({"key": (mixed * MIX).view(np.int64), "id": batch["id"].to_numpy(np.int64)[row]})
+def _add_counts(group: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in group["counts"])
+    return pd.DataFrame({"row": group["row"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+
+def shingle_counts(texts: DataFrame) -> np.ndarray:
+    """How often the shingles of each counter occur. The table has a fixed size; shingles that share a counter only make the order less sharp."""
+    schema = "row long, counts binary"
+    counts = np.zeros((COUNTERS // COUNTER_ROW, COUNTER_ROW), np.int64)
+    for r in texts.select("text").mapInPandas(_count_rows, schema).groupBy("row").applyInPandas(_add_counts, schema).collect():
+        counts[r["row"]] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
+    return counts.reshape(-1)
+
+
+def prefix(hashes: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The rarest shingles of a set, so many that another set as similar as ``least`` has one of them among its own."""
+    order = np.lexsort((hashes, counts[_counter(hashes)]))
+    return hashes[order[:len(hashes) - int(np.ceil(least * len(hashes) - SLIP)) + 1]]
+
+
+def signatures(counts: Broadcast, least: float):
+    """Signature of a text with the size of its set of shingles and the prefix of the set."""
+
+    @F.pandas_udf(SIGNATURE)
+    def sign(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            hashes = shingle_hashes(text)
+            rows.append((*signature(text), len(hashes), prefix(hashes, counts.value, least)))
+        return pd.DataFrame(rows, columns=SIGNATURE.names)
+
+    return sign
 
 
 def central(crowd: DataFrame) -> DataFrame:
-    """``key``, ``h``, ``h0``, ``h1``: the member of each bucket that is nearest to the majority of its members, bit by bit.
+    """``key``, ``h_id``, ``h_size``, ``h_rest``: the member of each bucket that is nearest to the majority of its members, bit by bit.
 
     Of a text and its edited copies that is the text, which all of them resemble more than they do each other. A sum counts two bits at once, 32
     places apart.
@@ -203,51 +210,47 @@ def central(crowd: DataFrame) -> DataFrame:
 
     centres = votes.select("key", majority("f0").alias("c0"), majority("f1").alias("c1"))
     off = distance(F.col("f0"), F.col("c0")) + distance(F.col("f1"), F.col("c1"))
-    nearest = crowd.join(centres, "key").groupBy("key").agg(F.min(F.struct(off.alias("off"), "id", "f0", "f1")).alias("m"))
-    return nearest.select("key", F.col("m.id").alias("h"), F.col("m.f0").alias("h0"), F.col("m.f1").alias("h1"))
+    nearest = crowd.join(centres, "key").groupBy("key").agg(F.min(F.struct(off.alias("off"), "id", "size", "rest")).alias("m"))
+    return nearest.select("key", *[F.col(f"m.{c}").alias(f"h_{c}") for c in ("id", "size", "rest")])
 
 
-def bucket_pairs(keyed: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (``a`` < ``b``) of the members of each bucket, and the members of large buckets that are too far from its central one.
+def within(size_a: Column, rest_a: Column, size_b: Column, rest_b: Column, least: float) -> Column:
+    """Whether two sets can be as similar as ``least`` if a shingle with ``rest`` ones from it on is the first they share."""
+    return F.least(rest_a, rest_b) >= least / (1 + least) * (size_a + size_b) - SLIP
 
-    Up to ``GROUP_PAIRS`` members are paired with each other. In larger buckets each is paired with the central one, so the pairs grow in
-    proportion to the members.
+
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """``key``, ``id``, ``size``, ``rest``, ``n``: the texts that share a shingle of their prefixes, ``n`` of them.
+
+    ``rest`` counts the shingles of the text from the shared one on, in the common order.
     """
-    dealt = keyed.repartition("key")
+    dealt = nodes.select("id", "size", F.posexplode("first").alias("pos", "key")).select(
+        "key", "id", "size", (F.col("size") - F.col("pos")).alias("rest")).repartition("key")
     many = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stage_table(dealt.join(many.hint("shuffle_hash"), "key"), "bucket-members")
-    few = members.filter(F.col("n") <= GROUP_PAIRS).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("m")).select(
-        F.inline(F.flatten(F.transform("m", lambda x, i: F.transform(
-            F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))))
-    crowd = stage_table(members.filter(F.col("n") > GROUP_PAIRS).select("key", "id").join(prints, "id"), "crowds")
-    heads = stage_table(central(crowd), "crowd-heads")
-    met = crowd.join(heads, "key").withColumn("off", distance(F.col("f0"), F.col("h0")) + distance(F.col("f1"), F.col("h1")))
-    stars = met.filter(F.col("off") <= RADIUS).select(F.least("h", "id").alias("a"), F.greatest("h", "id").alias("b"))
-    return few.unionByName(stars).filter("a < b"), met.filter(F.col("off") > RADIUS).select("key", "id", "f0", "f1")
+    return stage_table(dealt.join(many.hint("shuffle_hash"), "key"), "bucket-members")
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs of ids (``a`` < ``b``) that share a wide key and lie within the radius.
+def candidate_pairs(nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs of ids (``a`` < ``b``) that share a shingle of their prefixes.
 
-    Members that are too far from the central one of a large bucket meet again in buckets that share a third segment. The search is
-    probabilistic: members of a large bucket that lie near its central one without being similar to it are not compared with each other there.
+    Up to ``GROUP_PAIRS`` members of a bucket are paired with each other. In larger buckets each is paired with the central one, so the pairs grow in
+    proportion to the members.
     """
-    prints = nodes.select("id", "f0", "f1")
-    first, far_off = bucket_pairs(nodes.mapInPandas(_wide_rows, "key long, id long"), prints)
-    again, _ = bucket_pairs(far_off.mapInPandas(_finer_rows, "key long, id long"), prints)
-    pairs = first.unionByName(again).distinct()
-    sides = [nodes.select(F.col("id").alias(s), F.col("f0").alias(f"{s}0"), F.col("f1").alias(f"{s}1")) for s in "ab"]
-    far = distance(F.col("a0"), F.col("b0")) + distance(F.col("a1"), F.col("b1"))
-    return pairs.join(sides[0], "a").join(sides[1], "b").filter(far <= RADIUS).select("a", "b")
+    members = bucket_members(nodes)
+    few = members.filter(F.col("n") <= GROUP_PAIRS).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "size", "rest"))).alias("m")).select(
+        F.inline(F.flatten(F.transform("m", lambda x, i: F.transform(
+            F.filter(F.slice("m", i + 2, F.size("m")), lambda y: within(x["size"], x["rest"], y["size"], y["rest"], least)),
+            lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))))
+    crowd = stage_table(members.filter(F.col("n") > GROUP_PAIRS).join(nodes.select("id", "f0", "f1"), "id"), "crowds")
+    heads = stage_table(central(crowd), "crowd-heads")
+    stars = crowd.join(heads, "key").filter(within(F.col("size"), F.col("rest"), F.col("h_size"), F.col("h_rest"), least)).select(
+        F.least("h_id", "id").alias("a"), F.greatest("h_id", "id").alias("b"))
+    return stage_table(few.unionByName(stars).filter("a < b").distinct(), "candidates")
 
 
 @F.pandas_udf(ArrayType(LongType()))
 def shingle_set(texts: pd.Series) -> pd.Series:
-    def hashes(text):
-        grams = shingles(text, SHINGLE_WORDS)
-        return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(g) for g in grams), np.uint64, len(grams)).view(np.int64))
-
-    return pd.Series([hashes(t) for t in texts])
+    return pd.Series([shingle_hashes(t) for t in texts])
 
 
 def similar_pairs(docs: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -264,15 +267,16 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, least: float = SIMILARITY)
 def near_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``doc_id`` and ``keep_id`` of every document that has a near or exact copy; ``keep_id`` is the smallest id of its group."""
     named = docs.filter(F.col("doc_id").isNotNull())
-    signed = stage_table(named.select("doc_id", signatures("text").alias("s")).select("doc_id", "s.*"), "signatures")
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(named))
+    signed = stage_table(named.select("doc_id", signatures(counts, least)("text").alias("s")).select("doc_id", "s.*"), "signatures")
     nodes = stage_table(signed.groupBy("c0", "c1").agg(
-        F.min("doc_id").alias("id"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("n").alias("n")), "signature-nodes")
-    pairs = stage_table(candidate_pairs(nodes.filter("n > 0")), "candidates")
+        F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("f0", "f1", "n", "size", "first")]), "signature-nodes")
+    pairs = candidate_pairs(nodes.filter("n > 0"), least)
     roots = components(similar_pairs(named, pairs, least))
     least_id = roots.groupBy("root").agg(F.min("node").alias("keep_id"))
     renamed = stage_table(roots.join(least_id, "root").select(F.col("node").alias("id"), "keep_id"), "near-groups")
     kept = nodes.join(renamed, "id", "left").select("c0", "c1", F.coalesce("keep_id", "id").alias("keep_id"))
-    return signed.join(kept, ["c0", "c1"]).select("doc_id", "keep_id")
+    return signed.select("doc_id", "c0", "c1").join(kept, ["c0", "c1"]).select("doc_id", "keep_id")
 
 
 def near_dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

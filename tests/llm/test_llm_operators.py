@@ -196,6 +196,23 @@ def test_near_dedup_of_crowds(spark):
     assert want <= kept and len(kept - want) <= 0.05 * len(texts)
 
 
+def test_near_dedup_finds_longer_texts(spark):
+    rng = random.Random(12)
+    texts = []
+    for k in range(300):
+        text = prose(rng.randrange(100, 400), rng)
+        extra = prose(int(len(text.split()) * (0.05 + 0.0006 * k)), rng)
+        line = prose(3, rng) + "\n"
+        texts += [line * (k % 3) + text, line * (2 * k % 40) + text + " " + extra if k % 2 else extra + " " + text]
+    similar = set()
+    for k in range(0, len(texts), 2):
+        a, b = (set(simhash.shingles(t, 5)) for t in texts[k:k + 2])
+        if len(a & b) >= 0.8 * len(a | b):
+            similar.add(k + 1)
+    kept = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert set(range(600)) - kept == similar and len(similar) > 200
+
+
 # --- 3 ---
 def test_longest_match():
     rng = random.Random(2)
