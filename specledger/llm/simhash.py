@@ -10,7 +10,9 @@ stays in proportion to the fingerprints however similar they are, and no link is
 ``near_dedup`` is the filter for whole documents: it links the texts whose sets of five-word shingles have a Jaccard similarity of at
 least 0.8. All shingles are put in one order, rare ones first; two sets that similar share one of the first fifth of each (prefix filter), whatever
 the lengths of the texts, so buckets of those shingles hold every such pair. The place of the shared shingle in both sets bounds how many
-can follow it, which drops most other pairs before their sets are compared.
+can follow it, which drops most other pairs before their sets are compared. Large buckets are linked through a central text first; what that leaves
+in different components is then paired in full, in blocks, so no link is lost and one key is the work of many tasks. Its work grows with the
+square of the texts of a large bucket that are not linked: those pairs have to be compared.
 
 Defined results: null and blank texts have fingerprint zero and are linked like any others by ``link_fingerprints``; in ``near_dedup``
 texts without words are copies of each other. Repeated rows: each is reported by the first; the second takes ``doc_id`` as the
@@ -42,6 +44,7 @@ PAIRS = 16  # larger buckets take the way whose work does not grow with their sq
 # The search of near_dedup.
 FEATURE_WORDS, SHINGLE_WORDS, SIMILARITY = 2, 5, 0.8
 GROUP_PAIRS = 32
+BLOCK = 256  # members of a large bucket that one task pairs with as many others
 COUNTERS, COUNTER_ROW = 1 << 20, 1 << 14
 SLIP = 1e-9  # rounding errors must not drop a pair at the bound
 
@@ -230,11 +233,10 @@ def bucket_members(nodes: DataFrame) -> DataFrame:
     return stage_table(dealt.join(many.hint("shuffle_hash"), "key"), "bucket-members")
 
 
-def candidate_pairs(nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs of ids (``a`` < ``b``) that share a shingle of their prefixes.
+def candidate_pairs(nodes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs of ids (``a`` < ``b``) that share a shingle of their prefixes, and the members of the buckets of more than ``GROUP_PAIRS``.
 
-    Up to ``GROUP_PAIRS`` members of a bucket are paired with each other. In larger buckets each is paired with the central one, so the pairs grow in
-    proportion to the members.
+    Members of other buckets are paired with each other, those of the large ones with the central one only; ``remaining_pairs`` has the rest.
     """
     members = bucket_members(nodes)
     few = members.filter(F.col("n") <= GROUP_PAIRS).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "size", "rest"))).alias("m")).select(
@@ -245,7 +247,22 @@ def candidate_pairs(nodes: DataFrame, least: float) -> DataFrame:
     heads = stage_table(central(crowd), "crowd-heads")
     stars = crowd.join(heads, "key").filter(within(F.col("size"), F.col("rest"), F.col("h_size"), F.col("h_rest"), least)).select(
         F.least("h_id", "id").alias("a"), F.greatest("h_id", "id").alias("b"))
-    return stage_table(few.unionByName(stars).filter("a < b").distinct(), "candidates")
+    return stage_table(few.unionByName(stars).filter("a < b").distinct(), "candidates"), crowd
+
+
+def remaining_pairs(crowd: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """All pairs of members of a large bucket that are in different components so far."""
+    rooted = stage_table(crowd.select("key", "id", "size", "rest", "n").join(roots.withColumnRenamed("node", "id"), "id", "left")
+                         .withColumn("root", F.coalesce("root", "id")), "crowd-roots")
+    split = rooted.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one <> other").select("key")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    # Member of block i meets those of block j under (i, j), where one side has its own block first and the other second.
+    dealt = rooted.join(split, "key").withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    left, right = (dealt.select("key", F.col(i).alias("i"), F.col(j).alias("j"), *[F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "rest", "root")])
+                   for s, i, j in (("a", "own", "met"), ("b", "met", "own")))
+    fit = within(*[F.col(c) for c in ("size_a", "rest_a", "size_b", "rest_b")], least)
+    return left.join(right, ["key", "i", "j"]).filter((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & fit).select(
+        F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -271,8 +288,12 @@ def near_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     signed = stage_table(named.select("doc_id", signatures(counts, least)("text").alias("s")).select("doc_id", "s.*"), "signatures")
     nodes = stage_table(signed.groupBy("c0", "c1").agg(
         F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("f0", "f1", "n", "size", "first")]), "signature-nodes")
-    pairs = candidate_pairs(nodes.filter("n > 0"), least)
-    roots = components(similar_pairs(named, pairs, least))
+    pairs, crowd = candidate_pairs(nodes.filter("n > 0"), least)
+    links = stage_table(similar_pairs(named, pairs, least), "links")
+    roots = components(links)
+    if not crowd.isEmpty():
+        rest = stage_table(remaining_pairs(crowd, roots, least).join(pairs, ["a", "b"], "left_anti"), "remaining")
+        roots = components(links.unionByName(similar_pairs(named, rest, least)))
     least_id = roots.groupBy("root").agg(F.min("node").alias("keep_id"))
     renamed = stage_table(roots.join(least_id, "root").select(F.col("node").alias("id"), "keep_id"), "near-groups")
     kept = nodes.join(renamed, "id", "left").select("c0", "c1", F.coalesce("keep_id", "id").alias("keep_id"))

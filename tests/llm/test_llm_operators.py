@@ -213,6 +213,32 @@ def test_near_dedup_finds_longer_texts(spark):
     assert set(range(600)) - kept == similar and len(similar) > 200
 
 
+def test_near_dedup_of_templates(spark):
+    """Twins among many pages of one template, whose own parts keep other pages just below the limit."""
+    rng = random.Random(13)
+    frame = prose(350, rng)
+    pages = [frame + " " + prose(50, rng) for _ in range(1000)]
+    texts = [*pages, *[" ".join([*p.split()[:-6], rng.choice(VOCAB), *p.split()[-5:]]) for p in pages]]
+    a, b, c = (set(simhash.shingles(texts[k], 5)) for k in (0, 1, 1000))
+    assert len(a & b) < 0.8 * len(a | b) and len(a & c) >= 0.8 * len(a | c)
+    kept = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == set(range(1000))
+
+
+def test_near_dedup_inside_crowds(spark):
+    """Some of the copies of a lost text are edited at the same places, so that they resemble each other but no other copy."""
+    rng = random.Random(14)
+    original = prose(400, rng)
+    texts = [edited(original, 7, rng) for _ in range(60)]
+    for _ in range(10):
+        places = rng.sample(range(400), 7)
+        texts += [" ".join(rng.choice(VOCAB) if i in places else w for i, w in enumerate(original.split())) for _ in range(2)]
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    kept = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == set(components_of(links, range(len(texts))).values()) and len(links) >= 10
+
+
 # --- 3 ---
 def test_longest_match():
     rng = random.Random(2)
