@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from specledger.llm import decontaminate, licences, packing, quality, sharding, simhash, suffix, urls, warc, wordpiece
+from specledger.llm import decontaminate, filter_audit, licences, packing, piecewise, quality, sharding, simhash, suffix, urls, warc, whitening, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,6 +112,31 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first 16 whitened components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op12_filter_audit"] = filter_audit.oracle()
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each language, step by step in all 120 orders."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return filter_audit.audit_filters(filter_audit.document_failures(docs, labels))
+
+
+@query
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the piece ids of every document and of the text they decode to."""
+    encoded = piecewise.encode_documents(table(spark, sf_dir, "documents"))
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
