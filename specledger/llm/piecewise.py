@@ -99,6 +99,20 @@ class Normaliser:
             lengths.sort(reverse=True)
         self.first = re.compile("[" + "".join(map(re.escape, self.longest)) + "]") if mapping else None
 
+    def key(self, text: str, at: int) -> str:
+        """The longest key that the text has at a place, or nothing."""
+        return next((key for n in self.longest.get(text[at], ()) if (key := text[at:at + n]) in self.mapping), "")
+
+    def lead(self, text: str) -> int:
+        """Where the characters end that become single spaces at the start."""
+        at = 0
+        while at < len(text):
+            key = self.key(text, at)
+            if self.mapping.get(key, text[at]) != " ":
+                break
+            at += len(key) or 1
+        return at
+
     def replaced(self, text: str) -> tuple[str, np.ndarray]:
         """The text after the character map, with the original byte of each character."""
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -109,12 +123,12 @@ class Normaliser:
         out, places, at = [], [], 0
         while match := self.first.search(text, at):
             begin = match.start()
-            size = next((n for n in self.longest[text[begin]] if text[begin:begin + n] in self.mapping), 0)
+            size = len(key := self.key(text, begin))
             kept = begin if size else begin + 1
             out.append(text[at:kept])
             places.append(starts[at:kept])
             if size:
-                new = self.mapping[text[begin:begin + size]]
+                new = self.mapping[key]
                 out.append(new)
                 places.append(np.full(len(new), starts[begin], np.int64))
             at = kept + size
@@ -123,22 +137,23 @@ class Normaliser:
         return "".join(out), np.concatenate(places)
 
     def __call__(self, text: str) -> tuple[str, np.ndarray]:
+        begin = self.lead(text) if self.trim else 0
+        if begin == len(text):
+            return "", np.zeros(1, np.int64)
         done, starts = self.replaced(text)
-        if self.trim:  # no spaces at the ends, one between words
+        at = len(text[:begin].encode("utf-8", "surrogatepass"))
+        if self.trim:  # no space at the start or after another
             is_space = np.frombuffer(done.encode("utf-32-le"), np.uint32) == 32
-            keep = ~(is_space & np.concatenate(([True], is_space[:-1])))
-            last = np.flatnonzero(~is_space)
-            end = int(last[-1]) + 1 if len(last) else 0
-            keep[end:] = False
-            places = np.flatnonzero(keep)
-            done, starts = "".join(map(done.__getitem__, places.tolist())), starts[np.concatenate((places, [end]))]
-        if not done:
-            return "", starts[:1]
+            places = np.flatnonzero(~(is_space & np.concatenate(([True], is_space[:-1]))[:len(done)]))
+            done, starts = "".join(map(done.__getitem__, places.tolist())), starts[np.append(places, len(done))]
         done = done.replace(" ", self.space)
-        if self.dummy:
-            if self.suffix:
-                return done + self.space, np.concatenate((starts, starts[-1:]))
-            return self.space + done, np.concatenate((starts[:1], starts))
+        if self.dummy and not self.suffix:
+            done, starts = self.space + done, np.concatenate(([at], starts))
+        if self.trim:  # a character that looks like an escaped space is taken for one here, as in the library
+            done = done.rstrip(self.space)
+            starts = starts[:len(done) + 1]
+        if self.dummy and self.suffix:
+            done, starts = done + self.space, np.concatenate((starts, starts[-1:]))
         return done, starts
 
 
