@@ -118,86 +118,106 @@ def _constants(spark, sf):
 
 
 # --- web pages ---
+# Words and numbers of whole documents, as a heavier load than the nine patterns have on pages.
 TEXT_PATTERNS = [(r"(\d+(?:\.\d+)?)", "number", None), (r"\s(le|the)\s+[a-z]", "article", "word"), (r"(\d{2,3}(?:\.\d+)?)\s*%", "percent", "%")]
 
 
-def _text_specs() -> str:
+def _text_specs(patterns, key: str, texts: str) -> str:
     parts = []
-    for pattern, attribute, unit in TEXT_PATTERNS:
+    for pattern, attribute, unit in patterns:
         p = "(?i)" + pattern
         # Lengths of the pieces between matches and of the matches give the offsets, summed per text by window.
         parts.append(
-            f"SELECT doc_id, '{attribute}' AS attribute, raw AS raw_value, CAST({oracle.quoted(unit)} AS VARCHAR) AS unit, try_cast(CASE WHEN regexp_matches(raw, '^[0-9.]+$')"
-            f" THEN raw END AS DOUBLE) AS value, pos, trim(substring(text, CAST(greatest(0, pos - 60) AS BIGINT) + 1, CAST(least(length(text), pos + length(m) + 60) - greatest(0, pos - 60) AS BIGINT)),"
-            f" chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS evidence_text FROM (SELECT doc_id, text, m, raw, CAST(sum(length(piece) + length(m)) OVER (PARTITION BY doc_id ORDER BY n"
-            f" ROWS UNBOUNDED PRECEDING) - length(m) AS BIGINT) AS pos FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, '{p}', 0)) AS m, unnest(regexp_extract_all(text, '{p}', 1)) AS raw,"
-            f" unnest(string_split_regex(text, '{p}')[1:len(regexp_extract_all(text, '{p}', 0))]) AS piece, generate_subscripts(regexp_extract_all(text, '{p}', 0), 1) AS n FROM documents))")
+            f"SELECT {key}, '{attribute}' AS attribute, raw AS raw_value, CAST({oracle.quoted(unit)} AS VARCHAR) AS unit, try_cast(CASE WHEN regexp_matches(raw, '^[0-9.]+$')"
+            f" THEN raw END AS DOUBLE) AS value, trim(substring(text, CAST(greatest(0, pos - 60) AS BIGINT) + 1, CAST(least(length(text), pos + length(m) + 60) - greatest(0, pos - 60) AS BIGINT)),"
+            f" chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS evidence_text FROM (SELECT {key}, text, m, raw, CAST(sum(length(piece) + length(m)) OVER (PARTITION BY {key} ORDER BY n"
+            f" ROWS UNBOUNDED PRECEDING) - length(m) AS BIGINT) AS pos FROM (SELECT {key}, text, unnest(regexp_extract_all(text, '{p}', 0)) AS m, unnest(regexp_extract_all(text, '{p}', 1)) AS raw,"
+            f" unnest(string_split_regex(text, '{p}')[1:len(regexp_extract_all(text, '{p}', 0))]) AS piece, generate_subscripts(regexp_extract_all(text, '{p}', 0), 1) AS n FROM {texts}))")
     return " UNION ALL ".join(parts)
 
 
-@register("html_text_specs", f"SELECT doc_id, attribute, raw_value, unit, value, evidence_text FROM ({_text_specs()})")
-def _text_spec_query(spark, sf):
+@register("text_matches", _text_specs(TEXT_PATTERNS, "doc_id", "documents"))
+def _text_matches(spark, sf):
     documents = inputs.dealt(inputs.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    pages = documents.select(
-        F.col("doc_id").cast("string").alias("product_id"), F.lit("u").alias("url"), "text")
+    pages = documents.select(F.col("doc_id").cast("string").alias("product_id"), F.lit("u").alias("url"), "text")
     return html.html_text_specs(pages, TEXT_PATTERNS).select(
         F.col("product_id").cast("long").alias("doc_id"), "attribute", "raw_value", "unit", "value", "evidence_text")
 
 
-def _rx(expr: str, pattern: str, to: str) -> str:
-    return f"regexp_replace({expr}, '{pattern}', '{to}', 'g')"
+# Each page gets a sentence with all nine kinds of values at the end of its article.
+_SPEC_TEXT = (
+    "concat('<p>Rated ', cast(page_id % 200 as string), '.5 kW at <b>', cast(1000 + page_id % 500 as string), ' RPM</b>, ', cast(100 + page_id % 300 as string), ' V, ',"
+    " cast(50 + 10 * (page_id % 2) as string), 'Hz, ', cast(10 + page_id % 90 as string), '&#37; <i>cos</i> &phi;', case when page_id % 3 = 0 then '=' else ' ' end, ' 0.', cast(10 + page_id % 90 as string),"
+    " '; IP', cast(50 + page_id % 9 as string), '&nbsp;, ', cast(page_id % 40 as string), ' kg; ', cast(page_id % 30 as string), '.25 A &#x2013; ', cast(page_id as string), ' kWh</p>')")
+_SPEC_HTML = f"replace(html, '</article>', concat({_SPEC_TEXT}, '</article>'))"
+_NOISE = ("script", "style", "nav", "footer", "header")
+
 
+def _strip_sql(html_sql: str) -> dict[str, str]:
+    """Page texts by cutting at every ``<``: another way than the tokens of the library, and enough for the given pages."""
+    def depth(names) -> str:
+        return " + ".join(f"sum(CASE tag WHEN '{n}' THEN 1 WHEN '/{n}' THEN -1 ELSE 0 END) OVER so_far" for n in names)
 
-def _strip_sql() -> dict[str, str]:
-    h = "html"
-    for tag in ("script", "style"):
-        h = _rx(h, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    h = _rx(h, r"(?s)<!--.*?-->", "")
-    for tag in ("nav", "footer", "header"):
-        h = _rx(h, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    block = "coalesce(" + ", ".join(f"nullif(regexp_extract(body_html, '(?is)<{t}\\b[^>]*>(.*?)</{t}\\s*>', 1), '')" for t in ("main", "article")) + (
-        ", nullif(regexp_extract(body_html, '(?is)<body\\b[^>]*>(.*?)(?:</body|\\z)', 1), ''), body_html)")
-    blanks = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-    t = _rx(block, r"\s*<[^>]*>\s*", "\x01")
-    t = f"trim({_rx(t, chr(1) + '+', ' ')}, {blanks})"
-    for entity, char in html.ENTITIES:
-        t = f"replace({t}, {oracle.quoted(entity)}, {oracle.quoted(char)})"
-    return {"clean": f"SELECT page_id, url, {h} AS body_html FROM pages", "stripped": f"SELECT page_id, {t} AS text, length(body_html) AS n_body FROM clean"}
+    text = "replace(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&#37;', '%'), '&phi;', 'φ'), '&nbsp;', chr(160)), '&#x2013;', chr(8211))"
+    return {
+        "pieces": f"SELECT page_id, unnest(string_split(h, '<')) AS piece, generate_subscripts(string_split(h, '<'), 1) AS n FROM (SELECT page_id, coalesce({html_sql}, '') AS h FROM pages)",
+        "parted": "SELECT page_id, n, CASE WHEN n = 1 THEN '' ELSE lower(string_split(string_split(piece, '>')[1], ' ')[1]) END AS tag,"
+                  " CASE WHEN n = 1 THEN piece WHEN contains(piece, '>') THEN substr(piece, strpos(piece, '>') + 1) ELSE '' END AS t FROM pieces",
+        "placed": f"SELECT page_id, n, tag, t, {depth(_NOISE)} AS noise, {depth(('article', 'main'))} AS inside, {depth(('body',))} AS body FROM parted WINDOW so_far AS (PARTITION BY page_id ORDER BY n)",
+        "nodes": f"SELECT page_id, n, inside, body, trim(regexp_replace(replace({text}, '&amp;', '&'), '&amp$', '&'), chr(32) || chr(9) || chr(10) || chr(13) || chr(160)) AS t,"
+                 " max(inside) OVER (PARTITION BY page_id) AS has_main FROM placed WHERE noise = 0",
+        "stripped": "SELECT page_id, coalesce(string_agg(t, ' ' ORDER BY n) FILTER (t <> '' AND CASE WHEN has_main > 0 THEN inside > 0 ELSE body > 0 END), '') AS text FROM nodes GROUP BY page_id"}
 
 
-@register("html_strip", "SELECT * FROM stripped", _strip_sql())
+@register("html_strip", "SELECT page_id, text, length(text) AS n_chars FROM stripped", _strip_sql("html"))
 def _strip(spark, sf):
-    return html.html_strip(inputs.dealt(inputs.table(spark, sf, "pages"), "page_id")).select("page_id", "text", F.length("body_html").cast("long").alias("n_body"))
+    return html.html_strip(inputs.dealt(inputs.table(spark, sf, "pages").select("page_id", "html"), "page_id"), ["page_id"]).select(
+        "page_id", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@register("html_text_specs", _text_specs(dims.SPEC_PATTERNS, "page_id", "stripped"), _strip_sql(_SPEC_HTML))
+def _text_spec_query(spark, sf):
+    pages = inputs.dealt(inputs.table(spark, sf, "pages"), "page_id")
+    texts = html.html_strip(pages.select(F.col("page_id").alias("product_id"), "url", F.expr(_SPEC_HTML).alias("html")))
+    return html.html_text_specs(texts).select(F.col("product_id").cast("long").alias("page_id"), "attribute", "raw_value", "unit", "value", "evidence_text")
+
+
+# A page per part: a navigation block with a table and a nested block, a table with another one in a cell, and two lists.
+_POWER, _SPEED, _SHARE, _VOLTS, _HERTZ = f"{SIZE}/10", f"1000 + {K} % 500", f"10 + {K} % 80", f"100 + {K} % 300", f"50 + 10 * ({K} % 2)"
 _HTML = (
-    f"concat('<html><body><h2> Motor <b>', p_name, '</b></h2><table>', case when {K} % 2 = 0 then '<thead><tr><th>Power</th><th>Speed</th><th>Note</th></tr></thead>' else"
-    f" '<tr><th>Power</th><th>Speed</th><th>Note</th></tr>' end, '<tr><td>', {_text(f'{SIZE}/10')}, ' kW</td><td> ', {_text(f'1000 + {K} % 500')}, 'rpm </td><td>', p_type, '</td></tr>',"
-    f" '<tr><td></td><td>n/a</td><td>', {_text(f'10 + {K} % 80')}, ' %</td></tr></table><h3></h3><h3>Supply</h3><dl><dt>Net</dt><dd>', {_text(f'100 + {K} % 300')},"
-    f" ' V</dd><dt>Empty</dt><dd> </dd><dt>Grade</dt><dd><i>IP ', {_text(f'50 + {K} % 9')}, '</i></dd></dl></body></html>')")
+    f"concat('<html><body><nav><nav></nav><table><tr><td>1 kW</td></tr><tr><td>2 kW</td></tr></table><h3>Menu</h3></nav><h2> Motor <b>', p_name, '</b></h2><table>', case when {K} % 2 = 0 then"
+    f" '<thead><tr><th>Power</th><th>Speed</th><th>Note</th></tr></thead>' else '<tr><th>Power</th><th>Speed<th>Note</th></tr>' end, '<tr><td>', {_text(_POWER)}, ' kW</td><td> ', {_text(_SPEED)},"
+    f" 'rpm </td><td>', p_type, '</td></tr>', '<tr><td></td><td>n/a<td title=\"a > b\">', {_text(_SHARE)}, ' &#x25;</td></tr><tr><td>Supply<table><tr><th>Mains</th><th>Net</th></tr><tr><td>',"
+    f" {_text(_VOLTS)}, ' V</td><td>', {_text(_HERTZ)}, '&nbsp;Hz</td></tr></table></td></tr></table><h3></h3><h3>Supply</h3><header><h4>Skip</h4></header><dl><dt>Net</dt><dd>', {_text(_VOLTS)},"
+    f" ' V</dd><dt>Empty<dd> <dt>Grade</dt><dd><i>IP ', {_text(f'50 + {K} % 9')}, '</i></dd><dt>More<dd><dl><dt>Mass</dt><dd>', {_text(_SHARE)}, ' kg</dd></dl></dd></dl></body></html>')")
 
 
 def _pages(spark, sf):
-    return html.html_strip(inputs.table(spark, sf, "part").select(
+    return html.html_tokens(inputs.dealt(inputs.table(spark, sf, "part"), K).select(
         F.expr(PRODUCT_ID).alias("product_id"), F.concat(F.lit("http://m/"), F.col(K).cast("string")).alias("url"), F.expr(_HTML).alias("html")))
 
 
 _SECTION = "left(concat('Motor', p_name), 100)"
-
-
-@register("html_table_specs", f"SELECT product_id, section, attribute, raw_value, value, unit, evidence_text FROM (SELECT {PRODUCT_ID} AS product_id, {_SECTION} AS section,"
-          f" unnest(['rated_power', 'rated_speed', 'efficiency']) AS attribute, unnest([{_text(f'{SIZE}/10')}, {_text(f'1000 + {K} % 500')}, {_text(f'10 + {K} % 80')}]) AS raw_value,"
-          f" unnest([{SIZE}/10, 1000 + {K} % 500, 10 + {K} % 80]) AS value, unnest(['kW', 'rpm', '%']) AS unit, unnest([concat('Power: ', {_text(f'{SIZE}/10')}, ' kW | Speed: ',"
-          f" {_text(f'1000 + {K} % 500')}, 'rpm | Note: ', p_type), concat('Power: ', {_text(f'{SIZE}/10')}, ' kW | Speed: ', {_text(f'1000 + {K} % 500')}, 'rpm | Note: ', p_type),"
-          f" concat('Speed: n/a | Note: ', {_text(f'10 + {K} % 80')}, ' %')]) AS evidence_text FROM part)")
+# (attribute, raw value, unit, text of the row). The rows of the inner table are rows of the outer one too, and its cells are cells of the row around it.
+_TABLE_ROWS = [
+    ("rated_power", _text(_POWER), "kW", "first"), ("rated_speed", _text(_SPEED), "rpm", "first"), ("efficiency", _text(_SHARE), "%", f"concat('Speed: n/a | Note: ', {_text(_SHARE)}, ' %')"),
+    ("frequency", _text(_HERTZ), "Hz", f"concat('Power: SupplyMainsNet', {_text(_VOLTS)}, ' V', {_text(_HERTZ)}, chr(160), 'Hz | Speed: Mains | Note: Net')"),
+    ("rated_voltage", _text(_VOLTS), "V", "outer"), ("frequency", _text(_HERTZ), "Hz", "outer"), ("rated_voltage", _text(_VOLTS), "V", "inner"), ("frequency", _text(_HERTZ), "Hz", "inner")]
+_ROW_TEXT = {"first": f"concat('Power: ', {_text(_POWER)}, ' kW | Speed: ', {_text(_SPEED)}, 'rpm | Note: ', p_type)",
+             "outer": f"concat('Power: ', {_text(_VOLTS)}, ' V | Speed: ', {_text(_HERTZ)}, chr(160), 'Hz')", "inner": f"concat('Mains: ', {_text(_VOLTS)}, ' V | Net: ', {_text(_HERTZ)}, chr(160), 'Hz')"}
+
+
+@register("html_table_specs", " UNION ALL ".join(
+    f"SELECT {PRODUCT_ID} AS product_id, {_SECTION} AS section, '{a}' AS attribute, {raw} AS raw_value, CAST({raw} AS DOUBLE) AS value, '{unit}' AS unit, {_ROW_TEXT.get(row, row)} AS evidence_text FROM part"
+    for a, raw, unit, row in _TABLE_ROWS))
 def _table(spark, sf):
     return html.html_table_specs(_pages(spark, sf)).select("product_id", "section", "attribute", "raw_value", "value", "unit", "evidence_text")
 
 
-@register("html_dl_specs", f"SELECT product_id, 'Supply' AS section, attribute, raw_value, value, unit, evidence_text FROM (SELECT {PRODUCT_ID} AS product_id,"
-          f" unnest(['rated_voltage', 'ip_rating']) AS attribute, unnest([{_text(f'100 + {K} % 300')}, concat('IP ', {_text(f'50 + {K} % 9')})]) AS raw_value,"
-          f" unnest([CAST(100 + {K} % 300 AS DOUBLE), NULL]) AS value, unnest(['V', NULL]) AS unit, unnest([concat('Net: ', {_text(f'100 + {K} % 300')}, ' V'),"
-          f" concat('Grade: IP ', {_text(f'50 + {K} % 9')})]) AS evidence_text FROM part)")
+@register("html_dl_specs", f"SELECT product_id, 'Supply' AS section, attribute, raw_value, try_cast(raw_value AS DOUBLE) AS value, unit, evidence_text FROM (SELECT {PRODUCT_ID} AS product_id,"
+          f" unnest(['rated_voltage', 'ip_rating', 'weight', 'weight', 'weight']) AS attribute, unnest([{_text(_VOLTS)}, concat('IP ', {_text(f'50 + {K} % 9')}), {_text(_SHARE)}, {_text(_SHARE)}, {_text(_SHARE)}]) AS raw_value,"
+          f" unnest(['V', NULL, 'kg', 'kg', 'kg']) AS unit, unnest([concat('Net: ', {_text(_VOLTS)}, ' V'), concat('Grade: IP ', {_text(f'50 + {K} % 9')}), concat('More: Mass', {_text(_SHARE)}, ' kg'),"
+          f" concat('Mass: ', {_text(_SHARE)}, ' kg'), concat('Mass: ', {_text(_SHARE)}, ' kg')]) AS evidence_text FROM part)")
 def _dl(spark, sf):
     return html.html_dl_specs(_pages(spark, sf)).select("product_id", "section", "attribute", "raw_value", "value", "unit", "evidence_text")
 

@@ -1,83 +1,36 @@
-"""Stored web pages to evidence, with built-in regular expressions only."""
+"""Stored web pages to evidence: tables, definition lists and free text. ``markup`` reads the pages."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from specledger import dims
-from specledger.functions.text import blank_to_null, strip
 from specledger.functions.values import PLAIN_FLOAT
 from specledger.schema import EVIDENCE, conform
+from specledger.session import stage_table
+from specledger.sources import markup
+from specledger.sources.markup import PAGE
 
 Patterns = Sequence[tuple[str, str, str | None]]
+KEEP = ("product_id", "url")
+# Patterns ignore case and know the white space, digits and letters of Unicode: pages write "50&nbsp;Hz".
+FLAGS = "(?iU)"
 SPAN = 60
 CONTEXT_LENGTH = 300
-# --- fixed values: named entities decoded in text ---
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&amp;", "&")]
-_TAG = r"\s*<[^>]*>\s*"
+# Methods in the order in which their facts count.
+METHODS = (("html_table", 0.70), ("html_dl", 0.65), ("html_text", 0.55))
 
 
-def _unescape(col: Column) -> Column:
-    for entity, char in ENTITIES:
-        col = F.replace(col, F.lit(entity), F.lit(char))
-    return col
+def html_strip(pages: DataFrame, keep: Sequence[str] = KEEP) -> DataFrame:
+    """The columns ``keep`` and ``text``: the main block of each page as plain text, empty where there is none."""
+    return markup.page_texts(markup.tokens(pages, keep)).select(*[F.col(f"{PAGE}.`{c}`") for c in keep], "text")
 
 
-def drop_noise(html: Column) -> Column:
-    """Page without scripts, styles, comments and navigation, header and footer blocks."""
-    html = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
-    html = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    return F.regexp_replace(html, r"(?is)<(nav|footer|header)\b[^>]*>.*?</\1\s*>", "")
-
-
-def main_block(html: Column) -> Column:
-    """First main or article block, else the body, else the whole page."""
-    return F.coalesce(
-        F.nullif(F.regexp_extract(html, r"(?is)<(main|article)\b[^>]*>(.*?)</\1\s*>", 2), F.lit("")),
-        F.nullif(F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*?)(?:</body|\z)", 1), F.lit("")),
-        html,
-    )
-
-
-def spaced_text(html: Column) -> Column:
-    """Text nodes trimmed and joined by one blank."""
-    marked = F.regexp_replace(html, _TAG, "\u0001")
-    return _unescape(strip(F.regexp_replace(marked, "\u0001+", " ")))
-
-
-def joined_text(html: Column) -> Column:
-    """Text nodes trimmed and joined without a separator."""
-    return _unescape(strip(F.regexp_replace(html, _TAG, "")))
-
-
-def html_strip(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Add ``body_html`` (noise removed) and ``text`` (main block as plain text)."""
-    return pages.withColumn("body_html", drop_noise(F.col(html))).withColumn(
-        "text", spaced_text(main_block(F.col("body_html"))))
-
-
-def matches(text: Column, pattern: str) -> Column:
-    """Every match as a struct of start (0-based), whole match and first group.
-
-    The pieces between matches give the offsets, added up in one pass.
-    """
-    pieces = F.split(text, pattern, -1)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    zipped = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(whole)).alias("piece"), whole.alias("whole"),
-                          group.alias("raw"))
-    init = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(
-        F.transform(zipped, lambda z: F.struct(F.length(z["piece"]).alias("gap"), F.length(z["whole"]).alias("n"))),
-        init,
-        lambda acc, z: F.struct((acc["end"] + z["gap"] + z["n"]).alias("end"),
-                                F.concat(acc["starts"], F.array(acc["end"] + z["gap"])).alias("starts")),
-        lambda acc: acc["starts"],
-    )
-    return F.arrays_zip(starts.alias("start"), whole.alias("whole"), group.alias("raw"))
+def html_tokens(pages: DataFrame) -> DataFrame:
+    """Stored tokens of pages (``product_id, url, html``), for the functions below that read them more than once."""
+    return stage_table(markup.tokens(pages, KEEP), "page-tokens")
 
 
 def _number(raw: Column) -> Column:
@@ -85,132 +38,94 @@ def _number(raw: Column) -> Column:
     return F.when(text.rlike(PLAIN_FLOAT), text.try_cast("double"))
 
 
-def _facts(df: DataFrame, method: str, confidence: float, source_rank: int = 2) -> DataFrame:
-    have = set(df.columns)
+def _facts(df: DataFrame, method: str, order: Sequence[str], source_rank: int = 2) -> DataFrame:
+    """Evidence of one method. ``pos`` counts the facts of a page in the order of the columns ``order``, after those of the methods before."""
+    place = [m for m, _ in METHODS].index(method)
+    number = F.row_number().over(Window.partitionBy(PAGE).orderBy(*order))
     out = df.select(
-        "*", _number(F.col("raw_value")).alias("value"), F.lit("web").alias("source_type"),
-        F.lit(method).alias("method"), F.lit(confidence).alias("confidence"),
-        F.lit(source_rank).alias("source_rank"),
-    )
-    if "source_id" not in have:
+        f"{PAGE}.*", *[c for c in df.columns if c != PAGE], _number(F.col("raw_value")).alias("value"), F.lit("web").alias("source_type"),
+        F.lit(method).alias("method"), F.lit(dict(METHODS)[method]).alias("confidence"), F.lit(source_rank).alias("source_rank"),
+        (F.lit(place << 40) + number).alias("pos"))
+    if "source_id" not in out.columns:
         out = out.withColumn("source_id", F.concat(F.lit("web_"), F.col("product_id")))
     return conform(out, EVIDENCE)
 
 
-def _position(method: int, *parts: Column) -> Column:
-    """Order of facts of one page: method first, then up to three counters of 15 bits and more."""
-    out = F.lit(method).cast("long")
-    for part in parts:
-        out = out * 1_000_000 + part
-    return out
+def found_places(texts: DataFrame, patterns: Patterns, keys: Sequence[str]) -> DataFrame:
+    """Every match of every pattern: ``keys``, ``i`` (of the pattern), ``n``, ``start`` (from 0), ``whole``, ``raw`` (first group).
+
+    A text is cut at the matches of a pattern; running sums over the lengths of the pieces and the matches give the places, in linear time.
+    """
+    def pieces(pattern: str) -> Column:
+        whole = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+        group = F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
+        gaps = F.transform(F.slice(F.split("text", pattern, -1), F.lit(1), F.size(whole)), F.length)
+        return F.when(F.col("text").rlike(pattern), F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), group.alias("raw")))
+
+    cut = F.array(*[F.struct(F.lit(i).alias("i"), pieces(FLAGS + pattern).alias("found")) for i, (pattern, _, _) in enumerate(patterns)])
+    rows = texts.select(*keys, F.explode(F.filter(cut, lambda c: c["found"].isNotNull())).alias("p")).select(
+        *keys, "p.i", F.posexplode("p.found").alias("n", "m")).select(*keys, "i", "n", "m.*")
+    so_far = Window.partitionBy(*keys, "i").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum((F.col("gap") + F.length("whole")).cast("long")).over(so_far)
+    return rows.select(*keys, "i", "n", (end - F.length("whole")).alias("start"), "whole", "raw")
 
 
 def html_text_specs(pages: DataFrame, patterns: Patterns = tuple(dims.SPEC_PATTERNS), span: int = SPAN) -> DataFrame:
-    """Every pattern match in the text (``product_id, url, text``), with the text around it."""
-    text = F.col("text")
-    per_pattern = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(attribute).alias("attribute"), F.lit(unit).cast("string").alias("unit"),
-                 matches(text, "(?i)" + pattern).alias("found"))
-        for i, (pattern, attribute, unit) in enumerate(patterns)
-    ])
-    rows = pages.filter(F.coalesce(text, F.lit("")) != "").select(
-        "product_id", "url", "text", F.explode(per_pattern).alias("p")
-    ).select("product_id", "url", "text", F.col("p.i").alias("i"), F.col("p.attribute").alias("attribute"),
-             F.col("p.unit").alias("unit"), F.posexplode("p.found").alias("n", "m"))
-    begin = F.greatest(F.lit(0), F.col("m.start") - span)
-    end = F.least(F.length(text), F.col("m.start") + F.length("m.whole") + span)
-    return _facts(rows.select(
-        "product_id", "url", "attribute", "unit", F.col("m.raw").alias("raw_value"),
-        F.left(strip(F.substring(text, begin + 1, end - begin)), F.lit(CONTEXT_LENGTH)).alias("evidence_text"),
-        _position(2, F.col("i"), F.col("n")).alias("pos"),
-    ), "html_text", 0.55)
+    """Every pattern match in the text (``product_id, url, text``), with the text around it.
+
+    Matches are short rows; the text joins them once, by page, when the surroundings are cut out of it.
+    """
+    texts = stage_table(pages.filter(F.coalesce("text", F.lit("")) != "").select(
+        F.struct(F.monotonically_increasing_id().alias("id"), *KEEP).alias(PAGE), "text"), "page-texts")
+    names = F.array(*[F.struct(F.lit(a).alias("attribute"), F.lit(u).cast("string").alias("unit")) for _, a, u in patterns])
+    joined = found_places(texts, patterns, [PAGE]).join(texts, PAGE).withColumn("spec", F.get(names, F.col("i")))
+    begin = F.greatest(F.lit(0), F.col("start") - span)
+    end = F.least(F.length("text"), F.col("start") + F.length("whole") + span)
+    around = F.substring(F.col("text"), (begin + 1).cast("int"), (end - begin).cast("int"))
+    return _facts(joined.select(
+        PAGE, "i", "n", "spec.attribute", "spec.unit", F.col("raw").alias("raw_value"),
+        F.left(markup.trimmed(around), F.lit(CONTEXT_LENGTH)).alias("evidence_text")), "html_text", ["i", "n"])
 
 
 def _first_spec(text: Column, patterns: Patterns) -> Column:
     """Attribute, unit and group of the first pattern found in the text."""
     return F.coalesce(*[
-        F.when(text.rlike("(?i)" + pattern), F.struct(
+        F.when(text.rlike(FLAGS + pattern), F.struct(
             F.lit(attribute).alias("attribute"), F.lit(unit).cast("string").alias("unit"),
-            F.regexp_extract(text, "(?i)" + pattern, 1).alias("raw_value")))
+            F.regexp_extract(text, FLAGS + pattern, 1).alias("raw_value")))
         for pattern, attribute, unit in patterns
     ])
 
 
-def _blocks(pages: DataFrame, tag: str) -> DataFrame:
-    """One row per block of ``tag`` with the nearest filled heading before it."""
-    pattern = rf"(?is)<h[1-4]\b[^>]*>.*?</h[1-4]\s*>|<{tag}\b[^>]*>.*?</{tag}\s*>"
-    blocks = pages.withColumn("_blocks", F.regexp_extract_all(F.col("body_html"), F.lit(pattern), F.lit(0)))
-    heads = blocks.withColumn("_heads", F.transform(
-        "_blocks", lambda b: F.when(b.rlike(r"(?i)^<h"), blank_to_null(joined_text(b)))))
-    rows = heads.select("product_id", "url", "_heads", F.posexplode("_blocks").alias("block_no", "block"))
-    before = F.filter(F.slice("_heads", F.lit(1), F.col("block_no") + 1), lambda h: h.isNotNull())
-    return rows.filter(F.col("block").rlike(rf"(?i)^<{tag}")).select(
-        "product_id", "url", "block_no", "block",
-        F.left(F.try_element_at(before, F.lit(-1)), F.lit(100)).alias("section"))
+def html_table_specs(tokens: DataFrame, patterns: Patterns = tuple(dims.SPEC_PATTERNS), header_units: bool = False) -> DataFrame:
+    """First pattern found in each cell of the tables in stored tokens; see ``markup.tables`` for what a table holds.
 
-
-def _cells(row: Column) -> Column:
-    found = F.regexp_extract_all(row, F.lit(r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]\s*>"), F.lit(1))
-    return F.transform(found, joined_text)
-
-
-def html_table_specs(pages: DataFrame, patterns: Patterns = tuple(dims.SPEC_PATTERNS),
-                     header_units: bool = False) -> DataFrame:
-    """First pattern found in each table cell (``product_id, url, body_html``).
-
-    Tables need two rows. With a ``thead`` its row is read as data too; without one the first row is the header.
     ``header_units`` lets a cell take the unit its header gives in brackets.
     """
-    tables = _blocks(pages, "table").withColumn(
-        "_rows", F.regexp_extract_all("block", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"), F.lit(1))
-    ).filter(F.size("_rows") >= 2)
-    has_head = F.col("block").rlike(r"(?i)<thead\b")
-    head = F.regexp_extract("block", r"(?is)<thead\b[^>]*>(.*?)</thead\s*>", 1)
-    tables = tables.select(
-        "product_id", "url", "block_no", "section",
-        F.when(has_head, _cells(head)).otherwise(_cells(F.get("_rows", F.lit(0)))).alias("headers"),
-        F.posexplode(F.when(has_head, F.col("_rows")).otherwise(F.slice("_rows", F.lit(2), F.size("_rows"))))
-        .alias("row_no", "row_html"),
-    ).withColumn("cells", _cells(F.col("row_html")))
-    width = F.least(F.size("headers"), F.size("cells"))
-    pairs = F.arrays_zip(F.slice("headers", F.lit(1), width).alias("header"),
-                         F.slice("cells", F.lit(1), width).alias("cell"))
-    rows = tables.filter(width > 0).withColumn("_pairs", pairs)
+    rows = markup.tables(tokens).withColumn("pairs", F.slice(
+        F.arrays_zip(F.col("headers").alias("header"), F.col("cells").alias("cell")), F.lit(1), F.least(F.size("headers"), F.size("cells"))))
     row_text = F.concat_ws(" | ", F.transform(
-        F.filter("_pairs", lambda p: p["cell"] != ""), lambda p: F.concat(p["header"], F.lit(": "), p["cell"])))
-    cells = rows.select("product_id", "url", "block_no", "section", "row_no",
-                        F.left(row_text, F.lit(CONTEXT_LENGTH)).alias("evidence_text"),
-                        F.posexplode("_pairs").alias("i", "pair")).filter(F.col("pair.cell") != "")
+        F.filter("pairs", lambda p: p["cell"] != ""), lambda p: F.concat(p["header"], F.lit(": "), p["cell"])))
+    cells = rows.select(PAGE, "container", "section", "row", F.left(row_text, F.lit(CONTEXT_LENGTH)).alias("evidence_text"),
+                        F.posexplode("pairs").alias("i", "pair")).filter(F.col("pair.cell") != "")
     text = F.col("pair.cell")
     if header_units:
         unit = F.regexp_extract("pair.header", r"\(([^()]+)\)\s*$", 1)
         text = F.when(text.rlike(r"^[\d.,+-]+$") & (unit != ""), F.concat(text, F.lit(" "), unit)).otherwise(text)
-    return _facts(cells.withColumn("s", _first_spec(text, patterns)).filter("s is not null").select(
-        "product_id", "url", "section", "evidence_text", "s.attribute", "s.unit", "s.raw_value",
-        _position(0, F.col("block_no"), F.col("row_no") * 1000 + F.col("i")).alias("pos"),
-    ), "html_table", 0.70)
-
-
-def html_dl_specs(pages: DataFrame, patterns: Patterns = tuple(dims.SPEC_PATTERNS)) -> DataFrame:
-    """First pattern found in each definition of a definition list (``product_id, url, body_html``)."""
-    def parts(tag: str) -> Column:
-        found = F.regexp_extract_all(F.col("block"), F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), F.lit(1))
-        return F.transform(found, joined_text)
-
-    lists = _blocks(pages, "dl").withColumn("terms", parts("dt")).withColumn("defs", parts("dd"))
-    width = F.least(F.size("terms"), F.size("defs"))
-    pairs = F.arrays_zip(F.slice("terms", F.lit(1), width).alias("term"), F.slice("defs", F.lit(1), width).alias("text"))
-    rows = lists.filter(width > 0).select("product_id", "url", "block_no", "section", F.posexplode(pairs).alias("i", "d"))
-    rows = rows.filter(F.col("d.text") != "").withColumn("s", _first_spec(F.col("d.text"), patterns))
-    return _facts(rows.filter("s is not null").select(
-        "product_id", "url", "section", "s.attribute", "s.unit", "s.raw_value",
-        F.left(F.concat("d.term", F.lit(": "), "d.text"), F.lit(CONTEXT_LENGTH)).alias("evidence_text"),
-        _position(1, F.col("block_no"), F.col("i")).alias("pos"),
-    ), "html_dl", 0.65)
+    specs = cells.withColumn("s", _first_spec(text, patterns)).filter("s is not null")
+    return _facts(specs.select(PAGE, "container", "row", "i", "section", "evidence_text", "s.*"), "html_table", ["container", "row", "i"])
+
+
+def html_dl_specs(tokens: DataFrame, patterns: Patterns = tuple(dims.SPEC_PATTERNS)) -> DataFrame:
+    """First pattern found in each definition of the definition lists in stored tokens."""
+    pairs = markup.definition_lists(tokens).filter("definition <> ''").withColumn("s", _first_spec(F.col("definition"), patterns))
+    return _facts(pairs.filter("s is not null").select(
+        PAGE, "container", "i", "section", F.left(F.concat("term", F.lit(": "), "definition"), F.lit(CONTEXT_LENGTH)).alias("evidence_text"), "s.*"),
+        "html_dl", ["container", "i"])
 
 
 def html_specs(pages: DataFrame, patterns: Patterns = tuple(dims.SPEC_PATTERNS)) -> DataFrame:
-    """Facts of all three strategies: tables, definition lists, text."""
-    clean = html_strip(pages)
-    return html_table_specs(clean, patterns).unionByName(html_dl_specs(clean, patterns)).unionByName(
-        html_text_specs(clean, patterns))
+    """Facts of all three strategies from pages (``product_id, url, html``)."""
+    tokens = html_tokens(pages)
+    texts = markup.page_texts(tokens).select(f"{PAGE}.product_id", f"{PAGE}.url", "text")
+    return html_table_specs(tokens, patterns).unionByName(html_dl_specs(tokens, patterns)).unionByName(html_text_specs(texts, patterns))
