@@ -111,6 +111,7 @@ def cover(starts: np.ndarray, ends: np.ndarray, length: int) -> list[tuple[int,
     return out
 
 
+BLANKS = " \t\n\x0b\x0c\r"
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -271,10 +272,14 @@ def number_rows(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of every row."""
+    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``text`` (what is left) of every row.
+
+    A removed run may begin or end inside a character; the rest of such a character is counted and hashed, but left out of ``text``.
+    """
     numbered = number_rows(docs, "doc_id", "text")
-    return numbered.select("rid", "doc_id").join(repeats(numbered, length), "rid").select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return numbered.join(repeats(numbered, length, keep_text=True), "rid").select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256",
+        F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def dedup_passages(docs: DataFrame, length: int) -> DataFrame:
@@ -283,7 +288,7 @@ def dedup_passages(docs: DataFrame, length: int) -> DataFrame:
     numbered = number_rows(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     kept = repeats(numbered.select("rid", F.col("doc.text").alias("text")), length, keep_text=True)
     cut = F.col("n_removed") > 0
-    out = numbered.join(kept, "rid").filter(~cut | (F.trim("kept") != ""))
+    out = numbered.join(kept, "rid").filter(~cut | (F.trim("kept", F.lit(BLANKS)) != ""))
     new = {"text": F.when(cut, F.col("kept")).otherwise(F.col("doc.text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(cut, F.length("kept")).otherwise(F.col("doc.n_chars")).cast("long")

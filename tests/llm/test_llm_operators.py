@@ -440,7 +440,8 @@ def brute_repeats(rows, length):
             if times[d[p:p + length]] > 1:
                 gone[p:p + length] = b"\1" * length
         spans = sum(gone[k] and (k == 0 or not gone[k - 1]) for k in range(len(d)))
-        out[doc_id, len(d), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(d, gone) if not g)).hexdigest()] += 1
+        rest = bytes(x for x, g in zip(d, gone) if not g)
+        out[doc_id, len(d), sum(gone), spans, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")] += 1
     return out
 
 
@@ -454,6 +455,9 @@ def test_dedup_passages(spark, docs, rows, empty):
     got = {r.doc_id: r for r in out.collect() if r.doc_id is not None}
     assert out.columns == docs.columns and 0 not in got and 60 not in got and got[10].text == rows[10][1]
     assert all(r.n_chars == len(r.text) for r in (got[65], got[66])) and len(got[65].text) < len(rows[65][1]) - 400
+    blanks = spark.createDataFrame([(i, rows[65][1] + end) for i, end in enumerate(("\n\n", "\t\n", "\x0b\r "))], "doc_id long, text string")
+    left = suffix.dedup_passages(blanks, 240).collect()
+    assert all(r.text.strip() for r in left)
     assert suffix.dedup_passages(empty, 240).count() == 0 and suffix.remove_repeats(empty).count() == 0
 
 
