@@ -1,41 +1,23 @@
 """Catalog enrichment: brand resolution, attributes from text, names, descriptions and trust tiers.
 
-Rows are enriched independently. With a small brand dictionary the whole enrichment is one map-only pass; only the gold
+Rows are enriched independently. With a brand dictionary that fits the tasks the whole enrichment is one map-only pass; only the gold
 join moves data.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import types as T
 
 from specledger import dims
 from specledger.functions.text import clean_string, literal_map, strip, strip_supplier_code
 from specledger.functions.units import number_with_unit, value_unit_statuses
 from specledger.operators.once import once
+from specledger.operators.signals import INLINE_BYTES, first_signal, match_columns, match_signal, match_texts, signal_index, signals  # noqa: F401
 from specledger.operators.skew import join_spread
 
-# Largest number of dictionary signals matched inside each row; a larger dictionary is joined with the substrings of the texts.
-INLINE_SIGNALS = 256
-MIN_CONTAINED = 3
-
 FIELD_TYPE = "struct<value:string,status:string,confidence:double,sources:array<string>,reason:string>"
-# One signal of the dictionary: its entry, in dictionary order.
-SIGNAL = T.StructType([
-    T.StructField("entry_pos", T.LongType()),
-    T.StructField("signal_pos", T.IntegerType()),
-    T.StructField("signal", T.StringType()),
-    T.StructField("low", T.StringType()),
-    T.StructField("manufacturer", T.StringType()),
-    T.StructField("brand", T.StringType()),
-    T.StructField("trade_name", T.StringType()),
-])
-
-
 def field(value: Column, status: Column | str, confidence: Column | float, sources: Column, reason: Column | str) -> Column:
     """A value with status, confidence, sources and reason."""
     def col(x: Column | str | float, kind: str) -> Column:
@@ -50,97 +32,6 @@ def no_sources() -> Column:
     return F.array().cast("array<string>")
 
 
-# --- dictionary matching ---
-
-def signals(dictionary: DataFrame) -> DataFrame:
-    """Dictionary by signal. Entries may hold a ``raw_signals`` list, or come with one row per ``signal``.
-
-    The order within an entry is that of the list; rows without one are ordered by text. Null and empty signals match nothing and are left out.
-    """
-    if "raw_signals" in dictionary.columns:
-        dictionary = dictionary.select("*", F.posexplode("raw_signals").alias("signal_pos", "signal"))
-    return dictionary.filter(F.col("signal") != "").select(
-        F.col("entry_pos").cast("long").alias("entry_pos"), "signal_pos", "signal", F.lower("signal").alias("low"),
-        F.col("canonical_manufacturer").alias("manufacturer"), F.col("canonical_brand").alias("brand"),
-        F.coalesce("trade_name", F.lit("")).alias("trade_name"))
-
-
-def _hits(text: Column, low: Column) -> Column:
-    return (text == low) | ((F.length(low) >= MIN_CONTAINED) & F.contains(text, low))
-
-
-@dataclass
-class InlineDictionary:
-    """A small dictionary as literals: entries in dictionary order, and the texts looked for."""
-
-    entries: Column
-    contained: Column
-    whole: Column | None
-
-
-def inline_signals(dictionary: DataFrame, limit: int = INLINE_SIGNALS) -> InlineDictionary | None:
-    """The dictionary as literals, or None when it has more than ``limit`` signals."""
-    rows = [r.asDict() for r in signals(dictionary).limit(limit + 1).collect()]
-    if len(rows) > limit:
-        return None
-    rows.sort(key=lambda r: (r["entry_pos"], r["signal_pos"], r["signal"]))
-    # Equal texts are contained in each other, so only short signals need a test for equality.
-    short = [r["low"] for r in rows if len(r["low"]) < MIN_CONTAINED]
-    entries = F.from_json(F.lit(json.dumps(rows)), T.ArrayType(SIGNAL))
-    texts = F.from_json(F.lit(json.dumps([r["low"] for r in rows])), T.ArrayType(T.StringType()))
-    return InlineDictionary(entries, texts, F.lit(True) if short else None)
-
-
-def match_inline(low: Column, dictionary: InlineDictionary) -> Column:
-    """First dictionary signal that equals the lower-case text or, from three characters on, is contained in it."""
-    if dictionary.whole is None:
-        found = F.filter(dictionary.contained, lambda s: F.contains(low, s))
-    else:
-        found = F.filter(dictionary.contained, lambda s: _hits(low, s))
-    first = F.get(found, F.lit(0))
-    # Without a match the position is null, and so is the entry.
-    return F.get(dictionary.entries, F.array_position(dictionary.contained, first).cast("int") - 1)
-
-
-def _parts(low: Column, lengths: Column) -> Column:
-    """The text itself and its distinct substrings of the given lengths."""
-    def of_length(n: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, n))
-
-    fitting = F.filter(lengths, lambda n: (n >= MIN_CONTAINED) & (n <= F.length(low)))
-    return F.array_union(F.array(low), F.flatten(F.transform(fitting, of_length)))
-
-
-def match_by_substring(texts: DataFrame, dictionary: DataFrame, ignore_case: bool = True) -> DataFrame:
-    """Matches for distinct ``text`` values against a dictionary of any size: ``text, m``.
-
-    A text is cut into its substrings of each length that a signal has, and these are joined with the signals by equality. So a row
-    comes out of the join only for a match, however alike the signals are. Signals shorter than three characters match whole texts only.
-    """
-    entries = signals(dictionary)
-    if not ignore_case:
-        entries = entries.withColumn("low", F.col("signal"))
-    first = entries.groupBy("low").agg(F.min(F.struct(*SIGNAL.names)).alias("m"))
-    # One row: the distinct lengths, which are fewer than the characters of the longest signal.
-    lengths = first.agg(F.array_sort(F.collect_set(F.length("low"))).alias("_lengths"))
-    folded = F.lower("text") if ignore_case else F.col("text")
-    cut = texts.select("text", folded.alias("_t")).join(F.broadcast(lengths)).select(
-        "text", F.explode(_parts(F.col("_t"), F.col("_lengths"))).alias("low"))
-    return cut.join(first, "low").groupBy("text").agg(F.min("m").alias("m"))
-
-
-def match_signal(df: DataFrame, text: str, dictionary: DataFrame, limit: int = INLINE_SIGNALS) -> DataFrame:
-    """Add ``m``: the dictionary match of a text column, null without one."""
-    entries = inline_signals(dictionary, limit)
-    if entries is not None:
-        low = once(df, {"_low": F.lower(clean_string(F.col(text)))})
-        return once(low, {"m": match_inline(F.col("_low"), entries)}).drop("_low")
-    clean = df.withColumn("_text", clean_string(F.col(text)))
-    distinct = clean.select(F.col("_text").alias("text")).filter("text is not null").distinct()
-    matched = match_by_substring(distinct, dictionary).withColumnRenamed("text", "_text")
-    return join_spread(clean, matched, ["_text"], spread=df.columns).drop("_text")
-
-
 # --- brands ---
 
 def brand_signals(rows: DataFrame) -> DataFrame:
@@ -156,26 +47,24 @@ def brand_signals(rows: DataFrame) -> DataFrame:
     return once(rows, {"raw_brands": F.array_sort(texts)}).withColumn("brand_conflict", F.size("raw_brands") > 1)
 
 
-def _with_matches(rows: DataFrame, dictionary: DataFrame, limit: int) -> DataFrame:
+def _with_matches(rows: DataFrame, dictionary: DataFrame, inline_bytes: int) -> DataFrame:
     """Add ``_matches``: source, raw value and match of each matched column, in priority order."""
-    entries = inline_signals(dictionary, limit)
+    index = signal_index(dictionary, inline_bytes=inline_bytes)
     texts = {f"_t{i}": clean_string(F.col(c)) for i, (_, c) in enumerate(dims.BRAND_SOURCES)}
     out = once(rows, texts)
-    if entries is not None:
-        found = once(out, {f"_m{i}": match_inline(F.lower(F.col(f"_t{i}")), entries) for i in range(len(texts))})
-        matched = F.array_compact(F.array(*[
-            F.when(F.col(f"_m{i}").isNotNull(), F.struct(
-                F.lit(name).alias("source"), F.col(f"_t{i}").alias("raw_val"), F.col(f"_m{i}").alias("m")))
-            for i, (name, _) in enumerate(dims.BRAND_SOURCES)]))
-        return once(found, {"_matches": matched}).drop(*texts, *[f"_m{i}" for i in range(len(texts))])
+    if index.inline:
+        found = match_columns(out, {f"_m{i}": F.lower(f"_t{i}") for i in range(len(texts))}, index, first_signal)
+        matched = "array_compact(array({}))".format(", ".join(
+            f"case when _m{i} is not null then struct('{name}' as source, _t{i} as raw_val, _m{i} as m) end" for i, (name, _) in enumerate(dims.BRAND_SOURCES)))
+        return once(found, {"_matches": F.expr(matched)}).drop(*texts, *[f"_m{i}" for i in range(len(texts))])
     named = F.array(*[F.struct(F.lit(name).alias("source"), F.col(f"_t{i}").alias("raw_val"))
                       for i, (name, _) in enumerate(dims.BRAND_SOURCES)])
     out = out.withColumn("_texts", F.filter(named, lambda x: x["raw_val"].isNotNull())).drop(*texts)
-    # Distinct texts are matched once; the candidates come back per row, at most one per column.
+    # Only texts with a likely signal leave their task; distinct ones are matched once, and the matches come back per row, at most one per column.
     long = out.select("row_id", F.posexplode("_texts").alias("i", "x")).select(
         "row_id", "i", F.col("x.source").alias("source"), F.col("x.raw_val").alias("text"))
-    found = match_by_substring(long.select("text").distinct(), dictionary)
-    hits = join_spread(long, found, ["text"], spread=["row_id", "i"], how="inner")
+    likely, matched = match_texts(long, index, F.lower("text"))
+    hits = join_spread(likely, matched.select("text", "m"), ["text"], spread=["row_id", "i"], how="inner", counts=matched.select("text", "n_rows"))
     per_row = hits.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(
         "i", "source", F.col("text").alias("raw_val"), "m"))), lambda x: F.struct(
             x["source"].alias("source"), x["raw_val"].alias("raw_val"), x["m"].alias("m"))).alias("_matches"))
@@ -184,14 +73,14 @@ def _with_matches(rows: DataFrame, dictionary: DataFrame, limit: int) -> DataFra
     return kept.withColumn("_matches", F.coalesce("_matches", F.array().cast(per_row.schema["_matches"].dataType)))
 
 
-def resolve_brand(rows: DataFrame, dictionary: DataFrame, limit: int = INLINE_SIGNALS) -> DataFrame:
+def resolve_brand(rows: DataFrame, dictionary: DataFrame, inline_bytes: int = INLINE_BYTES) -> DataFrame:
     """Add ``resolution``: manufacturer, brand, trade name, status, confidence, sources and reason.
 
     Six columns are matched in priority order. More than one distinct brand is a conflict without a brand; otherwise the
     first match stands, verified when a part number, supplier or brand column matched, inferred from other columns.
     """
     found = F.col("_matches")
-    matched = once(_with_matches(rows, dictionary, limit), {
+    matched = once(_with_matches(rows, dictionary, inline_bytes), {
         "_brands": F.array_distinct(F.transform(
             F.filter(found, lambda x: F.coalesce(x["m"]["brand"], F.lit("")) != ""), lambda x: x["m"]["brand"])),
         "_first": F.get(found, F.lit(0))["m"],
@@ -404,7 +293,7 @@ def overall_tier() -> Column:
 
 def enrich_catalog(rows: DataFrame, dictionary: DataFrame, gold: DataFrame | None = None,
                    gold_attrs: DataFrame | None = None, strict_conflicts: bool = False, fixed_dims: bool = False,
-                   limit: int = INLINE_SIGNALS) -> DataFrame:
+                   inline_bytes: int = INLINE_BYTES) -> DataFrame:
     """Enriched catalog: one row per input row, all fields with status and provenance.
 
     Without ``gold`` names come from keywords only, so an evaluation against gold is free of leaks.
@@ -413,7 +302,7 @@ def enrich_catalog(rows: DataFrame, dictionary: DataFrame, gold: DataFrame | Non
         base = join_gold(rows, gold, gold_attrs)
     else:
         base = rows.withColumns({c: F.lit(None).cast("string") for c in ("gold_name", "gold_classpath", "gold_long_desc")})
-    branded = brand_fields(resolve_brand(brand_signals(base), dictionary, limit), strict_conflicts)
+    branded = brand_fields(resolve_brand(brand_signals(base), dictionary, inline_bytes), strict_conflicts)
     named = once(branded, {
         "manufacturer_part_number": part_number_field(),
         "product_name": product_name(F.col("gold_name")),

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from specledger import dims
 from specledger.functions.text import location_text, source_display
-from specledger.operators.catalog import match_by_substring
 from specledger.operators.normalize import KEYS
-from specledger.operators.skew import join_spread
+from specledger.operators.signals import match_signal
 
 CATEGORY = "Industrial Electric Motor"
 # --- fixed values: wide columns of the product list by field ---
@@ -105,18 +104,11 @@ def latest_resolutions(log: DataFrame, key: str = "review_id", order: tuple[str,
 
 
 def attach_product(new: DataFrame, products: DataFrame) -> DataFrame:
-    """Product of a resolution: the first product id contained in its review id, '' when there is none.
-
-    The substrings of a review id are joined with the product ids, so the containment is an equi-join.
-    """
+    """Product of a resolution: the first product id contained in its review id, '' when there is none."""
     ids = products.select(F.lit(0).alias("entry_pos"), F.lit(0).alias("signal_pos"), F.col("product_id").alias("signal"),
                           *[F.lit("").alias(c) for c in ("canonical_manufacturer", "canonical_brand", "trade_name")])
-    texts = new.select(F.col("review_id").alias("text")).filter("text is not null").distinct()
-    found = match_by_substring(texts, ids, ignore_case=False).select(
-        F.col("text").alias("review_id"), F.col("m.signal").alias("product_id"))
-    rest = new.drop("product_id")
-    return join_spread(rest, found, ["review_id"], spread=rest.columns).withColumn(
-        "product_id", F.coalesce("product_id", F.lit("")))
+    found = match_signal(new.drop("product_id"), "review_id", ids, ignore_case=False, placeholders=False)
+    return found.withColumn("product_id", F.coalesce("m.signal", F.lit(""))).drop("m")
 
 
 def resolve_review(log: DataFrame, new: DataFrame, products: DataFrame) -> DataFrame:

@@ -66,21 +66,49 @@ _MATCH = ("SELECT r.row_id, arg_min(d.signal, d.entry_pos) AS matched_signal, ar
           " lower(d.signal) = lower(trim(r.{c})) OR (length(d.signal) >= 3 AND contains(lower(trim(r.{c})), lower(d.signal))) GROUP BY r.row_id")
 
 
-def _matched(spark, sf, column, limit):
+def _matched(spark, sf, column, **options):
     rows = inputs.catalog_rows(spark, sf).select("row_id", column)
-    return catalog.match_signal(rows, column, inputs.dictionary(spark, sf), limit).select(
+    return catalog.match_signal(rows, column, inputs.dictionary(spark, sf), **options).select(
         "row_id", F.col("m.signal").alias("matched_signal"), F.col("m.manufacturer").alias("manufacturer"))
 
 
 @register("match_signal", _MATCH.format(c="part_manuf"), I)
 def _match(spark, sf):
-    return _matched(spark, sf, "part_manuf", catalog.INLINE_SIGNALS)
+    return _matched(spark, sf, "part_manuf")
 
 
 @register("match_signal_trigram", _MATCH.format(c="part_desc"), I)
 def _match_trigram(spark, sf):
     """The same match by the join used for large dictionaries."""
-    return _matched(spark, sf, "part_desc", 0)
+    return _matched(spark, sf, "part_desc", inline_bytes=0)
+
+
+# A dictionary with a signal per part, and texts that name other parts.
+_MANY = f"concat('Ref-', cast(p_partkey * 7919 % 100003 as string), case when p_partkey % 3 = 0 then ' ' else '' end, case when p_partkey % 5 = 0 then p_name else '' end)"
+_NAMING = (f"concat(p_name, ' for REF-', cast((p_partkey * 31 % 50000) * 7919 % 100003 as string), ' and ref-', cast((p_partkey * 17 % 50000) * 7919 % 100003 as string), 'x')")
+_MANY_SQL = (f"SELECT r.k AS row_id, arg_min(d.s, d.e) AS matched_signal FROM (SELECT p_partkey AS k, lower({_NAMING}) AS t FROM part) r LEFT JOIN (SELECT p_partkey AS e, {_MANY} AS s FROM part) d"
+             " ON contains(r.t, lower(d.s)) GROUP BY r.k")
+
+
+def _many(spark, sf, **options):
+    part = inputs.dealt(inputs.table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
+    names = F.lit(None).cast("string")
+    entries = part.select(F.col("p_partkey").alias("entry_pos"), F.lit(0).alias("signal_pos"), F.expr(_MANY).alias("signal"), names.alias("canonical_manufacturer"),
+                          names.alias("canonical_brand"), names.alias("trade_name"))
+    rows = part.select(F.col("p_partkey").alias("row_id"), F.expr(_NAMING).alias("t"))
+    return catalog.match_signal(rows, "t", entries, **options).select("row_id", F.col("m.signal").alias("matched_signal"))
+
+
+@register("match_signal_many", _MANY_SQL)
+def _match_many(spark, sf):
+    """As many signals as parts, looked up in the tasks."""
+    return _many(spark, sf)
+
+
+@register("match_signal_many_joined", _MANY_SQL)
+def _match_many_joined(spark, sf):
+    """As many signals as parts, joined with the substrings that may be signals."""
+    return _many(spark, sf, inline_bytes=0)
 
 
 # --- brands ---
@@ -103,7 +131,7 @@ def _resolve(spark, sf):
 @register("resolve_brand_trigram", "SELECT * FROM resolved", B)
 def _resolve_trigram(spark, sf):
     """The same resolution by the join used for large dictionaries."""
-    return _resolution(catalog.resolve_brand(inputs.catalog_rows(spark, sf), inputs.dictionary(spark, sf), limit=0))
+    return _resolution(catalog.resolve_brand(inputs.catalog_rows(spark, sf), inputs.dictionary(spark, sf), inline_bytes=0))
 
 
 def _brand_fields(spark, sf, strict):

@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from specledger.operators import audit, catalog, evaluate
+from specledger.operators import audit, catalog, evaluate, signals
 from specledger.sinks import delivery
 from specledger.sources.stored import catalog_rows
 
@@ -80,28 +82,41 @@ def test_fixed_dimensions(spark):
 
 
 def test_large_dictionary_path_gives_the_same(rows, dictionary):
-    def resolutions(limit):
-        return {r["row_id"]: r["resolution"] for r in catalog.resolve_brand(rows, dictionary, limit=limit).collect()}
-
-    assert resolutions(256) == resolutions(0)
+    def resolutions(**options):
+        return {r["row_id"]: r["resolution"] for r in catalog.resolve_brand(rows, dictionary, **options).collect()}
 
+    assert resolutions() == resolutions(inline_bytes=0)
 
-def test_substring_match_agrees_with_brute_force(spark):
-    import random
 
-    rng = random.Random(7)
-    words = ["".join(rng.choice("abc-") for _ in range(rng.randint(1, 6))) for _ in range(60)]
-    texts = list({"".join(rng.choice("abcABC- ") for _ in range(rng.randint(1, 18))).strip() or "x" for _ in range(300)})
+@pytest.mark.parametrize("n", [0, 10, 300, 20_000])
+@pytest.mark.parametrize("inline_bytes", [1 << 30, 0])
+def test_signals_agree_with_brute_force(spark, n, inline_bytes):
+    rng = random.Random(n)
+    alphabet = "abc-" if n < 1000 else "abcdefgh-é"
+    words = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 6))) for _ in range(n)]
+    texts = ["".join(rng.choice("abcABC- " + alphabet) for _ in range(rng.randint(1, 18))) for _ in range(300)] + [None, "", "--", "ab", "-- abc --"]
     entries = [(i, [w, None, ""], f"m{i}", f"b{i}", "") for i, w in enumerate(words)]
     dictionary = spark.createDataFrame(entries, "entry_pos long, raw_signals array<string>, canonical_manufacturer string, canonical_brand string, trade_name string")
-    got = {r["text"]: r["m"]["entry_pos"] for r in catalog.match_by_substring(spark.createDataFrame([(t,) for t in texts], "text string"), dictionary).collect()}
-    want = {}
-    for t in texts:
-        for i, w in enumerate(words):
-            if w == t.lower() or (len(w) >= 3 and w in t.lower()):
-                want[t] = i
-                break
-    assert got == want
+    frame = spark.createDataFrame(list(enumerate(texts + texts[:20])), "low int, t string")
+    got = {r["low"]: r["m"]["entry_pos"] if r["m"] else None for r in catalog.match_signal(frame, "t", dictionary, inline_bytes=inline_bytes).collect()}
+    assert len(got) == len(texts) + 20
+    for i, t in enumerate(texts + texts[:20]):
+        low = (t or "").strip().lower()
+        low = "" if low in ("-", "--") or (low.startswith("--") and low.endswith("--")) else low
+        assert got[i] == next((k for k, w in enumerate(words) if low and (w == low or (len(w) >= 3 and w in low))), None), t
+
+
+def test_only_likely_texts_leave_their_task(spark):
+    words = [f"sig-{i * 7919}" for i in range(5000)]
+    dictionary = spark.createDataFrame([(i, w, "m", "b", 0, "") for i, w in enumerate(words)],
+                                       "entry_pos long, signal string, canonical_manufacturer string, canonical_brand string, signal_pos int, trade_name string")
+    frame = spark.createDataFrame([(f"part sig-{i} of something",) for i in range(20_000)], "text string")
+    index = signals.signal_index(dictionary, inline_bytes=0)
+    likely, matched = signals.match_texts(frame, index, F.col("text"))
+    found = sum(any(f"sig-{i}"[:k] in known for k in range(5, 10)) for known in [set(words)] for i in range(20_000))
+    assert matched.count() == found > 0
+    # Some substrings pass by chance, but most texts without a signal stay where they are.
+    assert found <= likely.count() < found + 0.5 * frame.count()
 
 
 def test_raw_rows(spark):
