@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
@@ -38,8 +39,9 @@ def literal_map(col: Column, table: Mapping[str, str | float | int]) -> Column:
 
 
 def is_placeholder(col: Column, tokens: Sequence[str] = tuple(dims.PLACEHOLDERS)) -> Column:
-    low = F.lower(strip(col))
-    return col.isNull() | (low.startswith("--") & low.endswith("--")) | low.isin(list(tokens))
+    """Null, a known token in any case, or anything between double hyphens."""
+    known = "|".join(re.escape(t) for t in tokens)
+    return col.isNull() | strip(col).rlike(f"(?is)^(?:-{{2,3}}|--.*--|{known})$")
 
 
 def clean_string(col: Column, tokens: Sequence[str] = tuple(dims.PLACEHOLDERS)) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from specledger.functions.text import blank_to_null, strip
-from specledger.operators.normalize import SUCCESS, fact_order
+from specledger.operators.normalize import SUCCESS, fact_key, fact_order
 from specledger.schema import OPEN_CONFLICT, RESPONSE
 
 
@@ -52,11 +52,11 @@ def grounding_payload(products: DataFrame, fields: DataFrame, unmapped: DataFram
     # The last number given for an unmapped attribute stands for it.
     last = unmapped.filter(F.col("value").isNotNull()).groupBy("product_id", "attribute").agg(
         F.max_by(F.struct("value", F.coalesce("unit", F.lit("")).alias("unit"),
-                          F.col("source_type").alias("source")), fact_order()).alias("spec"),
+                          F.col("source_type").alias("source")), fact_key()).alias("spec"),
         F.max(fact_order()).alias("at"))
     notes = findings.filter(F.col("rule_id").contains("ENGINEERING") | (
         F.col("rule_id") == "CONFLICT_RATED_CURRENT_PDF_VS_CSV"))
-    note = F.struct(F.concat("rule_id", F.lit(": ["), "status", F.lit("] "), "explanation").alias("note"))
+    note = F.struct(F.concat("rule_id", F.lit(": ["), "status", F.lit("] "), "explanation").alias("note"), F.col("n_copies").alias("copies"))
     return lines(facts, "facts", F.lit(0), document).unionByName(
         lines(pairs, "conflicts", fact_order(), conflict)).unionByName(
         lines(last, "unmapped_specifications", F.col("at"), F.struct("attribute", "spec"))).unionByName(

@@ -27,6 +27,11 @@ def fact_order() -> Column:
     return F.shiftleft(F.col("source_rank").cast("long"), 56) + F.col("pos")
 
 
+def fact_key() -> Column:
+    """Total order of facts: rank, source, position, then all that tells two facts apart. Ties are equal in every column that is read."""
+    return F.struct(F.col("source_rank"), F.col("source_id").alias("_source"), F.col("pos"), F.col("url").alias("_url"), ref_struct("ref"))
+
+
 def map_attributes(evidence: DataFrame, attributes: Mapping[str, Sequence[str]] = dims.CANONICAL_ATTRIBUTES,
                    metadata: Sequence[str] = tuple(dims.METADATA_ATTRIBUTES),
                    skipped: Sequence[str] = tuple(dims.SKIPPED_ATTRIBUTES)) -> DataFrame:
@@ -129,32 +134,31 @@ def _is_ok() -> Column:
 
 
 def _field_aggregates(copies: Column) -> list[Column]:
-    """What one pass over the facts of a field must know; every part combines before the shuffle."""
-    ok = _is_ok()
-    order = F.col("_ord")
-    first = F.when(ok, order)
+    """What one pass over the facts of a field must know; every part combines before the shuffle.
+
+    The first fact comes as one struct that begins with its place in the order, so a single minimum finds it with all it brings.
+    """
+    ok, order = _is_ok(), F.col("_key")
     kilowatt = (F.col("canonical_field") == "rated_power") & F.col("value").isNotNull() & F.col("unit").isin("kW", "kw")
     return [
         F.sum(F.when(order.isNotNull(), copies).otherwise(0)).cast("long").alias("n_refs"),
         F.sum(F.when(ok, copies).otherwise(0)).cast("long").alias("n_ok"),
-        F.min_by("value_num", first).alias("rep_num"),
-        F.min_by("value_str", first).alias("rep_str"),
-        F.min_by("outcome", first).alias("rep_outcome"),
-        F.min_by(F.struct(*[F.col(f"`{c}`") for c in REF_COLUMNS]), first).alias("rep_ref"),
-        F.min_by(F.struct(*[F.col(f"`{c}`") for c in REF_COLUMNS]), order).alias("first_ref"),
+        F.min(F.when(ok, F.struct(order.alias("key"), "value_num", "value_str", "outcome"))).alias("rep"),
+        F.min(order).alias("first"),
         F.min("value_num").alias("min_num"), F.max("value_num").alias("max_num"),
         F.min("value_str").alias("min_str"), F.max("value_str").alias("max_str"),
+        F.min("value").alias("raw_low"), F.max("value").alias("raw_high"),
         # Exact sums, so that the mean does not depend on the order of the rows.
         F.sum(F.when(ok, F.col("confidence").cast("decimal(12,6)") * copies)).alias("sum_confidence"),
         F.collect_set("source_type").alias("source_types"),
-        F.min_by("value", F.when(kilowatt, F.struct(F.abs("value"), order))).alias("kw_raw"),
+        F.min(F.when(kilowatt, F.struct(F.abs("value").alias("size"), F.col("_key.source_rank").alias("rank"), F.col("_key.pos").alias("pos"), "value"))).alias("kw"),
     ]
 
 
 def global_field_values(global_normalized: DataFrame) -> DataFrame:
     """Facts that hold for all products, merged per field: at most one row per canonical field."""
     copies = F.col("n_copies") if "n_copies" in global_normalized.columns else F.lit(1)
-    out = global_normalized.withColumn("_ord", fact_order()).groupBy("canonical_field").agg(*_field_aggregates(copies))
+    out = global_normalized.withColumn("_key", fact_key()).groupBy("canonical_field").agg(*_field_aggregates(copies))
     return out.select("canonical_field", *[F.col(c).alias(f"g_{c}") for c in out.columns if c != "canonical_field"])
 
 
@@ -166,10 +170,8 @@ def assemble_fields(normalized: DataFrame, products: DataFrame, global_normalize
     conflict with a null value: no winner is picked. Missing fields get a row as well: the grid is united with the facts
     before the aggregation, so one shuffle of pre-aggregated rows does both.
     """
-    columns = [*KEYS, "value_num", "value_str", "outcome", "confidence", "_ord",
-               *[c for c in REF_COLUMNS if c not in ("product_id", "confidence")]]
-    facts = normalized.withColumn("_ord", fact_order()).select(*[F.col(f"`{c}`") for c in columns],
-                                                               F.lit(False).alias("_grid"))
+    columns = [*KEYS, "value_num", "value_str", "outcome", "confidence", "source_type", "value", "unit", "_key"]
+    facts = normalized.withColumn("_key", fact_key()).select(*columns, F.lit(False).alias("_grid"))
     grid = field_grid(products).select(*[
         F.col(c) if c in KEYS else F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in columns
     ], F.lit(True).alias("_grid"))
@@ -183,18 +185,17 @@ def assemble_fields(normalized: DataFrame, products: DataFrame, global_normalize
             *KEYS,
             (F.col("n_refs") + F.coalesce("g_n_refs", F.lit(0))).alias("n_refs"),
             (F.col("n_ok") + F.coalesce("g_n_ok", F.lit(0))).alias("n_ok"),
-            *[F.when(own, F.col(c)).otherwise(F.col(f"g_{c}")).alias(c)
-              for c in ("rep_num", "rep_str", "rep_outcome", "rep_ref")],
-            F.coalesce("first_ref", "g_first_ref").alias("first_ref"),
+            F.when(own, F.col("rep")).otherwise(F.col("g_rep")).alias("rep"), F.coalesce("first", "g_first").alias("first"),
             F.least("min_num", "g_min_num").alias("min_num"), F.greatest("max_num", "g_max_num").alias("max_num"),
+            F.least("raw_low", "g_raw_low").alias("raw_low"), F.greatest("raw_high", "g_raw_high").alias("raw_high"),
             F.least("min_str", "g_min_str").alias("min_str"), F.greatest("max_str", "g_max_str").alias("max_str"),
             F.when(F.col("n_ok") + F.coalesce("g_n_ok", F.lit(0)) > 0,
                    F.coalesce("sum_confidence", F.lit(0)) + F.coalesce("g_sum_confidence", F.lit(0)))
             .alias("sum_confidence"),
             F.array_union("source_types", F.coalesce("g_source_types", F.array().cast("array<string>")))
             .alias("source_types"),
-            F.when(F.abs("g_kw_raw") < F.abs("kw_raw"), F.col("g_kw_raw")).otherwise(F.coalesce("kw_raw", "g_kw_raw"))
-            .alias("kw_raw"))
+            F.when(F.col("g_kw.size") < F.col("kw.size"), F.col("g_kw")).otherwise(F.coalesce("kw", "g_kw")).alias("kw"))
+    agg = agg.select("*", F.col("rep.value_num").alias("rep_num"), F.col("rep.value_str").alias("rep_str"), F.col("rep.outcome").alias("rep_outcome"))
     differs = F.coalesce(
         (F.col("max_num") - F.col("rep_num") > tolerance) | (F.col("rep_num") - F.col("min_num") > tolerance),
         F.col("min_str") != F.col("max_str"), F.lit(False))
@@ -209,15 +210,18 @@ def assemble_fields(normalized: DataFrame, products: DataFrame, global_normalize
         F.round(F.col("sum_confidence").cast("double") / F.col("n_ok"), 4).alias("confidence"),
         "has_conflict", "n_refs", "n_ok", F.array_sort("source_types").alias("source_types"),
         F.when(F.col("n_refs") == 0, "no evidence").when(F.col("n_ok") == 0, "no usable evidence").alias("note"),
-        "rep_num", "rep_str", "rep_ref", "first_ref", "kw_raw")
+        "rep_num", "rep_str", F.col("rep.key.ref").alias("rep_ref"), F.col("first.ref").alias("first_ref"), F.col("kw.value").alias("kw_raw"),
+        # The values farthest out among those that are in conflict, and among the parsed ones.
+        F.when(F.col("rep_num") - F.col("min_num") > tolerance, F.col("min_num")).otherwise(F.col("rep_num")).alias("low_num"),
+        F.when(F.col("max_num") - F.col("rep_num") > tolerance, F.col("max_num")).otherwise(F.col("rep_num")).alias("high_num"), "raw_low", "raw_high")
 
 
 def representative(normalized: DataFrame) -> DataFrame:
     """First successful fact per product and field."""
-    facts = normalized.filter(_is_ok()).withColumn("_ord", fact_order())
+    facts = normalized.filter(_is_ok()).withColumn("_key", fact_key())
     picked = [*[c for c in REF_COLUMNS if c != "product_id"], "value_num", "value_str", "canonical_unit", "outcome"]
     return facts.groupBy(*KEYS).agg(
-        F.min_by(F.struct(*[F.col(f"`{c}`") for c in picked]), "_ord").alias("f"), F.count(F.lit(1)).alias("n_ok")
+        F.min_by(F.struct(*[F.col(f"`{c}`") for c in picked]), "_key").alias("f"), F.count(F.lit(1)).alias("n_ok")
     ).select(*KEYS, "n_ok", "f.*")
 
 

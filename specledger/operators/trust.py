@@ -23,7 +23,7 @@ def _field_findings(findings: DataFrame) -> DataFrame:
         return F.min_by(column, F.when(F.col("status") == status, order))
 
     return findings.groupBy("product_id", F.col("field").alias("canonical_field")).agg(
-        F.count(F.lit(1)).alias("n_findings"),
+        F.sum("n_copies").alias("n_findings"),
         F.max(F.col("status") == "CONFLICT").alias("found_conflict"),
         first("FAIL", "rule_id").alias("fail_rule"), first("FAIL", "explanation").alias("fail_text"),
         first("WARNING", "rule_id").alias("warn_rule"), first("WARNING", "explanation").alias("warn_text"),
@@ -99,7 +99,7 @@ def claim_trust(claims: DataFrame, attributes: DataFrame) -> DataFrame:
 
 
 def _review(df: DataFrame, part: int, seq: Column, suffix: Column, target_type: str, target: Column, severity: Column | str,
-            issue: Column | str, description: Column, rule: Column | None, action: str) -> DataFrame:
+            issue: Column | str, description: Column, rule: Column | None, action: str, items: Column | None = None) -> DataFrame:
     def col(x: Column | str | None) -> Column:
         return (x if isinstance(x, Column) else F.lit(x)).cast("string")
 
@@ -108,7 +108,7 @@ def _review(df: DataFrame, part: int, seq: Column, suffix: Column, target_type:
         F.lit(part).alias("part"), seq.alias("seq"), F.lit(target_type).alias("target_type"),
         target.alias("target_name"), col(severity).alias("severity"), col(issue).alias("issue_type"),
         col(description).alias("description"), col(rule).alias("validation_rule_id"),
-        F.lit(action).alias("recommended_action"))
+        F.lit(action).alias("recommended_action"), (F.lit(1) if items is None else items).cast("long").alias("n_items"))
 
 
 def _seq(a: Column, b: Column | None = None, c: Column | None = None) -> Column:
@@ -118,7 +118,10 @@ def _seq(a: Column, b: Column | None = None, c: Column | None = None) -> Column:
 
 
 def review_items(attributes: DataFrame, findings: DataFrame, claim_results: DataFrame | None = None) -> DataFrame:
-    """Everything a person should look at, in order: fields, claims, findings. Ids may repeat (see ``dedupe_reviews``)."""
+    """Everything a person should look at, in order: fields, claims, findings. Ids may repeat (see ``dedupe_reviews``).
+
+    ``n_items`` counts the equal findings that a row stands for.
+    """
     field = F.col("field")
     state = F.col("trust_status")
     flagged = attributes.filter(F.col("validation_status").isin("CONFLICT", "FAIL", "WARNING"))
@@ -144,7 +147,7 @@ def review_items(attributes: DataFrame, findings: DataFrame, claim_results: Data
         checks, 2, _seq(*[F.col(c) for c in ORDER]), F.col("rule_id"), "validation", F.coalesce("field", "rule_id"),
         F.when(failed & (F.col("severity") == "CRITICAL"), "CRITICAL").when(failed, "HIGH").otherwise("MEDIUM"),
         F.col("status"), F.concat(F.col("rule_id"), F.lit(": "), F.col("explanation")), F.col("rule_id"),
-        "inspect the constraints and correct the data"))
+        "inspect the constraints and correct the data", F.col("n_copies")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -154,7 +157,7 @@ def dedupe_reviews(items: DataFrame) -> DataFrame:
     # The first item wins; equal positions fall back to the text so that the pick never depends on task order.
     order = F.struct("part", "seq", "target_name", "description")
     return items.groupBy("product_id", "review_id").agg(
-        F.min_by(F.struct(*rest), order).alias("f"), F.count(F.lit(1)).alias("n_collapsed")
+        F.min_by(F.struct(*rest), order).alias("f"), F.sum("n_items").alias("n_collapsed")
     ).select("product_id", "review_id", "f.*", "n_collapsed")
 
 

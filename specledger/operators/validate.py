@@ -1,7 +1,8 @@
 """Validation rules as tables of findings.
 
-Field rules read the assembled fields in one pass; product rules read one row per product; conflict rules read the
-conflict pairs. Findings are ordered by ``rule_no, field_pos, item``.
+Field rules read the assembled fields in one pass, conflict rules the conflict pairs in one pass, product rules one row per product.
+Findings are ordered by ``rule_no, field_pos, item``. A finding about a fact that stands for several equal copies is one row with
+their number in ``n_copies``; all counts of findings are sums of it.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from specledger import dims
 from specledger.functions.text import literal_map, range_condition
-from specledger.operators.normalize import KEYS, fact_order
+from specledger.operators.normalize import KEYS, fact_key, fact_order
 
 ORDER = ["rule_no", "field_pos", "item"]
 FINDING = ["product_id", *ORDER, "rule_id", "category", "status", "severity", "field", "actual_value", "actual_num",
-           "actual_unit", "expected_condition", "explanation"]
+           "actual_unit", "expected_condition", "explanation", "n_copies"]
 FIRST_RANGE_NO = 5
 FIELD_POS = {f: i for i, (f, _) in enumerate(dims.CANONICAL_FIELDS)}
 
@@ -48,7 +49,7 @@ CATEGORY = {
 def _finding(rule_id: Column | str, status: Column | str, severity: Column | str, field: Column | str,
              text: Column | None = None, num: Column | None = None, unit: Column | str | None = None,
              expected: Column | str | None = None, explanation: Column | str = "",
-             item: Column | None = None) -> Column:
+             item: Column | None = None, copies: Column | None = None) -> Column:
     def col(x: Column | str | None, kind: str = "string") -> Column:
         return (x if isinstance(x, Column) else F.lit(x)).cast(kind)
 
@@ -56,7 +57,8 @@ def _finding(rule_id: Column | str, status: Column | str, severity: Column | str
         (F.lit(0) if item is None else item).cast("long").alias("item"), col(rule_id).alias("rule_id"),
         col(status).alias("status"), col(severity).alias("severity"), col(field).alias("field"),
         col(text).alias("actual_value"), col(num, "double").alias("actual_num"), col(unit).alias("actual_unit"),
-        col(expected).alias("expected_condition"), col(explanation).alias("explanation"))
+        col(expected).alias("expected_condition"), col(explanation).alias("explanation"),
+        (F.lit(1) if copies is None else copies).cast("long").alias("n_copies"))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -186,77 +188,76 @@ def missing_inventory(fields: DataFrame) -> DataFrame:
     return _emit(fields, [_inventory()])
 
 
-def _conflict_values(pairs: DataFrame) -> DataFrame:
-    """Both values of each numeric conflict pair."""
+def _sides() -> list[tuple[Column, Column, Column]]:
+    """Value, unit and place of both sides of a conflict pair."""
     order = fact_order() * 2
-    sides = F.array(F.struct(F.col("value_a").alias("value"), F.col("unit_a").alias("unit"), order.alias("item")),
-                    F.struct(F.col("value_b").alias("value"), F.col("unit_b").alias("unit"), (order + 1).alias("item")))
-    return pairs.filter(F.col("value_a").isNotNull()).select(*KEYS, "n_copies", F.inline(sides))
+    return [(F.col("value_a"), F.col("unit_a"), order), (F.col("value_b"), F.col("unit_b"), order + 1)]
 
 
-def _range_conflicts(fields: DataFrame, pairs: DataFrame, normalized: DataFrame,
-                     global_normalized: DataFrame | None) -> DataFrame:
-    """Range findings of conflicted fields.
+def _range_disputed() -> Column:
+    """A conflicted field none of whose values, in conflict or as parsed, is outside the range."""
+    rule = _Range()
+    bad = F.lit(False)
+    for extreme in ("low_num", "high_num", "raw_low", "raw_high"):
+        bad = bad | F.coalesce(rule.violated_by(F.col(extreme)), F.lit(False))
+    return F.when(_field().isin(_RANGED) & F.col("has_conflict") & ~bad, _finding(
+        rule.rule_id, "PASS", "INFO", _field(), F.lit("(conflicted)"), expected=rule.condition(),
+        explanation="conflicted, but every value is within the range"))
 
-    Every value of every pair is tested, and the parsed value of every fact of the field. Values outside the range are
-    filtered before the join to the conflicted fields, so only violations move.
-    """
+
+def _outside(value: Column, unit: Column, item: Column, copies: Column) -> Column:
     rule = _Range()
-    bad = rule.violated_by(F.col("value"))
-    from_pairs = _conflict_values(pairs).filter(_field().isin(_RANGED)).filter(bad).select(
-        *KEYS, "value", "unit", "item", "n_copies")
-    conflicted = fields.filter(F.col("has_conflict") & _field().isin(_RANGED)).select(*KEYS)
-    facts = normalized.filter(F.col("value").isNotNull() & _field().isin(_RANGED)).filter(bad).select(
-        *KEYS, "value", "unit", (F.lit(1 << 61) + fact_order()).alias("item"), F.lit(1).cast("long").alias("n_copies"))
-    violations = from_pairs.unionByName(facts.join(conflicted, KEYS, "left_semi"))
+    return _finding(rule.rule_id, "FAIL", rule.severity, _field(), value.cast("string"), value, unit, rule.condition(), "value outside the range", item, copies)
+
+
+def _range_pairs() -> list[Column]:
+    """Both values of a pair outside the range."""
+    return [F.when(_field().isin(_RANGED) & _Range().violated_by(value), _outside(value, unit, item, F.col("n_copies"))) for value, unit, item in _sides()]
+
+
+def _range_facts(fields: DataFrame, normalized: DataFrame, global_normalized: DataFrame | None) -> DataFrame:
+    """Parsed values of the facts of conflicted fields that are outside the range. They are filtered before the join, so only violations move."""
+    bad = F.col("value").isNotNull() & _field().isin(_RANGED) & _Range().violated_by(F.col("value"))
+    item = (F.lit(1 << 61) + fact_order()).alias("item")
+    low, high = (F.coalesce(_Range().violated_by(F.col(c)), F.lit(False)) for c in ("raw_low", "raw_high"))
+    disputed = fields.filter(F.col("has_conflict") & _field().isin(_RANGED) & (low | high)).select(*KEYS)
+    facts = normalized.filter(bad).select(*KEYS, "value", "unit", item, F.lit(1).cast("long").alias("n_copies")).join(disputed, KEYS, "left_semi")
     if global_normalized is not None:
         copies = F.col("n_copies") if "n_copies" in global_normalized.columns else F.lit(1).cast("long")
-        shared = global_normalized.filter(F.col("value").isNotNull() & _field().isin(_RANGED)).filter(bad).select(
-            "canonical_field", "value", "unit", (F.lit(1 << 61) + fact_order()).alias("item"), copies.alias("n_copies"))
-        violations = violations.unionByName(conflicted.join(shared, "canonical_field").select(*violations.columns))
-    # A fact that stands for several equal copies counts once per copy.
-    violations = violations.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
-
-    fails = violations.select("product_id", _finding(
-        rule.rule_id, "FAIL", rule.severity, _field(), F.col("value").cast("string"), F.col("value"), F.col("unit"),
-        rule.condition(), "value outside the range", F.col("item")).alias("_f"))
-    clean = conflicted.join(violations.select(*KEYS).distinct(), KEYS, "left_anti")
-    passes = clean.select("product_id", _finding(
-        rule.rule_id, "PASS", "INFO", _field(), F.lit("(conflicted)"), expected=rule.condition(),
-        explanation="conflicted, but every value is within the range").alias("_f"))
-    return _numbered(fails.unionByName(passes).select("product_id", "_f.*"))
+        shared = global_normalized.filter(bad).select("canonical_field", "value", "unit", item, copies.alias("n_copies"))
+        facts = facts.unionByName(disputed.join(shared, "canonical_field").select(*facts.columns))
+    return _emit(facts, [_outside(F.col("value"), F.col("unit"), F.col("item"), F.col("n_copies"))])
 
 
 def check_ranges(fields: DataFrame, pairs: DataFrame, normalized: DataFrame,
                  global_normalized: DataFrame | None = None) -> DataFrame:
-    """The seven range rules."""
-    return _emit(fields, [_range_single()]).unionByName(
-        _range_conflicts(fields, pairs, normalized, global_normalized))
-
+    """The seven range rules. Of a conflicted field every value of every pair is tested, and the parsed value of every fact."""
+    return _emit(fields, [_range_single(), _range_disputed()]).unionByName(_emit(pairs, _range_pairs())).unionByName(
+        _range_facts(fields, normalized, global_normalized))
 
-def _copies(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
 
-
-def check_cross_source(pairs: DataFrame) -> DataFrame:
-    """One finding per conflict pair."""
+def _cross_source() -> Column:
     def side(value: str, text: str, unit: str) -> Column:
         return F.coalesce(F.concat_ws(" ", F.col(value).cast("string"), F.when(F.col(value).isNotNull(), F.col(unit))),
                           F.lit(""))
 
     a = F.when(F.col("value_a").isNull(), F.col("text_a")).otherwise(side("value_a", "text_a", "unit_a"))
     b = F.when(F.col("value_b").isNull(), F.col("text_b")).otherwise(side("value_b", "text_b", "unit_b"))
-    return _emit(_copies(pairs), [_finding(
+    return _finding(
         "CONSISTENCY_CROSS_SOURCE", "CONFLICT", "HIGH", _field(), F.concat(a, F.lit(" / "), b),
-        expected="all sources agree", item=fact_order(),
+        expected="all sources agree", item=fact_order(), copies=F.col("n_copies"),
         explanation=F.concat(F.lit("sources disagree: "), F.col("ref_a.source_type"), F.lit(" reports "), a,
                              F.lit(", "), F.col("ref_b.source_type"), F.lit(" reports "), b,
-                             F.lit("; no winner picked")))])
+                             F.lit("; no winner picked")))
 
 
-def check_source_pair(pairs: DataFrame, field: str = "rated_current", first: str = "pdf", second: str = "csv",
-                      rule_id: str = "CONFLICT_RATED_CURRENT_PDF_VS_CSV") -> DataFrame:
-    """Conflicts on one field between two named source types, in either order."""
+def check_cross_source(pairs: DataFrame) -> DataFrame:
+    """One finding per conflict pair."""
+    return _emit(pairs, [_cross_source()])
+
+
+def _source_pair(field: str = "rated_current", first: str = "pdf", second: str = "csv",
+                 rule_id: str = "CONFLICT_RATED_CURRENT_PDF_VS_CSV") -> Column:
     a, b = F.col("ref_a.source_type"), F.col("ref_b.source_type")
     straight = (a == first) & (b == second)
     turned = (b == first) & (a == second)
@@ -264,26 +265,33 @@ def check_source_pair(pairs: DataFrame, field: str = "rated_current", first: str
     two = F.when(straight, F.col("value_b")).otherwise(F.col("value_a")).cast("string")
     text = F.concat(F.lit(f"{first}: "), F.coalesce(one, F.lit("text")), F.lit(f" / {second}: "),
                     F.coalesce(two, F.lit("text")))
-    rows = pairs.filter((_field() == field) & (straight | turned))
-    return _emit(_copies(rows), [_finding(
+    return F.when((_field() == field) & (straight | turned), _finding(
         rule_id, "CONFLICT", "HIGH", field, text, expected="both sources report the same value",
-        explanation=F.concat(F.lit("named sources disagree, "), text), item=fact_order())])
+        explanation=F.concat(F.lit("named sources disagree, "), text), item=fact_order(), copies=F.col("n_copies")))
 
 
-def _efficiency_conflicts(pairs: DataFrame) -> DataFrame:
-    value = F.col("value")
-    low = value < dims.EFFICIENCY_FLOOR
-    each = _copies(_conflict_values(pairs.filter(_field() == "efficiency")))
-    return _emit(each, [_finding(
-        "ENGINEERING_EFFICIENCY_IE3", F.when(low, "WARNING").otherwise("PASS"),
-        F.when(low, "MEDIUM").otherwise("INFO"), "efficiency", value.cast("string"), value, "%",
-        f">= {dims.EFFICIENCY_FLOOR}%", F.when(low, "efficiency below the usual floor").otherwise("plausible efficiency"),
-        item=F.col("item"))])
+def check_source_pair(pairs: DataFrame, field: str = "rated_current", first: str = "pdf", second: str = "csv",
+                      rule_id: str = "CONFLICT_RATED_CURRENT_PDF_VS_CSV") -> DataFrame:
+    """Conflicts on one field between two named source types, in either order."""
+    return _emit(pairs, [_source_pair(field, first, second, rule_id)])
+
+
+def _efficiency_pairs() -> list[Column]:
+    """Both values of a numeric conflict on the efficiency."""
+    out = []
+    for value, _, item in _sides():
+        low = value < dims.EFFICIENCY_FLOOR
+        out.append(F.when((_field() == "efficiency") & F.col("value_a").isNotNull(), _finding(
+            "ENGINEERING_EFFICIENCY_IE3", F.when(low, "WARNING").otherwise("PASS"),
+            F.when(low, "MEDIUM").otherwise("INFO"), "efficiency", value.cast("string"), value, "%",
+            f">= {dims.EFFICIENCY_FLOOR}%", F.when(low, "efficiency below the usual floor").otherwise("plausible efficiency"),
+            item, F.col("n_copies"))))
+    return out
 
 
 def check_efficiency_floor(fields: DataFrame, pairs: DataFrame) -> DataFrame:
     """Single value, or each value of each conflict pair, against the floor."""
-    return _emit(fields, [_efficiency_single()]).unionByName(_efficiency_conflicts(pairs))
+    return _emit(fields, [_efficiency_single()]).unionByName(_emit(pairs, _efficiency_pairs()))
 
 
 def product_row(fields: DataFrame, unmapped: DataFrame, global_unmapped: DataFrame | None = None,
@@ -299,7 +307,7 @@ def product_row(fields: DataFrame, unmapped: DataFrame, global_unmapped: DataFra
 
     def first_torque(facts: DataFrame, keys: list[str]) -> DataFrame:
         rows = facts.filter((F.col("attribute") == torque) & F.col("value").isNotNull())
-        return rows.groupBy(*keys).agg(F.min_by("value", fact_order()).alias("torque_nm"))
+        return rows.groupBy(*keys).agg(F.min_by("value", fact_key()).alias("torque_nm"))
 
     out = wide.join(first_torque(unmapped, ["product_id"]), "product_id", "left")
     if global_unmapped is not None:
@@ -366,13 +374,13 @@ def check_sync_speed(rows: DataFrame) -> DataFrame:
 
 def run_rules(fields: DataFrame, products: DataFrame, pairs: DataFrame, normalized: DataFrame, unmapped: DataFrame,
               global_normalized: DataFrame | None = None, global_unmapped: DataFrame | None = None) -> DataFrame:
-    """All findings: one pass over fields, one over product rows, and the conflict rules."""
+    """All findings: one pass over fields, one over pairs, one over product rows, and the facts outside a range of conflicted fields."""
     per_field = _emit(fields, [
         _units_rule({f: u for f, u in dims.CANONICAL_FIELDS if u}), _required(), _important(),
-        _range_single(), _efficiency_single(), _inventory()])
+        _range_single(), _range_disputed(), _efficiency_single(), _inventory()])
+    per_pair = _emit(pairs, [_cross_source(), *_range_pairs(), *_efficiency_pairs(), _source_pair()])
     per_product = _emit(product_row(fields, unmapped, global_unmapped), [_torque_rule(), _sync_rule()])
-    parts = [per_field, check_version(products), _range_conflicts(fields, pairs, normalized, global_normalized),
-             check_cross_source(pairs), per_product, _efficiency_conflicts(pairs), check_source_pair(pairs)]
+    parts = [per_field, check_version(products), per_pair, per_product, _range_facts(fields, normalized, global_normalized)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -385,13 +393,17 @@ def overall_validation_status() -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in STATUS_RANK]), worst + 1)
 
 
+def _count(where: Column) -> Column:
+    return F.sum(F.when(where, F.col("n_copies")).otherwise(0)).cast("long")
+
+
 def findings_summary(findings: DataFrame) -> DataFrame:
     """Counts by status and by category per product, with the overall status."""
     by_category = F.create_map(*[
-        x for c in dims.FINDING_CATEGORIES for x in (F.lit(c), F.count_if(F.col("category") == c))])
+        x for c in dims.FINDING_CATEGORIES for x in (F.lit(c), _count(F.col("category") == c))])
     out = findings.groupBy("product_id").agg(
-        F.count(F.lit(1)).alias("total_findings"),
-        *[F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in dims.FINDING_STATUSES],
+        F.sum("n_copies").alias("total_findings"),
+        *[_count(F.col("status") == s).alias(f"n_{s.lower()}") for s in dims.FINDING_STATUSES],
         by_category.alias("by_category"), overall_validation_status().alias("overall_status"))
     return out.withColumn("by_category", F.map_filter("by_category", lambda k, v: v > 0))
 
@@ -415,4 +427,4 @@ def batch_validation_report(manifest: DataFrame, summary: DataFrame) -> DataFram
 
 
 def category_totals(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("category").agg(F.count(F.lit(1)).alias("n_findings"))
+    return findings.groupBy("category").agg(F.sum("n_copies").alias("n_findings"))

@@ -20,9 +20,13 @@ FREE = co.enriched(use_gold=False)
 
 
 def _enriched(spark, sf, gold=True, **options):
-    return catalog.enrich_catalog(
-        inputs.catalog_rows(spark, sf), inputs.dictionary(spark, sf), inputs.gold(spark, sf) if gold else None,
-        gold_attributes(inputs.gold_wide(spark, sf), 4) if gold else None, **options)
+    """The enriched catalog of an input folder. Within one session it is stored once and shared between queries."""
+    def build():
+        return catalog.enrich_catalog(
+            inputs.catalog_rows(spark, sf), inputs.dictionary(spark, sf), inputs.gold(spark, sf) if gold else None,
+            gold_attributes(inputs.gold_wide(spark, sf), 4) if gold else None, **options)
+
+    return inputs.stored(spark, ("enriched", sf, gold, *sorted(options.items())), build)
 
 
 # --- sources and dictionaries ---

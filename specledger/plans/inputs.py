@@ -6,11 +6,13 @@ What the operators do with the rows is written twice, here with the library and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from specledger.plans.tracks import SpecTrack
 from specledger.schema import EVIDENCE, conform
-from specledger.session import tune
+from specledger.session import stage_table, tune
 
 K = "p_partkey"
 SIZE = "p_size"
@@ -171,9 +173,21 @@ def track(spark: SparkSession, sf_dir: str, with_responses: bool = False) -> Spe
     return _TRACKS[key]
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def stored(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries read, stored by the first of them in a session."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _STORED:
+        _STORED[key] = stage_table(build(), str(key[1]))
+    return _STORED[key]
+
+
 def reset() -> None:
     """Forget shared stage tables, so that the next query builds its own (for timing)."""
     _TRACKS.clear()
+    _STORED.clear()
 
 
 # --- catalog ---

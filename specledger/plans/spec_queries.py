@@ -16,7 +16,8 @@ FINDING_COLUMNS = FINDING.split(", ")
 
 
 def _shown(findings):
-    return findings.select(*FINDING_COLUMNS)
+    """Findings without their texts; equal ones are counted."""
+    return findings.groupBy(*FINDING_COLUMNS).agg(F.sum("n_copies").alias("n_copies"))
 
 
 # --- mapping and values ---
@@ -143,7 +144,7 @@ def _sources(spark, sf):
 def _rule(name: str, numbers: list[int], build):
     wanted = ", ".join(str(n) for n in numbers)
 
-    @register(name, f"SELECT {FINDING} FROM findings WHERE rule_no IN ({wanted})", R)
+    @register(name, f"SELECT {FINDING}, count(*) AS n_copies FROM findings WHERE rule_no IN ({wanted}) GROUP BY ALL", R)
     def _run(spark, sf):
         return _shown(build(inputs.track(spark, sf)))
 
@@ -208,7 +209,7 @@ def _attributes(spark, sf):
 def _review_items(spark, sf):
     return inputs.track(spark, sf).review_items.groupBy(
         "product_id", "review_id", "part", "target_type", "target_name", "severity", "issue_type", "validation_rule_id").agg(
-        F.count(F.lit(1)).alias("n"))
+        F.sum("n_items").alias("n"))
 
 
 @register("dedupe_reviews", "SELECT * FROM reviews", T)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from specledger import dims
 from specledger.functions.text import clean_string, literal_map, strip
 from specledger.schema import CATALOG_INPUT, ENVELOPE, EVIDENCE, STORED_FACT, conform
+from specledger.sources.records import read_csv
 
 FAILED = "failed"
 
@@ -105,31 +106,6 @@ def extraction_summary(log: DataFrame, manifest: DataFrame) -> DataFrame:
     return counts.withColumn("_k", F.lit(1)).join(totals.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
-def file_row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Add 1-based row numbers in file order to a frame read from files with ``_file`` and ``_start`` columns.
-
-    Each file split is counted once; the running total over splits (one small row each) gives the offsets.
-    """
-    rows = df.withColumn("_mono", F.monotonically_increasing_id())
-    splits = rows.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
-    order = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.withColumn("_offset", F.coalesce(F.sum("_n").over(order), F.lit(0)))
-    return rows.join(offsets.drop("_n"), ["_file", "_start"]).withColumn(
-        name, F.col("_offset") + F.col("_mono") - F.col("_first") + 1
-    ).drop("_mono", "_first", "_offset", "_file", "_start")
-
-
-def _read_csv(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding=encoding)
-
-
-def _with_row_ids(df: DataFrame, row_id: str | None) -> DataFrame:
-    if row_id:
-        return df.withColumn("row_id", F.col(f"`{row_id}`").cast("long"))
-    return file_row_ids(df.select("*", F.col("_metadata.file_path").alias("_file"),
-                                  F.col("_metadata.file_block_start").alias("_start")))
-
-
 def catalog_rows(df: DataFrame) -> DataFrame:
     """Input rows under their internal names, trimmed, with placeholders as null."""
     def brand(c: str) -> Column:
@@ -144,10 +120,14 @@ def catalog_rows(df: DataFrame) -> DataFrame:
     ), CATALOG_INPUT)
 
 
+def _own_ids(df: DataFrame, row_id: str | None) -> DataFrame:
+    return df.withColumn("row_id", F.col(f"`{row_id}`").cast("long")) if row_id else df
+
+
 def read_catalog(spark: SparkSession, path: str | list[str], row_id: str | None = None,
                  encoding: str = "UTF-8") -> DataFrame:
     """Catalog CSV. Rows are numbered in file order unless ``row_id`` names an id column."""
-    return catalog_rows(_with_row_ids(_read_csv(spark, path, encoding), row_id))
+    return catalog_rows(_own_ids(read_csv(spark, path, encoding), row_id))
 
 
 # --- fixed values: gold columns by internal name ---
@@ -202,7 +182,4 @@ def gold_attributes(df: DataFrame, n: int = dims.MAX_TRIPLES) -> DataFrame:
 def read_gold(spark: SparkSession, path: str | list[str], row_id: str | None = None,
               encoding: str = "UTF-8") -> DataFrame:
     """Gold CSV with its wide columns and a ``row_id``; see ``gold_rows`` and ``gold_attributes``."""
-    df = _read_csv(spark, path, encoding)
-    numbered = df if row_id else _with_row_ids(df, None)
-    named = numbered.toDF(*[c.lstrip("﻿").strip() for c in numbered.columns])
-    return _with_row_ids(named, row_id) if row_id else named
+    return _own_ids(read_csv(spark, path, encoding), row_id)

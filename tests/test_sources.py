@@ -5,7 +5,7 @@ from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
-from specledger.sources import html, markup, stored, tabular
+from specledger.sources import html, markup, records, stored, tabular
 
 PUMP = """<html><head><title>Shop 3 kW</title><style>p{}</style><script>if (a < b) document.write('<p>9 kW</p>');</script></head><body><header>1 kW</header><article>
 <h1>Pond pump</h1><table><thead><tr><th>Draw (kW)<th>Turns (rpm)</thead><tr><td>0.3</td><td>2850</td></tr></table>
@@ -219,6 +219,42 @@ def test_catalog_rows_are_numbered_in_file_order(spark, tmp_path):
     assert rows[0]["part_desc"] == 'x "q" 36"\nsecond' and rows[0]["e1_brand"] is None and rows[0]["dib_brand"] == "TREX"
 
 
+def test_large_csv_is_read_by_many_tasks(spark, tmp_path):
+    rng = random.Random(3)
+    values = ["a", "", "x,y", 'say ""hi""', "line\nbreak", '\n\n", "', "36in", "long " * 30, "é€", '"', ",", "\r\n", "7"]
+    want = []
+    for name in ("b", "a", "c"):
+        rows = [[rng.choice(values) for _ in range(3)] for _ in range(rng.choice((0, 40, 200)) if name != "a" else 200)]
+        text = "k,l m,n\n" + "".join(",".join(v if rng.random() < 0.3 and not set(v) & set(',"\n\r') else '"' + v.replace('"', '""') + '"' for v in r) + rng.choice(("\n", "\n", "\n\n")) for r in rows)
+        (tmp_path / f"{name}.csv").write_text(text, newline="")
+        want.append((name, rows))
+    conf = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("37", "200", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            frame = records.read_csv(spark, str(tmp_path))
+            assert frame.columns == ["k", "l m", "n", "row_id"]
+            got = {r["row_id"]: [v or "" for v in r[:3]] for r in frame.collect()}
+            expected = [r for _, rows in sorted(want) for r in rows]
+            assert got == {i + 1: [v.replace("\r\n", "\n") for v in r] for i, r in enumerate(expected)}, size
+            if size == "37":
+                assert records.csv_records(spark, str(tmp_path)).count() == len(expected) and spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", conf)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_bare_quotes_and_encodings(spark, tmp_path):
+    (tmp_path / "q.csv").write_bytes(b'a,b\r\n36" range,x\r\n5"x7" disc,"two\r\nlines"\r\n"q" tail,y\r\n')
+    assert [tuple(r) for r in records.read_csv(spark, str(tmp_path / "q.csv")).select("row_id", "b").orderBy("row_id").collect()] == [(1, "x"), (2, "two\nlines"), (3, "y")]
+    (tmp_path / "w.csv").write_bytes("\u00e9,b\n\u20ac5,\u00ae\n".encode("cp1252"))
+    assert [tuple(r) for r in records.read_csv(spark, str(tmp_path / "w.csv"), "cp1252").collect()] == [("€5", "®", 1)]
+    (tmp_path / "u.csv").write_bytes(b"\xef\xbb\xbfa,b\nok,\xff!\n")
+    bad = records.read_csv(spark, str(tmp_path / "u.csv"))
+    assert bad.columns == ["a", "b", "row_id"] and tuple(bad.first()) == ("ok", "\ufffd!", 1)
+
+
 def test_gold(spark, tmp_path):
     (tmp_path / "g.csv").write_text(
         "Mfg_Part_Num,MANUFACTURER_PART_NUMBER,MANUFACTURER_NAME,BRAND_NAME,Product Name,Classpath,ATTRIBUTE_LABEL 1,ATTRIBUTE_VALUE 1,ATTRIBUTE_UOM 1,"
