@@ -19,7 +19,7 @@ STRICT = co.enriched(strict=True)
 FREE = co.enriched(use_gold=False)
 
 
-def _enriched(spark, sf, gold=True, **options):
+def enriched(spark, sf, gold=True, **options):
     """The enriched catalog of an input folder. Within one session it is stored once and shared between queries."""
     def build():
         return catalog.enrich_catalog(
@@ -164,7 +164,7 @@ def _part_number(spark, sf):
 
 @register("product_name", "SELECT row_id, name, name_status FROM named", EN)
 def _name(spark, sf):
-    return _enriched(spark, sf).select("row_id", F.col("product_name.value").alias("name"), F.col("product_name.status").alias("name_status"))
+    return enriched(spark, sf).select("row_id", F.col("product_name.value").alias("name"), F.col("product_name.status").alias("name_status"))
 
 
 _TRIPLE = "label, value_num, value_str, uom, raw_value, raw_uom, status, confidence"
@@ -182,30 +182,30 @@ def _extract(spark, sf):
 
 @register("merge_gold_attributes", f"SELECT row_id, CAST(ordinal AS INT) AS ordinal, {_TRIPLE} FROM attrs", EN)
 def _merge(spark, sf):
-    return _triples(catalog.catalog_attributes(_enriched(spark, sf)))
+    return _triples(catalog.catalog_attributes(enriched(spark, sf)))
 
 
 @register("short_description", "SELECT row_id, short_desc, short_status, CASE WHEN short_status = 'Verified' THEN 0.95::DOUBLE ELSE 0.8::DOUBLE END AS confidence FROM enriched", EN)
 def _short(spark, sf):
-    return _enriched(spark, sf).select("row_id", F.col("short_desc.value").alias("short_desc"), F.col("short_desc.status").alias("short_status"),
+    return enriched(spark, sf).select("row_id", F.col("short_desc.value").alias("short_desc"), F.col("short_desc.status").alias("short_status"),
                                        F.col("short_desc.confidence").alias("confidence"))
 
 
 @register("gold_fields", "SELECT row_id, classpath, CASE WHEN classpath IS NULL THEN 'Unknown' ELSE 'Verified' END AS classpath_status, long_desc FROM enriched", EN)
 def _gold_fields(spark, sf):
-    return _enriched(spark, sf).select("row_id", F.col("classpath.value").alias("classpath"), F.col("classpath.status").alias("classpath_status"),
+    return enriched(spark, sf).select("row_id", F.col("classpath.value").alias("classpath"), F.col("classpath.status").alias("classpath_status"),
                                        F.col("long_desc.value").alias("long_desc"))
 
 
 @register("overall_tier", "SELECT row_id, overall_status FROM enriched", FREE)
 def _tier(spark, sf):
-    return _enriched(spark, sf, gold=False).select("row_id", F.col("overall_trust_status").alias("overall_status"))
+    return enriched(spark, sf, gold=False).select("row_id", F.col("overall_trust_status").alias("overall_status"))
 
 
 @register("enrich_catalog", "SELECT row_id, mfg_part_num, manufacturer, brand, trade_name, brand_status, mpn, name, name_status, classpath, long_desc, short_desc,"
           " overall_status, n_attributes FROM enriched", EN)
 def _enrich(spark, sf):
-    return _enriched(spark, sf).select(
+    return enriched(spark, sf).select(
         "row_id", "mfg_part_num", F.col("manufacturer_name.value").alias("manufacturer"), F.col("brand_name.value").alias("brand"),
         F.col("trade_name.value").alias("trade_name"), F.col("brand_name.status").alias("brand_status"),
         F.col("manufacturer_part_number.value").alias("mpn"), F.col("product_name.value").alias("name"), F.col("product_name.status").alias("name_status"),
@@ -225,13 +225,13 @@ EX = {**FREE, "cells": _CELLS}
 
 @register("exact_match", "SELECT * FROM cells", EX)
 def _exact(spark, sf):
-    return evaluate.exact_match(_enriched(spark, sf, gold=False), inputs.gold(spark, sf)).drop("field_no", "status_tier", "confidence")
+    return evaluate.exact_match(enriched(spark, sf, gold=False), inputs.gold(spark, sf)).drop("field_no", "status_tier", "confidence")
 
 
 @register("exact_match_summary", "SELECT row_id, count(*) AS fields_compared, count(*) FILTER (is_exact_match) AS fields_matched,"
           " round(count(*) FILTER (is_exact_match) / count(*) * 100, 2) AS accuracy_pct FROM cells GROUP BY ROLLUP (row_id)", EX)
 def _exact_summary(spark, sf):
-    return evaluate.exact_match_summary(evaluate.exact_match(_enriched(spark, sf, gold=False), inputs.gold(spark, sf)))
+    return evaluate.exact_match_summary(evaluate.exact_match(enriched(spark, sf, gold=False), inputs.gold(spark, sf)))
 
 
 _DISTRIBUTION = (
@@ -242,23 +242,23 @@ _DISTRIBUTION = (
 
 @register("status_distribution", _DISTRIBUTION, EN)
 def _distribution(spark, sf):
-    return evaluate.status_distribution(_enriched(spark, sf))
+    return evaluate.status_distribution(enriched(spark, sf))
 
 
 @register("audit_distribution_sums", f"SELECT kind, round(sum(pct), 4) AS total_pct FROM ({_DISTRIBUTION}) GROUP BY 1 HAVING abs(sum(pct) - 100) > 0.05", EN)
 def _sums(spark, sf):
-    return audit.audit_distribution_sums(evaluate.status_distribution(_enriched(spark, sf)))
+    return audit.audit_distribution_sums(evaluate.status_distribution(enriched(spark, sf)))
 
 
 @register("conflict_rate", "SELECT count(*) AS total_rows, count(*) FILTER (overall_status = 'Conflicted') AS conflicts, round(count(*) FILTER (overall_status = 'Conflicted')"
           " / count(*) * 100, 2) AS conflict_rate_pct FROM enriched", EN)
 def _conflict_rate(spark, sf):
-    return evaluate.conflict_rate(_enriched(spark, sf))
+    return evaluate.conflict_rate(enriched(spark, sf))
 
 
 @register("conflict_examples", "SELECT row_id, mfg_part_num, part_desc FROM enriched WHERE overall_status = 'Conflicted' ORDER BY row_id LIMIT 5", EN)
 def _conflict_examples(spark, sf):
-    return evaluate.conflict_examples(_enriched(spark, sf)).select("row_id", "mfg_part_num", "part_desc")
+    return evaluate.conflict_examples(enriched(spark, sf)).select("row_id", "mfg_part_num", "part_desc")
 
 
 @register("lov_compliance", "SELECT count(*) AS populated_values, count(*) FILTER (known) AS in_dictionary, round(count(*) FILTER (known) / count(*) * 100, 2) AS lov_compliance_pct"
@@ -266,7 +266,7 @@ def _conflict_examples(spark, sf):
           " SELECT brand IN (SELECT canonical_brand FROM dict WHERE entry_pos < 20) FROM enriched WHERE brand IS NOT NULL)", EN)
 def _lov(spark, sf):
     known = catalog.signals(inputs.dictionary(spark, sf)).filter("entry_pos < 20")
-    return evaluate.lov_compliance(_enriched(spark, sf), known)
+    return evaluate.lov_compliance(enriched(spark, sf), known)
 
 
 _NULLS = " OR ".join(f"{co.clean(c)} IS NULL" for c in ("e1_brand", "unilog_brand", "dib_brand"))
@@ -283,7 +283,7 @@ def _placeholder(spark, sf):
           " 'Conflicted') / count(*) * 100, 2) AS conflict_rate_pct, " + ", ".join(f"count(*) FILTER (overall_status = '{x}') AS {x.lower()}, round(count(*) FILTER (overall_status"
           f" = '{x}') / count(*) * 100, 2) AS {x.lower()}_pct" for x in dims.TIERS) + " FROM enriched", EN)
 def _batch(spark, sf):
-    return evaluate.catalog_batch_report(_enriched(spark, sf))
+    return evaluate.catalog_batch_report(enriched(spark, sf))
 
 
 _RECORDS = "SELECT row_id, mfg_part_num, part_desc, manufacturer, brand, overall_status, overall_status = 'Conflicted' AS has_conflicts FROM enriched"
@@ -291,23 +291,23 @@ _RECORDS = "SELECT row_id, mfg_part_num, part_desc, manufacturer, brand, overall
 
 @register("records_summary", _RECORDS, EN)
 def _records(spark, sf):
-    return evaluate.records_summary(_enriched(spark, sf)).drop("confidence")
+    return evaluate.records_summary(enriched(spark, sf)).drop("confidence")
 
 
 @register("list_catalog_page", f"SELECT * FROM ({_RECORDS}) WHERE overall_status = 'Verified' AND NOT has_conflicts AND (contains(lower(mfg_part_num), 'ring') OR"
           " contains(lower(part_desc), 'ring') OR contains(lower(brand), 'ring')) ORDER BY row_id LIMIT 20 OFFSET 20", EN)
 def _page(spark, sf):
-    return explore.list_catalog(evaluate.records_summary(_enriched(spark, sf)), page=2, status="verified", has_conflicts=False, search="RING").drop("confidence")
+    return explore.list_catalog(evaluate.records_summary(enriched(spark, sf)), page=2, status="verified", has_conflicts=False, search="RING").drop("confidence")
 
 
 @register("catalog_pages", f"SELECT count(*) AS total, CAST(ceil(count(*) / 20) AS BIGINT) AS total_pages FROM ({_RECORDS}) WHERE contains(lower(part_desc), 'disc') OR contains(lower(brand), 'disc')", EN)
 def _pages(spark, sf):
-    return explore.catalog_pages(evaluate.records_summary(_enriched(spark, sf)), search="disc")
+    return explore.catalog_pages(evaluate.records_summary(enriched(spark, sf)), search="disc")
 
 
 @register("catalog_detail", f"SELECT * FROM ({_RECORDS}) WHERE row_id = 17", EN)
 def _detail(spark, sf):
-    return explore.get_detail(evaluate.records_summary(_enriched(spark, sf)), "row_id", 17).drop("confidence")
+    return explore.get_detail(evaluate.records_summary(enriched(spark, sf)), "row_id", 17).drop("confidence")
 
 
 _STATUS = (
@@ -322,7 +322,7 @@ def _status_rules(spark, sf):
     """Every enriched field; gold fields carry no source, which the audit must report."""
     names = ("manufacturer_name", "brand_name", "product_name", "classpath", "short_desc")
     cells = F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("f")) for n in names])
-    values = _enriched(spark, sf).select("row_id", F.inline(cells)).select("row_id", "field", "f.status", "f.value", "f.sources", "f.confidence")
+    values = enriched(spark, sf).select("row_id", F.inline(cells)).select("row_id", "field", "f.status", "f.value", "f.sources", "f.confidence")
     return audit.audit_status_rules(values).drop("sources")
 
 
@@ -330,7 +330,7 @@ def _status_rules(spark, sf):
 
 HEADERS = ["Mfg_Part_Num", "Part_Desc", "Part_Manuf", "E1_Brand", "MANUFACTURER_NAME", "BRAND_NAME", "TRADE_NAME", "MANUFACTURER_PART_NUMBER", "Product Name", "Classpath",
            "SERIES", "SHORT_DESCRIPTION", "LONG_DESCRIPTION", "UPC", *[f"ATTRIBUTE_{k} {i}" for i in range(1, 7) for k in ("LABEL", "VALUE", "UOM")]]
-_EXPORT = {
+EXPORT = {
     **EN,
     "delivery": (
         "SELECT mfg_part_num AS \"Mfg_Part_Num\", part_desc AS \"Part_Desc\", coalesce(part_manuf, '') AS \"Part_Manuf\", coalesce(e1_brand, '') AS \"E1_Brand\","
@@ -344,27 +344,27 @@ _EXPORT = {
 }
 
 
-@register("delivery_format", "SELECT * FROM delivery", _EXPORT)
+@register("delivery_format", "SELECT * FROM delivery", EXPORT)
 def _delivery(spark, sf):
-    return delivery.to_delivery(_enriched(spark, sf), HEADERS)
+    return delivery.to_delivery(enriched(spark, sf), HEADERS)
 
 
 @register("spread_triples", "SELECT row_id, " + ", ".join(f"coalesce(any_value(CASE WHEN ordinal = {i} THEN {e} END), '') AS \"ATTRIBUTE_{k} {i}\"" for i in range(1, 4) for k, e in
           (("LABEL", "label"), ("VALUE", "coalesce(CAST(value_num AS VARCHAR), value_str)"), ("UOM", "uom"))) + " FROM attrs GROUP BY row_id", EN)
 def _spread(spark, sf):
     columns = delivery.spread_triples(3)
-    return _enriched(spark, sf).filter(F.size("attributes") > 0).select("row_id", *[e.alias(n) for n, e in columns.items() if " " in n])
+    return enriched(spark, sf).filter(F.size("attributes") > 0).select("row_id", *[e.alias(n) for n, e in columns.items() if " " in n])
 
 
 @register("delivery_coverage", "SELECT (SELECT count(*) FROM delivery) AS n_rows, header, n_filled, n_filled = 0 AS is_blank FROM (" + " UNION ALL ".join(
-    f"SELECT '{h}' AS header, count(*) FILTER (\"{h}\" <> '') AS n_filled FROM delivery" for h in HEADERS) + ")", _EXPORT)
+    f"SELECT '{h}' AS header, count(*) FILTER (\"{h}\" <> '') AS n_filled FROM delivery" for h in HEADERS) + ")", EXPORT)
 def _coverage(spark, sf):
-    return delivery.delivery_coverage(delivery.to_delivery(_enriched(spark, sf), HEADERS)).drop("header_no")
+    return delivery.delivery_coverage(delivery.to_delivery(enriched(spark, sf), HEADERS)).drop("header_no")
 
 
 @register("catalog_documents")
 def _documents(spark, sf):
-    return delivery.catalog_documents(_enriched(spark, sf))
+    return delivery.catalog_documents(enriched(spark, sf))
 
 
 @register("normalize_uom", "SELECT DISTINCT uom AS raw, coalesce(" + co.case("lower(trim(uom))", co._UOM_KEYS) + ", trim(uom)) AS uom, CASE WHEN "

@@ -16,17 +16,25 @@ FAILED = "failed"
 _FILE = T.StructType(ENVELOPE.fields + [f for f in STORED_FACT.fields if f.name not in ENVELOPE.names])
 
 
-def read_extraction_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _envelopes(spark: SparkSession, path: str | list[str], lines: bool) -> DataFrame:
+    """One envelope or list per file, or with ``lines`` one envelope per line, so that a large file is read by many tasks."""
+    return spark.read.schema(_FILE).json(path, multiLine=not lines)
+
+
+def read_extraction_log(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
     """One row per stored source read: status, error and number of facts, without the facts."""
-    raw = spark.read.schema(_FILE).json(path, multiLine=True)
+    raw = _envelopes(spark, path, lines)
     return raw.filter(F.col("status").isNotNull()).select(
         "source_id", "source_type", "product_id", "status", "error", "source_ref",
         F.coalesce(F.size("evidence"), F.lit(0)).alias("n_facts"))
 
 
-def read_evidence_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Facts of stored evidence files. A failed source gives none; a bare list of facts is read as well."""
-    raw = spark.read.schema(_FILE).json(path, multiLine=True)
+def read_evidence_json(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
+    """Facts of stored evidence files. A failed source gives none; a bare list of facts is read as well.
+
+    ``pos`` counts from 0 in each envelope; the source tells envelopes apart (see ``fact_key``).
+    """
+    raw = _envelopes(spark, path, lines)
     raw = raw.filter(F.coalesce(F.col("status"), F.lit("")) != FAILED)
     wrapped = raw.filter(F.col("evidence").isNotNull()).select(F.posexplode("evidence").alias("pos", "e")).select(
         "e.*", F.col("pos").cast("long").alias("pos"))
