@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from specledger import dims
 from specledger.functions.text import location_text, source_display
@@ -84,6 +84,32 @@ def list_catalog(records: DataFrame, page: int = 1, page_size: int = 20, **filte
     return filter_catalog(records, **filters).orderBy("row_id").offset((page - 1) * page_size).limit(page_size)
 
 
+def page_index(records: DataFrame, width: int = 100_000) -> DataFrame:
+    """Rows of each range of ``width`` row ids, and rows in all ranges before it: what is kept to find a page.
+
+    One row per range, so the index of a large catalog is small; a filtered list has an index of its own.
+    """
+    counts = records.groupBy(F.floor(F.col("row_id") / width).alias("range_no")).agg(F.count(F.lit(1)).alias("n_rows"))
+    before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("range_no", "n_rows", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("rows_before"), F.lit(width).alias("width"))
+
+
+def page_at(records: DataFrame, index: DataFrame, page: int, page_size: int = 20) -> DataFrame:
+    """A page of records by row id, however deep: only the ranges that hold its rows are read, and what is skipped is less than one range."""
+    start = (page - 1) * page_size
+    held = index.filter((F.col("rows_before") < start + page_size) & (F.col("rows_before") + F.col("n_rows") > start)).agg(
+        F.min("range_no").alias("low"), F.max("range_no").alias("high"), F.min("rows_before").alias("skipped"), F.max("width").alias("width")).first()
+    if held["low"] is None:
+        return records.limit(0)
+    low, high = held["low"] * held["width"], (held["high"] + 1) * held["width"]
+    return next_page(records.filter(F.col("row_id") < high), low - 1, start - held["skipped"] + page_size).offset(start - held["skipped"])
+
+
+def next_page(records: DataFrame, after: int, page_size: int = 20) -> DataFrame:
+    """The records after the last row id seen; the filter reaches the scan."""
+    return records.filter(F.col("row_id") > after).orderBy("row_id").limit(page_size)
+
+
 def catalog_pages(records: DataFrame, page_size: int = 20, **filters) -> DataFrame:
     """Total rows and pages of the filtered records."""
     return filter_catalog(records, **filters).agg(F.count(F.lit(1)).alias("total")).withColumn(
@@ -116,6 +142,37 @@ def resolve_review(log: DataFrame, new: DataFrame, products: DataFrame) -> DataF
     return latest_resolutions(log.unionByName(attach_product(new, products).select(*log.columns)))
 
 
+# Folders of the stored log. An answer and all later ones to the same review are in one.
+LOG_BUCKETS = 32
+
+
+def _write_log(entries: DataFrame, path: str, mode: str) -> None:
+    bucket = F.pmod(F.xxhash64("review_id"), F.lit(LOG_BUCKETS)).cast("int")
+    # Spread over the entries of a bucket as well, so that a busy bucket is not one task.
+    spread = F.pmod(F.xxhash64("review_id", "entry_no"), F.lit(8))
+    entries.withColumn("bucket", bucket).repartition("bucket", spread).write.mode(mode).partitionBy("bucket").parquet(path)
+
+
+def append_resolutions(new: DataFrame, products: DataFrame, path: str) -> None:
+    """Add answers to a stored log, with their product. Nothing is read or rewritten, so several writers may add at once."""
+    known = new.drop("product_id") if "product_id" in new.columns else new
+    _write_log(attach_product(known.withColumn("product_id", F.lit(None).cast("string")), products), path, "append")
+
+
+def read_resolutions(spark: SparkSession, path: str, review_id: str | None = None) -> DataFrame:
+    """The last answer of each review in a stored log. For one review only its folder is read."""
+    log = spark.read.parquet(path)
+    if review_id is not None:
+        one = spark.range(1).select(F.pmod(F.xxhash64(F.lit(review_id)), F.lit(LOG_BUCKETS)).cast("int").alias("b")).first()["b"]
+        log = log.filter((F.col("bucket") == one) & (F.col("review_id") == review_id))
+    return latest_resolutions(log.drop("bucket"))
+
+
+def compact_resolutions(spark: SparkSession, path: str, target: str) -> None:
+    """A new log with the last answers only. It appears whole or not at all; the old one stays until its owner removes it."""
+    _write_log(read_resolutions(spark, path), target, "errorifexists")
+
+
 def join_resolutions(reviews: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Reviews with status, note, value and reviewer."""
     done = resolutions.select("review_id", F.lit(True).alias("_done"), "resolution_note", "resolved_value", "resolved_by")

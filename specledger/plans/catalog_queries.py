@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from specledger import dims
@@ -10,6 +12,7 @@ from specledger.operators import audit, catalog, evaluate, explore
 from specledger.plans import catalog_oracle as co
 from specledger.plans import inputs
 from specledger.plans.registry import register
+from specledger.session import stage_dir
 from specledger.sinks import delivery
 from specledger.sources.stored import gold_attributes
 
@@ -202,10 +205,12 @@ def _tier(spark, sf):
     return enriched(spark, sf, gold=False).select("row_id", F.col("overall_trust_status").alias("overall_status"))
 
 
-@register("enrich_catalog", "SELECT row_id, mfg_part_num, manufacturer, brand, trade_name, brand_status, mpn, name, name_status, classpath, long_desc, short_desc,"
-          " overall_status, n_attributes FROM enriched", EN)
-def _enrich(spark, sf):
-    return enriched(spark, sf).select(
+_ENRICHED = ("SELECT row_id, mfg_part_num, manufacturer, brand, trade_name, brand_status, mpn, name, name_status, classpath, long_desc, short_desc,"
+             " overall_status, n_attributes FROM enriched")
+
+
+def _flat(rows):
+    return rows.select(
         "row_id", "mfg_part_num", F.col("manufacturer_name.value").alias("manufacturer"), F.col("brand_name.value").alias("brand"),
         F.col("trade_name.value").alias("trade_name"), F.col("brand_name.status").alias("brand_status"),
         F.col("manufacturer_part_number.value").alias("mpn"), F.col("product_name.value").alias("name"), F.col("product_name.status").alias("name_status"),
@@ -213,6 +218,11 @@ def _enrich(spark, sf):
         F.col("overall_trust_status").alias("overall_status"), F.size("attributes").cast("long").alias("n_attributes"))
 
 
+@register("enrich_catalog", _ENRICHED, EN)
+def _enrich(spark, sf):
+    return _flat(enriched(spark, sf))
+
+
 # --- evaluation ---
 
 _CELLS = " UNION ALL ".join(
@@ -300,6 +310,19 @@ def _page(spark, sf):
     return explore.list_catalog(evaluate.records_summary(enriched(spark, sf)), page=2, status="verified", has_conflicts=False, search="RING").drop("confidence")
 
 
+_DEEP = "NOT has_conflicts AND contains(lower(part_desc), 'v')"
+
+
+@register("catalog_page_deep", f"SELECT * FROM (SELECT * FROM ({_RECORDS}) WHERE {_DEEP}) ORDER BY row_id LIMIT 9 OFFSET (SELECT 9 * CAST(floor(count(*) / 11) AS BIGINT) FROM ({_RECORDS}) WHERE {_DEEP})", EN)
+def _deep_page(spark, sf):
+    """A page near the end of a long list, found by its stored index."""
+    records = explore.filter_catalog(evaluate.records_summary(enriched(spark, sf)), has_conflicts=False, search="v")
+    records = records.filter(F.contains(F.lower("part_desc"), F.lit("v")))
+    index = inputs.stored(spark, ("page-index", sf), lambda: explore.page_index(records, 500))
+    total = index.agg(F.sum("n_rows")).first()[0]
+    return explore.page_at(records, index, total // 11 + 1, 9).drop("confidence")
+
+
 @register("catalog_pages", f"SELECT count(*) AS total, CAST(ceil(count(*) / 20) AS BIGINT) AS total_pages FROM ({_RECORDS}) WHERE contains(lower(part_desc), 'disc') OR contains(lower(brand), 'disc')", EN)
 def _pages(spark, sf):
     return explore.catalog_pages(evaluate.records_summary(enriched(spark, sf)), search="disc")
@@ -362,9 +385,13 @@ def _coverage(spark, sf):
     return delivery.delivery_coverage(delivery.to_delivery(enriched(spark, sf), HEADERS)).drop("header_no")
 
 
-@register("catalog_documents")
+@register("catalog_documents", _ENRICHED, EN)
 def _documents(spark, sf):
-    return delivery.catalog_documents(enriched(spark, sf))
+    """One JSON document per row, written, read back and compared by content."""
+    rows = enriched(spark, sf)
+    path = f"{stage_dir(spark)}/catalog-documents-{uuid.uuid4().hex}"
+    delivery.write_products(delivery.catalog_documents(rows), path)
+    return _flat(spark.read.schema(rows.schema).json(path))
 
 
 @register("normalize_uom", "SELECT DISTINCT uom AS raw, coalesce(" + co.case("lower(trim(uom))", co._UOM_KEYS) + ", trim(uom)) AS uom, CASE WHEN "

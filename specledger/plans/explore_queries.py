@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from specledger import dims
@@ -9,6 +11,7 @@ from specledger.operators import claims, explore, trust
 from specledger.plans import inputs, oracle
 from specledger.plans.inputs import K, POLES, PRODUCT_ID, _text
 from specledger.plans.registry import register
+from specledger.session import stage_dir
 
 R, T, FL, E = oracle.RULES, oracle.TRUST, oracle.FIELDS, oracle.EVIDENCE
 
@@ -92,14 +95,48 @@ def _report(spark, sf):
                                     claims.open_conflicts(parsed, inputs.track(spark, sf).findings))
 
 
-@register("grounding_payload", "SELECT product_id, 'facts' AS section, CAST(1 AS BIGINT) AS n FROM products UNION ALL SELECT product_id, 'conflicts', count(*) FROM pairs GROUP BY 1 UNION ALL SELECT product_id,"
-          " 'unmapped_specifications', count(DISTINCT attribute) FROM mapped WHERE kind = 'unmapped' AND value IS NOT NULL GROUP BY 1 UNION ALL SELECT product_id, 'engineering_findings', count(*) FROM findings WHERE"
-          " rule_no IN (13, 14, 15, 17) GROUP BY 1", R)
+_PAYLOAD_SQL = " UNION ALL ".join([
+    "SELECT product_id, 'facts' AS section, canonical_field AS key, coalesce(value_str, canonical_unit) AS text, value_num AS num, CAST(1 AS BIGINT) AS n FROM fields WHERE outcome IN ('normalized', 'passthrough')",
+    "SELECT product_id, 'missing', canonical_field, NULL, NULL, 1 FROM fields WHERE outcome = 'missing'",
+    "SELECT product_id, 'checks', overall_status, CAST(n_conflict AS VARCHAR), CAST(n_pass AS DOUBLE), n_warning FROM summary",
+    "SELECT product_id, 'conflicts', canonical_field, type_b, NULL, count(*) FROM pairs GROUP BY ALL",
+    "SELECT product_id, 'unmapped_specifications', attribute, arg_max(coalesce(unit, ''), (source_rank, pos)), arg_max(value, (source_rank, pos)), 1 FROM mapped"
+    " WHERE kind = 'unmapped' AND value IS NOT NULL AND product_id <> 'GLOBAL' GROUP BY product_id, attribute",
+    "SELECT product_id, 'engineering_findings', rule_id, status, NULL, count(*) FROM findings WHERE rule_no IN (13, 14, 15, 17) GROUP BY ALL"])
+_FACTS_LINE = ("verified_specifications map<string,struct<value:string,unit:string>>, missing_fields array<string>,"
+               " validation_summary struct<overall_status:string,pass_count:long,conflict_count:long,warning_count:long>")
+
+
+@register("grounding_payload", _PAYLOAD_SQL, R)
 def _payload(spark, sf):
+    """The content of the payload, taken out of its JSON again."""
     t = inputs.track(spark, sf)
     lines = claims.grounding_payload(t.products, t.fields, t.unmapped, t.summary, t.findings, t.pairs)
-    copies = F.coalesce(F.get_json_object("payload", "$.copies").cast("long"), F.lit(1))
-    return lines.groupBy("product_id", "section").agg(F.sum(copies).alias("n"))
+    one = F.lit(1).cast("long").alias("n")
+
+    def part(name, key, text, num, n=one):
+        return F.lit(name).alias("section"), key.alias("key"), text.cast("string").alias("text"), num.cast("double").alias("num"), n
+
+    facts = lines.filter("section = 'facts'").select("product_id", F.from_json("payload", _FACTS_LINE).alias("p"))
+    value, none = F.col("v.value"), F.lit(None)
+    is_text = F.col("k").isin(dims.STRING_FIELDS)
+    specs = facts.select("product_id", F.explode("p.verified_specifications").alias("k", "v")).select(
+        "product_id", *part("facts", F.col("k"), F.when(is_text, value).otherwise(F.col("v.unit")), F.when(~is_text, value.try_cast("double"))))
+    missing = facts.select("product_id", F.explode("p.missing_fields").alias("k")).select("product_id", *part("missing", F.col("k"), none, none))
+    c = "p.validation_summary"
+    checks = facts.select("product_id", *part("checks", F.col(f"{c}.overall_status"), F.col(f"{c}.conflict_count"), F.col(f"{c}.pass_count"), F.col(f"{c}.warning_count").alias("n")))
+
+    def field(path):
+        return F.get_json_object("payload", path)
+
+    named = lines.filter("section = 'unmapped_specifications'").select("product_id", *part(
+        "unmapped_specifications", field("$.attribute"), field("$.spec.unit"), field("$.spec.value")))
+    counted = lines.filter("section in ('conflicts', 'engineering_findings')").select(
+        "product_id", "section", F.when(F.col("section") == "conflicts", field("$.field")).otherwise(F.regexp_extract(field("$.note"), r"^(\w+):", 1)).alias("key"),
+        F.when(F.col("section") == "conflicts", F.regexp_extract(field("$.source_b"), r"^(\w+) ", 1)).otherwise(F.regexp_extract(field("$.note"), r"\[(\w+)\]", 1)).alias("text"),
+        field("$.copies").cast("long").alias("copies")).groupBy("product_id", "section", "key", "text").agg(F.sum("copies").alias("n")).select(
+        "product_id", "section", "key", "text", F.lit(None).cast("double").alias("num"), "n")
+    return specs.unionByName(missing).unionByName(checks).unionByName(named).unionByName(counted)
 
 
 @register("claim_trust", "SELECT product_id, claim_type, claim_no, claim_text, category, field, CASE WHEN disputed THEN 'CONFLICTED' WHEN claim_type = 'SOURCE_BACKED' THEN 'TRUSTED' ELSE 'UNVERIFIED' END AS trust_status,"
@@ -300,14 +337,43 @@ _LOG = {"review_id": "concat('REV-P-', cast(2 + 2*(user_id % 4) as string), 'P-'
           " resolved_value FROM log GROUP BY 1) l LEFT JOIN products p ON contains(l.review_id, p.product_id) GROUP BY 1",
           {"products": oracle.EVIDENCE["products"], "log": "SELECT " + ", ".join(f"{e.replace('cast(ts as string)', 'ts')} AS {n}" for n, e in _LOG.items()) + " FROM events"})
 def _resolve(spark, sf):
-    log = inputs.table(spark, sf, "events").select(*[F.expr(e).alias(n) for n, e in _LOG.items()], F.lit("").alias("product_id"))
+    """Answers to reviews, added to a stored log in three runs; the last run also answers reviews that were answered before."""
+    log = inputs.table(spark, sf, "events").select(*[F.expr(e).alias(n) for n, e in _LOG.items()])
     log = log.withColumn("resolved_at", F.date_format(F.col("resolved_at").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-    return explore.resolve_review(log.limit(0), log, inputs.products(spark, sf)).select("review_id", "product_id", "resolved_value")
-
-
-@register("product_documents")
+    path, products = f"{stage_dir(spark)}/resolutions-{uuid.uuid4().hex}", inputs.products(spark, sf)
+    for run in range(3):
+        explore.append_resolutions(log.filter(F.col("entry_no") % 3 == run), products, path)
+        if run == 1:
+            compact = f"{path}-compact"
+            explore.compact_resolutions(spark, path, compact)
+            path = compact
+    return explore.read_resolutions(spark, path).select("review_id", "product_id", "resolved_value")
+
+
+_SECTIONS = {
+    "product": "SELECT product_id, 'product' AS section, canonical_field AS name, outcome AS text, value_num AS num FROM fields",
+    "refs": "SELECT product_id, 'refs', attribute, raw_value, value FROM own",
+    "conflicts": "SELECT product_id, 'conflicts', canonical_field, text_b, value_b FROM pairs",
+    "issues": "SELECT product_id, 'issues', attribute, outcome, NULL FROM own WHERE outcome IN ('parse_error', 'unknown_unit')",
+    "unmapped": "SELECT product_id, 'unmapped', attribute, raw_value, value FROM mapped WHERE kind = 'unmapped' AND product_id <> 'GLOBAL'"}
+_ENTRY = ("array<struct<field:string,outcome:string,value_num:double,attribute:string,raw_value:string,value:double,text_b:string,value_b:double,n_copies:long,"
+          "fact:struct<attribute:string,raw_value:string,value:double>>>")
+
+
+@register("product_documents", f"SELECT product_id, section, name, text, num, count(*) AS n FROM ({' UNION ALL '.join(_SECTIONS.values())}) GROUP BY ALL", oracle.FIELDS)
 def _documents(spark, sf):
-    from specledger.sinks.delivery import product_documents
+    """The documents of all products, written as JSON lines, read back and taken apart."""
+    from specledger.sinks.delivery import product_documents, write_products
 
     t = inputs.track(spark, sf)
-    return product_documents(t.fields, t.products)
+    path = f"{stage_dir(spark)}/documents-{uuid.uuid4().hex}"
+    write_products(product_documents(t.fields, t.products, t.normalized, t.pairs, t.unmapped), path)
+    read = spark.read.schema(f"product_id string, section string, entries {_ENTRY}").json(path).select("product_id", "section", F.explode("entries").alias("e"))
+    section = F.col("section")
+    name = F.when(section.isin("product", "conflicts"), F.col("e.field")).otherwise(F.coalesce("e.fact.attribute", "e.attribute"))
+    text = F.when(section.isin("product", "issues"), F.col("e.outcome")).when(section == "conflicts", F.col("e.text_b")).otherwise(
+        F.coalesce("e.fact.raw_value", "e.raw_value"))
+    num = F.when(section == "product", F.col("e.value_num")).when(section == "conflicts", F.col("e.value_b")).when(
+        section != "issues", F.coalesce("e.fact.value", "e.value"))
+    return read.groupBy("product_id", "section", name.alias("name"), text.alias("text"), num.alias("num")).agg(
+        F.sum(F.coalesce("e.n_copies", F.lit(1))).cast("long").alias("n"))

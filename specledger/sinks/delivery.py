@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from specledger import dims
+from specledger.operators.normalize import SUCCESS
 
 
 def delivery_columns() -> dict[str, Column]:
@@ -88,14 +90,43 @@ def write_delivery_csv(delivery: DataFrame, path: str, mode: str = "errorifexist
         "emptyValue", "").csv(path)
 
 
-def product_documents(fields: DataFrame, products: DataFrame) -> DataFrame:
-    """One JSON document per product with its fields; the facts behind them stay in their own table."""
+LINE_ENTRIES = 200
+FACT_PLACE = ["source_id", "source_type", "method", "page", "row", "column", "url", "section"]
+
+
+def _fact_entry(*extra: Column) -> Column:
+    return F.struct("attribute", "raw_value", "value", "unit", *extra, *[F.col(f"`{c}`") for c in FACT_PLACE])
+
+
+def _lines(rows: DataFrame, section: str, entry: Column) -> DataFrame:
+    """The entries of a section as lines of at most ``LINE_ENTRIES``: a product with very many facts is many lines, never one row.
+
+    Rows are dealt to lines by their number within their task, so no row has to know how many others its product has.
+    """
+    dealt = rows.select("product_id", F.floor(F.monotonically_increasing_id() / LINE_ENTRIES).alias("line"), entry.alias("e"))
+    gathered = dealt.groupBy("product_id", "line").agg(F.sort_array(F.collect_list("e")).alias("entries"))
+    return gathered.select("product_id", F.lit(section).alias("section"), F.to_json(F.struct("product_id", F.lit(section).alias("section"), "entries")).alias("document"))
+
+
+def product_documents(fields: DataFrame, products: DataFrame, normalized: DataFrame, pairs: DataFrame, unmapped: DataFrame) -> DataFrame:
+    """The documents of all products: ``product_id``, ``section``, ``document`` (JSON).
+
+    A product has one line ``product`` with its identity and fields, and lines of bounded size with its ``refs`` (all facts of its fields), ``conflicts``,
+    ``issues`` (facts that gave no value) and ``unmapped`` facts.
+    """
     entry = F.struct("field_pos", F.col("canonical_field").alias("field"), "canonical_unit", "outcome", "value_num",
                      "value_str", "confidence", "n_refs", "source_types", "note")
     # At most one entry per canonical field.
-    nested = fields.groupBy("product_id").agg(F.array_sort(F.collect_list(entry)).alias("fields"))
-    return products.select("product_id", "manufacturer", "model").join(nested, "product_id").select(
-        "product_id", F.to_json(F.struct("product_id", "manufacturer", "model", "fields")).alias("document"))
+    nested = fields.groupBy("product_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    head = products.select("product_id", "manufacturer", "model").join(nested, "product_id").select(
+        "product_id", F.lit("product").alias("section"),
+        F.to_json(F.struct("product_id", F.lit("product").alias("section"), "manufacturer", "model", "entries")).alias("document"))
+    field = F.col("canonical_field").alias("field")
+    side = [F.col(c) for c in ("value_a", "text_a", "unit_a", "value_b", "text_b", "unit_b")]
+    refs = _lines(normalized, "refs", F.struct(field, "outcome", "value_num", "value_str", _fact_entry().alias("fact")))
+    conflicts = _lines(pairs, "conflicts", F.struct(field, *side, "ref_a", "ref_b", "n_copies"))
+    issues = _lines(normalized.filter(~F.col("outcome").isin(SUCCESS)), "issues", F.struct(field, "outcome", _fact_entry().alias("fact")))
+    return reduce(DataFrame.unionByName, [head, refs, conflicts, issues, _lines(unmapped, "unmapped", _fact_entry())])
 
 
 def catalog_documents(enriched: DataFrame) -> DataFrame:

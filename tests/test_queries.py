@@ -13,11 +13,12 @@ import __spark_entry__ as entry  # noqa: E402
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
           "benchmark", "labels", "conversations"]
-ROWS_ONLY = {"catalog_documents", "product_documents"}
+ROWS_ONLY: set[str] = set()
 LLM = re.compile(r"op\d+_|pipeline$")
 CHECKED = ["normalize_values", "assemble_fields", "cross_source_conflicts", "run_rules", "product_report", "batch_trust_report",
            "review_queue_with_claims", "enrich_catalog", "resolve_brand_trigram", "exact_match", "delivery_format", "html_text_specs",
-           "html_table_specs", "grid_to_evidence", "melt_evidence", "resolve_review", "parse_values", "convert_units"]
+           "html_table_specs", "html_dl_specs", "html_strip", "match_signal_many", "match_signal_many_joined", "read_catalog_csv", "read_gold_csv", "read_evidence_json",
+           "delivery_round_trip", "product_documents", "catalog_documents", "grounding_payload", "catalog_page_deep", "grid_to_evidence", "melt_evidence", "resolve_review", "parse_values", "convert_units"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
 
