@@ -14,12 +14,11 @@ from specledger import dims
 from specledger.functions import units, values
 from specledger.functions.text import blank_to_null, literal_map, lookup
 from specledger.operators.once import once
-from specledger.operators.skew import join_spread
+from specledger.operators.skew import join_few, join_spread
 from specledger.schema import REF_COLUMNS, ref_struct
 
 KEYS = ["product_id", "canonical_field"]
 SUCCESS = ["normalized", "passthrough"]
-GLOBAL_SLOTS = 8
 
 
 def fact_order() -> Column:
@@ -230,7 +229,7 @@ def conflicts(normalized: DataFrame, fields: DataFrame, global_normalized: DataF
     """One row per successful fact that differs from the field's first successful fact.
 
     Only conflicted fields take part. Hot fields are split over several tasks (see ``join_spread``); facts for all
-    products are met on field and slot.
+    products are met by field (see ``join_few``), those of fields without a conflict by none.
     """
     reps = fields.filter("has_conflict").select(*KEYS, "rep_num", "rep_str", "rep_ref",
                                                 F.col("canonical_unit").alias("unit_a"))
@@ -243,9 +242,8 @@ def conflicts(normalized: DataFrame, fields: DataFrame, global_normalized: DataF
         copies = F.col("n_copies") if "n_copies" in global_normalized.columns else F.lit(1).cast("long")
         dealt = global_normalized.filter(_is_ok()).select(
             "canonical_field", "value_num", "value_str", "canonical_unit", ref_struct("ref_b"), "source_rank", "pos",
-            copies.alias("n_copies"), F.pmod(F.col("pos"), F.lit(GLOBAL_SLOTS)).cast("int").alias("_slot"))
-        slots = reps.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(GLOBAL_SLOTS - 1))))
-        pairs = pairs.unionByName(slots.join(dealt, ["canonical_field", "_slot"]).select(*pairs.columns))
+            copies.alias("n_copies"))
+        pairs = pairs.unionByName(join_few(reps, dealt, "canonical_field", "product_id").select(*pairs.columns))
     numeric = F.abs(F.col("value_num") - F.col("rep_num")) > tolerance
     texts = F.col("value_str") != F.col("rep_str")
     return pairs.filter(F.coalesce(numeric, texts)).select(

@@ -36,3 +36,19 @@ def join_spread(big: DataFrame, small: DataFrame, keys: list[str], spread: list[
         "_slot", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slots"), F.lit(1)) - 1))
     ).drop("_slots")
     return left.join(right, [*keys, "_slot"], how).drop("_slot")
+
+
+# Rows of the larger side that one task meets with the facts of a key.
+MEET_ROWS = 200_000
+
+
+def join_few(big: DataFrame, few: DataFrame, key: str, spread: str, rows: int = MEET_ROWS) -> DataFrame:
+    """Join a large table to a smaller one on a key of few values, each of which may hold any share of the rows.
+
+    The rows of a key in ``big`` are dealt over as many slots as their number asks for, and the rows of ``few`` are repeated once per slot. Keys that ``big``
+    does not have are dropped from ``few`` before anything moves. ``key`` has few values, so the table of slots is small.
+    """
+    slots = big.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("_slots"))
+    dealt = big.join(slots, key).withColumn("_slot", F.pmod(F.xxhash64(spread), F.col("_slots")).cast("int")).drop("_slots")
+    repeated = few.join(slots, key).withColumn("_slot", F.explode(F.sequence(F.lit(0), F.col("_slots") - 1))).drop("_slots")
+    return dealt.join(repeated, [key, "_slot"]).drop("_slot")

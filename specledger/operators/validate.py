@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from specledger import dims
 from specledger.functions.text import literal_map, range_condition
 from specledger.operators.normalize import KEYS, fact_key, fact_order
+from specledger.operators.skew import join_few
 
 ORDER = ["rule_no", "field_pos", "item"]
 FINDING = ["product_id", *ORDER, "rule_id", "category", "status", "severity", "field", "actual_value", "actual_num",
@@ -225,7 +226,7 @@ def _range_facts(fields: DataFrame, normalized: DataFrame, global_normalized: Da
     if global_normalized is not None:
         copies = F.col("n_copies") if "n_copies" in global_normalized.columns else F.lit(1).cast("long")
         shared = global_normalized.filter(bad).select("canonical_field", "value", "unit", item, copies.alias("n_copies"))
-        facts = facts.unionByName(disputed.join(shared, "canonical_field").select(*facts.columns))
+        facts = facts.unionByName(join_few(disputed, shared, "canonical_field", "product_id").select(*facts.columns))
     return _emit(facts, [_outside(F.col("value"), F.col("unit"), F.col("item"), F.col("n_copies"))])
 
 

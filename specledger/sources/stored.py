@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from specledger import dims
 from specledger.functions.text import clean_string, literal_map, strip
+from specledger.operators.skew import join_few
 from specledger.schema import CATALOG_INPUT, ENVELOPE, EVIDENCE, STORED_FACT, conform
 from specledger.sources.records import read_csv
 
@@ -69,24 +70,19 @@ def compact_global(facts: DataFrame) -> DataFrame:
                       F.lit(dims.GLOBAL_ID).alias("product_id"), F.lit(dims.GLOBAL_RANK).alias("source_rank"))
 
 
-def collect_sources(sources: list[DataFrame], products: DataFrame, global_facts: DataFrame,
-                    slots: int = 8) -> DataFrame:
+def collect_sources(sources: list[DataFrame], products: DataFrame, global_facts: DataFrame) -> DataFrame:
     """All facts in source order, with the facts for all products repeated for each product.
 
     The normaliser does not need this: it merges those facts once per field (see ``assemble_fields``). This is the
-    explicit table. Distinct global facts are dealt to ``slots`` and met by products repeated once per slot, so no
-    task sees more than its slot.
+    explicit table, which has a row per product and distinct shared fact by its nature; its work is dealt by products (see ``join_few``).
     """
     own = sources[0]
     for other in sources[1:]:
         own = own.unionByName(other)
-    dealt = compact_global(global_facts).drop("product_id").withColumn(
-        "_slot", F.pmod(F.xxhash64("attribute", "raw_value", "value", "unit"), F.lit(slots)).cast("int"))
-    ids = products.select("product_id").distinct().withColumn(
-        "_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    shared = ids.join(dealt, "_slot").drop("_slot")
-    return own.select(*EVIDENCE.names, F.lit(1).cast("long").alias("n_copies")).unionByName(
-        shared.select(*EVIDENCE.names, "n_copies"))
+    shared = compact_global(global_facts).drop("product_id").withColumn("_all", F.lit(1))
+    ids = products.select("product_id").distinct().withColumn("_all", F.lit(1))
+    met = join_few(ids, shared, "_all", "product_id")
+    return own.select(*EVIDENCE.names, F.lit(1).cast("long").alias("n_copies")).unionByName(met.select(*EVIDENCE.names, "n_copies"))
 
 
 def extraction_summary(log: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -240,3 +240,12 @@ def test_disputed_ranges(spark):
     t = SpecTrack(evidence(spark, rows), products(spark, "ok", "high", "raw"))
     found = t.findings.filter("rule_id = 'RANGE_EFFICIENCY_BOUNDS'").groupBy("product_id", "status").agg(F.sum("n_copies").alias("n")).collect()
     assert {(r["product_id"], r["status"]): r["n"] for r in found} == {("ok", "PASS"): 1, ("high", "FAIL"): 2, ("raw", "FAIL"): 2}
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_join_few_deals_a_hot_key(spark, rows):
+    big = spark.createDataFrame([("hot" if i % 4 else f"k{i % 3}", i) for i in range(60)], "k string, i int")
+    few = spark.createDataFrame([(k, n) for k in ("hot", "k0", "absent") for n in range(3)], "k string, n int")
+    got = skew.join_few(big, few, "k", "i", rows).collect()
+    want = {(k, i, n) for k, i in (("hot" if i % 4 else f"k{i % 3}", i) for i in range(60)) if k in ("hot", "k0") for n in range(3)}
+    assert len(got) == len(want) and {(r["k"], r["i"], r["n"]) for r in got} == want
