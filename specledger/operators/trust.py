@@ -37,10 +37,10 @@ def attribute_trust(fields: DataFrame, findings: DataFrame, inferred: DataFrame
     """
     rows = fields.join(_field_findings(findings), KEYS, "left")
     if inferred is None:
-        rows = rows.withColumn("inferred_value", F.lit(None).cast("string"))
+        rows = rows.withColumn("inferred_value", F.lit(None).cast("string")).withColumn("_inferred", F.lit(None).cast("boolean"))
     else:
         guesses = inferred.groupBy("product_id", F.col("field").alias("canonical_field")).agg(
-            F.max("inferred_value").alias("inferred_value"))
+            F.max("inferred_value").alias("inferred_value"), F.lit(True).alias("_inferred"))
         rows = rows.join(guesses, KEYS, "left")
     conflicted = F.col("has_conflict") | F.coalesce("found_conflict", F.lit(False))
     present = (F.col("value_num").isNotNull() | F.col("value_str").isNotNull()) & F.col("outcome").isin(SUCCESS)
@@ -60,9 +60,9 @@ def attribute_trust(fields: DataFrame, findings: DataFrame, inferred: DataFrame
         "REVIEW_REQUIRED", "PUBLISHABLE_WITH_WARNING", "WARNING", 0.75, F.concat(F.lit("warning: "), "warn_text"))
     ).when(present, tier(
         "TRUSTED", "PUBLISHABLE", "PASS", 1.0, F.lit("found in source evidence, all checks passed"))
-    ).when(F.col("inferred_value").isNotNull(), tier(
+    ).when(F.col("_inferred"), tier(  # named in the answer, if only with a null
         "UNVERIFIED", "PUBLISHABLE_WITH_WARNING", "NOT_CHECKED", 0.70,
-        F.concat(F.lit("inferred, not in the sources: "), "inferred_value"))
+        F.concat(F.lit("inferred, not in the sources: "), F.coalesce("inferred_value", F.lit("no value"))))
     ).otherwise(tier("MISSING", "NOT_PUBLISHABLE", "NOT_CHECKED", 0.0, F.lit("in none of the sources")))
     out = rows.withColumn("_t", ladder).withColumn("is_conflicted", conflicted)
     guessed = F.col("_t.trust_status") == "UNVERIFIED"

@@ -272,10 +272,10 @@ def _conflict_examples(spark, sf):
 
 
 @register("lov_compliance", "SELECT count(*) AS populated_values, count(*) FILTER (known) AS in_dictionary, round(count(*) FILTER (known) / count(*) * 100, 2) AS lov_compliance_pct"
-          " FROM (SELECT manufacturer IN (SELECT canonical_manufacturer FROM dict WHERE entry_pos < 20) AS known FROM enriched WHERE manufacturer IS NOT NULL UNION ALL"
-          " SELECT brand IN (SELECT canonical_brand FROM dict WHERE entry_pos < 20) FROM enriched WHERE brand IS NOT NULL)", EN)
+          " FROM (SELECT manufacturer IN (SELECT canonical_manufacturer FROM dict) AS known FROM enriched WHERE manufacturer IS NOT NULL UNION ALL"
+          " SELECT brand IN (SELECT canonical_brand FROM dict) FROM enriched WHERE brand IS NOT NULL)", EN)
 def _lov(spark, sf):
-    known = catalog.signals(inputs.dictionary(spark, sf)).filter("entry_pos < 20")
+    known = catalog.signals(inputs.dictionary(spark, sf))
     return evaluate.lov_compliance(enriched(spark, sf), known)
 
 

@@ -290,9 +290,12 @@ def _field_source_list(spark, sf):
     return explore.field_source_list(inputs.track(spark, sf).normalized).select("product_id", "canonical_field", "source_type", "raw_value", "value")
 
 
-@register("coverage_health", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ("part", "supplier", "lineitem", "documents", "pages")))
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@register("coverage_health", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in TABLES))
 def _health(spark, sf):
-    return explore.coverage_health({t: inputs.table(spark, sf, t) for t in ("part", "supplier", "lineitem", "documents", "pages")})
+    return explore.coverage_health({t: inputs.table(spark, sf, t) for t in TABLES})
 
 
 # --- reviews and resolutions ---

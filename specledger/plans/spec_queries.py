@@ -261,14 +261,15 @@ def _batch_trust(spark, sf):
     return trust.batch_trust_report(inputs.track(spark, sf).report)
 
 
+_ANSWERED = f"SELECT {inputs.PRODUCT_ID} AS product_id FROM part WHERE {inputs.K} % 5 <> 3"
+
+
 @register("stage_availability", "SELECT coalesce(n.product_id, v.product_id, e.product_id) AS product_id, n.product_id IS NOT NULL AS has_normalization,"
           " v.product_id IS NOT NULL AS has_validation, e.product_id IS NOT NULL AS has_enrichment FROM (SELECT DISTINCT product_id FROM own) n FULL JOIN"
-          " (SELECT product_id FROM products WHERE normalization_version = '2.0.0') v ON v.product_id = n.product_id FULL JOIN (SELECT DISTINCT product_id"
-          " FROM mapped WHERE attribute = 'poles') e ON e.product_id = coalesce(n.product_id, v.product_id)", N)
+          f" (SELECT DISTINCT product_id FROM findings) v ON v.product_id = n.product_id FULL JOIN ({_ANSWERED}) e ON e.product_id = coalesce(n.product_id, v.product_id)", R)
 def _availability(spark, sf):
-    t = inputs.track(spark, sf)
-    return trust.availability(t.normalized, t.products.filter(F.col("normalization_version") == "2.0.0"),
-                              t.mapped.filter(F.col("attribute") == "poles"))
+    t = inputs.track(spark, sf, True)
+    return trust.availability(t.normalized, t.summary, t.parsed.filter("answer is not null"))
 
 
 # --- audits: all must be empty ---
@@ -293,10 +294,11 @@ def _provenance(spark, sf):
 
 
 @register("audit_completeness", "SELECT product_id, stage FROM (SELECT p.product_id, 'fields' AS stage FROM products p WHERE p.product_id NOT IN (SELECT product_id"
-          " FROM fields) UNION ALL SELECT p.product_id, 'poles' FROM products p WHERE p.product_id NOT IN (SELECT product_id FROM mapped WHERE attribute = 'poles'))", FL)
+          " FROM fields) UNION ALL SELECT p.product_id, 'findings' FROM products p WHERE p.product_id NOT IN (SELECT product_id FROM findings) UNION ALL"
+          f" SELECT p.product_id, 'answers' FROM products p WHERE p.product_id NOT IN ({_ANSWERED}))", R)
 def _completeness(spark, sf):
-    t = inputs.track(spark, sf)
-    return audit.audit_completeness(t.products, {"fields": t.fields, "poles": t.mapped.filter(F.col("attribute") == "poles")})
+    t = inputs.track(spark, sf, True)
+    return audit.audit_completeness(t.products, {"fields": t.fields, "findings": t.findings, "answers": t.parsed.filter("answer is not null")})
 
 
 @register("audit_failed_sources", "SELECT product_id, source_type, n_facts FROM (SELECT product_id, source_type, count(*) AS n_facts FROM ev GROUP BY 1, 2)"

@@ -249,3 +249,54 @@ def test_join_few_deals_a_hot_key(spark, rows):
     got = skew.join_few(big, few, "k", "i", rows).collect()
     want = {(k, i, n) for k, i in (("hot" if i % 4 else f"k{i % 3}", i) for i in range(60)) if k in ("hot", "k0") for n in range(3)}
     assert len(got) == len(want) and {(r["k"], r["i"], r["n"]) for r in got} == want
+
+
+def test_inferred_null_is_unverified(spark):
+    answers = spark.createDataFrame([("A", '{"inferred_fields": {"poles": null, "frequency": "50"}}')], "product_id string, response string")
+    t = SpecTrack(evidence(spark, [(*DEMO[0][:7], "A", *DEMO[0][8:])]), products(spark, "A"), answers)
+    state = {r["field"]: r["trust_status"] for r in t.attributes.collect()}
+    assert (state["poles"], state["frequency"], state["frame_size"]) == ("UNVERIFIED", "UNVERIFIED", "MISSING")
+
+
+def test_stored_log_of_resolutions(spark, tmp_path):
+    schema = "review_id string, selected_source string, resolved_value string, resolution_note string, resolved_by string, resolved_at string, entry_no long"
+    ids = spark.createDataFrame([("P-1",), ("P-2",)], "product_id string")
+    path, runs = str(tmp_path / "log"), [[("REV-P-1-x", "a", 1), ("REV-P-2-x", "b", 2)], [("REV-P-1-x", "c", 3)], [("REV-P-1-x", "older", 0), ("REV-none", "d", 4)]]
+    for k, run in enumerate(runs):
+        new = spark.createDataFrame([(r, "s", v, "n", "qa", f"2024-01-0{n + 1}", n) for r, v, n in run], schema)
+        explore.append_resolutions(new, ids, path)
+        if k == 1:
+            explore.compact_resolutions(spark, path, str(tmp_path / "compact"))
+            assert spark.read.parquet(str(tmp_path / "compact")).count() == 2
+            path = str(tmp_path / "compact")
+    got = {r["review_id"]: (r["product_id"], r["resolved_value"]) for r in explore.read_resolutions(spark, path).collect()}
+    assert got == {"REV-P-1-x": ("P-1", "c"), "REV-P-2-x": ("P-2", "b"), "REV-none": ("", "d")}
+    assert [r["resolved_value"] for r in explore.read_resolutions(spark, path, "REV-P-2-x").collect()] == ["b"]
+    # A second log at the place of another is refused; the first one stays.
+    with pytest.raises(Exception):
+        explore.compact_resolutions(spark, path, str(tmp_path / "log"))
+
+
+@pytest.mark.parametrize("width", [1, 10, 1000])
+def test_pages_by_index(spark, width):
+    ids = [i for i in range(3, 300) if i % 7 and not 100 < i < 140]
+    records = spark.createDataFrame([(i,) for i in ids], "row_id long").repartition(3)
+    index = explore.page_index(records, width)
+    for page in (1, 2, 9, 22, 23, 24, 40):
+        assert [r["row_id"] for r in explore.page_at(records, index, page, 10).collect()] == ids[(page - 1) * 10:page * 10]
+    assert [r["row_id"] for r in explore.next_page(records, 98, 3).collect()] == [i for i in ids if i > 98][:3]
+
+
+def test_documents_have_bounded_lines(spark, demo, monkeypatch):
+    import json
+
+    from specledger.sinks import delivery
+
+    monkeypatch.setattr(delivery, "LINE_ENTRIES", 2)
+    lines = [json.loads(r["document"]) for r in delivery.product_documents(demo.fields, demo.products, demo.normalized, demo.pairs, demo.unmapped).collect()]
+    assert all(len(d["entries"]) <= 2 for d in lines if d["section"] != "product") and {d["product_id"] for d in lines} == {PID, EMPTY}
+    entries = [(d["section"], e) for d in lines if d["product_id"] == PID for e in d["entries"]]
+    assert sum(s == "refs" for s, _ in entries) == demo.normalized.count() and [e["attribute"] for s, e in entries if s == "unmapped"] == ["full_load_torque_nm"]
+    assert {e["field"] for s, e in entries if s == "conflicts"} == {"rated_power", "rated_current"}
+    conflict = next(e for s, e in entries if s == "conflicts" and e["field"] == "rated_current")
+    assert (conflict["value_a"], conflict["value_b"], conflict["ref_a"]["source_type"], conflict["ref_b"]["page"] if "page" in conflict["ref_b"] else None) == (2.34, 7.22, "pdf", None)
