@@ -44,7 +44,8 @@ PAIRS = 16  # larger buckets take the way whose work does not grow with their sq
 # The search of near_dedup.
 FEATURE_WORDS, SHINGLE_WORDS, SIMILARITY = 2, 5, 0.8
 GROUP_PAIRS = 32
-BLOCK = 256  # members of a large bucket that one task pairs with as many others
+BLOCK = 256  # members of a large bucket that one task pairs with those outside its largest component
+CROWD = 4096  # and at most so many of these
 COUNTERS, COUNTER_ROW = 1 << 20, 1 << 14
 SLIP = 1e-9  # rounding errors must not drop a pair at the bound
 
@@ -251,18 +252,31 @@ def candidate_pairs(nodes: DataFrame, least: float) -> tuple[DataFrame, DataFram
 
 
 def remaining_pairs(crowd: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """All pairs of members of a large bucket that are in different components so far."""
-    rooted = stage_table(crowd.select("key", "id", "size", "rest", "n").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    """All pairs of members of a large bucket that are in different components so far.
+
+    One of such a pair is outside the largest component of its bucket. These are dealt to blocks of all members, so a bucket whose members are
+    nearly all linked costs little more than its rows, and one of which none are is the work of many tasks.
+    """
+    rooted = stage_table(crowd.select("key", "id", "size", "rest").join(roots.withColumnRenamed("node", "id"), "id", "left")
                          .withColumn("root", F.coalesce("root", "id")), "crowd-roots")
-    split = rooted.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one <> other").select("key")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    # Member of block i meets those of block j under (i, j), where one side has its own block first and the other second.
-    dealt = rooted.join(split, "key").withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    left, right = (dealt.select("key", F.col(i).alias("i"), F.col(j).alias("j"), *[F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "rest", "root")])
-                   for s, i, j in (("a", "own", "met"), ("b", "met", "own")))
+    parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    split = stage_table(parts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("n")).filter("n > most.c").select(
+        "key", F.col("most.root").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("most.c")) / CROWD).alias("crowds")), "crowd-splits")
+    apart = rooted.join(split, "key")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select("key", "block", "crowd", *[F.col(c).alias(f"{c}_{name}") for c in ("id", "size", "rest", "root")])
+
+    def each(column: str, n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(column)
+
+    outside = apart.filter("root <> main").withColumn("crowd", F.pmod(F.xxhash64("id", F.lit(1)), F.col("crowds"))).select("*", each("block", "blocks"))
+    member = apart.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    # Members are repeated only where those outside the largest component are many.
+    members = member.filter("crowds = 1").withColumn("crowd", F.lit(0).cast("long")).unionByName(member.filter("crowds > 1").select("*", each("crowd", "crowds")))
     fit = within(*[F.col(c) for c in ("size_a", "rest_a", "size_b", "rest_b")], least)
-    return left.join(right, ["key", "i", "j"]).filter((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & fit).select(
-        F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    both = side(outside, "a").join(side(members, "b"), ["key", "block", "crowd"]).filter((F.col("root_a") != F.col("root_b")) & fit)
+    return both.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 @F.pandas_udf(ArrayType(LongType()))
