@@ -267,6 +267,24 @@ def detail_rows(reports: DataFrame, attributes: DataFrame, reviews: DataFrame, c
     return out
 
 
+def nested_details(reports: DataFrame, attributes: DataFrame, reviews: DataFrame, claims: DataFrame) -> DataFrame:
+    """Each product as one row: ``report``, ``specifications``, ``reviews`` and ``claims`` (arrays in their order).
+
+    The parts are united and gathered by one shuffle on the product. All of them are bounded: specifications by the field list, reviews by rules, fields and claim
+    categories, claims by the answer they come from. Facts and conflicts of a product are not; they stay tables (see ``evidence_view``, ``conflict_sources``).
+    """
+    def part(df: DataFrame, name: str, order: list[str]) -> DataFrame:
+        rest = [c for c in df.columns if c != "product_id" and c not in order]
+        return df.select("product_id", F.struct(*order, *[F.col(f"`{c}`") for c in rest]).alias(name))
+
+    parts = {"specifications": (attributes, ["field_pos"]), "reviews": (reviews, ["part", "seq", "review_id"]), "claims": (claims, ["claim_type", "claim_no"])}
+    united = reports.select("product_id", F.struct(*[c for c in reports.columns if c != "product_id"]).alias("report"))
+    for name, (df, order) in parts.items():
+        united = united.unionByName(part(df, name, order), allowMissingColumns=True)
+    return united.groupBy("product_id").agg(
+        F.first("report", ignorenulls=True).alias("report"), *[F.sort_array(F.collect_list(n)).alias(n) for n in parts]).filter("report is not null")
+
+
 def trust_view(attributes: DataFrame) -> DataFrame:
     return attributes.select("product_id", "field", "trust_status", "publishability", "confidence_score", "reason")
 

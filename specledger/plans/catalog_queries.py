@@ -328,6 +328,22 @@ def _pages(spark, sf):
     return explore.catalog_pages(evaluate.records_summary(enriched(spark, sf)), search="disc")
 
 
+@register("input_row_lookup", "SELECT row_id, mfg_part_num, part_desc FROM rows WHERE row_id = 23 OR lower(trim(mfg_part_num)) = 'mpn41'", I)
+def _input_row(spark, sf):
+    """An input row by its id, and one by its part number."""
+    rows = inputs.catalog_rows(spark, sf).select("row_id", "mfg_part_num", "part_desc")
+    by_number = explore.get_detail(catalog.last_per_part(rows), "part_key", "mpn41").select(rows.columns)
+    return explore.get_detail(rows, "row_id", 23).unionByName(by_number)
+
+
+@register("gold_row_lookup", "SELECT row_id, expected_mfr_part_num, expected_brand FROM gold WHERE row_id = 23 OR lower(trim(mfg_part_num)) = 'mpn41'", EN)
+def _gold_row(spark, sf):
+    """A gold row by its id, and one by its part number."""
+    gold = inputs.gold(spark, sf).select("row_id", "mfg_part_num", "expected_mfr_part_num", "expected_brand")
+    by_number = explore.get_detail(catalog.last_per_part(gold), "part_key", "mpn41").select(gold.columns)
+    return explore.get_detail(gold, "row_id", 23).unionByName(by_number).drop("mfg_part_num")
+
+
 @register("catalog_detail", f"SELECT * FROM ({_RECORDS}) WHERE row_id = 17", EN)
 def _detail(spark, sf):
     return explore.get_detail(evaluate.records_summary(enriched(spark, sf)), "row_id", 17).drop("confidence")

@@ -233,6 +233,24 @@ def _details(spark, sf):
     return rows.select("product_id", "overall_trust_status", "n_specifications", "n_reviews", "n_claims", "n_evidence")
 
 
+@register("product_details_nested", "SELECT product_id, 'report' AS section, overall_trust_status AS name, NULL AS text, NULL AS num FROM report UNION ALL SELECT product_id, 'specifications', field, trust_status,"
+          " confidence_score FROM attributes UNION ALL SELECT product_id, 'reviews', review_id, severity, CAST(n_collapsed AS DOUBLE) FROM reviews UNION ALL"
+          " SELECT product_id, 'claims', claim_text, category, confidence FROM claims", {**ANSWERS, **T})
+def _nested_details(spark, sf):
+    """Every product as one row, taken apart again."""
+    t = inputs.track(spark, sf)
+    rows = explore.nested_details(t.report, t.attributes, t.reviews, claims.explode_claims(_parsed(spark, sf)))
+    none = F.lit(None)
+
+    def section(name, column, text, num):
+        return rows.select("product_id", F.explode(name).alias("e")).select(
+            "product_id", F.lit(name).alias("section"), F.col(f"e.{column}").alias("name"), F.col(f"e.{text}").alias("text"), F.col(f"e.{num}").cast("double").alias("num"))
+
+    head = rows.select("product_id", F.lit("report").alias("section"), F.col("report.overall_trust_status").alias("name"), none.cast("string").alias("text"), none.cast("double").alias("num"))
+    return head.unionByName(section("specifications", "field", "trust_status", "confidence_score")).unionByName(
+        section("reviews", "review_id", "severity", "n_collapsed")).unionByName(section("claims", "claim_text", "category", "confidence"))
+
+
 @register("product_lookup", "SELECT product_id, field, trust_status FROM attributes WHERE product_id = 'P-4P-17'", T)
 def _lookup(spark, sf):
     return explore.get_detail(inputs.track(spark, sf).attributes, "product_id", "P-4P-17").select("product_id", "field", "trust_status")
