@@ -71,13 +71,15 @@ def match_entity(rows: DataFrame, manifest: DataFrame, tolerance: float = 0.05)
     pairs = rows.select("power", "poles").distinct().filter(F.col("power").isNotNull())
     # -1 stands for unknown poles, so both joins below stay on plain keys.
     pairs = pairs.withColumn("_bin", F.floor(F.col("power") / width))
-    ids = entity_keys(manifest).withColumn(
+    # Of the ids with one power and number of poles only the first can be a match.
+    keys = entity_keys(manifest).groupBy("id_power", "id_poles").agg(F.min(F.struct("manifest_pos", "product_id")).alias("m"))
+    ids = keys.select("id_power", "id_poles", "m.*").withColumn(
         "_bin", F.explode(F.array(*[F.floor(F.col("id_power") / width) + d for d in (-1, 0, 1)])))
     hit = (F.abs(F.col("power") - F.col("id_power")) < tolerance) & (
         F.col("poles").isNull() | (F.col("poles") == F.col("id_poles")))
     matched = pairs.join(ids, "_bin").filter(hit).groupBy(
         "power", F.coalesce(F.col("poles"), F.lit(-1)).alias("_poles")
-    ).agg(F.min_by("product_id", "manifest_pos").alias("product_id"))
+    ).agg(F.min(F.struct("manifest_pos", "product_id"))["product_id"].alias("product_id"))
     keyed = rows.withColumn("_poles", F.coalesce(F.col("poles"), F.lit(-1)))
     return join_spread(keyed, matched, ["power", "_poles"], spread=["row_key"]).drop("_poles")
 
