@@ -33,3 +33,9 @@ def test_findings_are_rows(spark, name):
     df = entry.queries()[name](spark, SF)
     assert df.columns == FINDING
     assert df.count() == len(con.sql(entry.oracle_sql()[name]).fetchall())
+
+
+@tables
+def test_completeness_names_every_stage(spark):
+    rows = entry.queries()["audit_completeness"](spark, SF).groupBy("stage").count().collect()
+    assert {r["stage"] for r in rows} == {"poles", "answers"}
