@@ -39,3 +39,23 @@ def test_findings_are_rows(spark, name):
 def test_completeness_names_every_stage(spark):
     rows = entry.queries()["audit_completeness"](spark, SF).groupBy("stage").count().collect()
     assert {r["stage"] for r in rows} == {"poles", "answers"}
+
+
+def test_a_fact_is_shuffled_once(spark):
+    """What is kept of a field with one usable fact holds that fact in one place, and the result names it as the first."""
+    from pyspark.sql import functions as F
+
+    from specledger.operators import normalize
+    from specledger.schema import EVIDENCE, conform
+
+    rows = [("web", "rated_current", "7", "A", 2, 5, "A", 0.5, "http://x"), ("pdf", "rated_current", "n.a.", "A", 0, 1, "B", 0.9, None),
+            ("web", "rated_current", "8", "A", 2, 6, "B", 0.5, "http://y")]
+    schema = "source_type string, attribute string, raw_value string, unit string, source_rank int, pos long, product_id string, confidence double, url string"
+    facts = normalize.normalize(conform(spark.createDataFrame(rows, schema), EVIDENCE))
+    kept = facts.withColumn("_key", normalize._narrow_key()).groupBy("product_id").agg(*normalize._field_aggregates(F.lit(1)))
+    state = {r["product_id"]: r for r in kept.collect()}
+    assert state["A"]["first"] is None and state["A"]["rep"]["key"]["url"] == "http://x" and state["B"]["first"]["raw_value"] == "n.a."
+    ids = spark.createDataFrame([("A",), ("B",)], "product_id string")
+    fields = {r["product_id"]: r for r in normalize.assemble_fields(facts, ids).filter("canonical_field = 'rated_current'").collect()}
+    assert fields["A"]["first_ref"] == fields["A"]["rep_ref"] and fields["A"]["rep_ref"]["product_id"] == "A"
+    assert (fields["B"]["first_ref"]["raw_value"], fields["B"]["rep_ref"]["raw_value"], fields["B"]["rep_ref"]["url"]) == ("n.a.", "8", "http://y")
