@@ -8,7 +8,8 @@ away from them: fingerprints within two bits share such a word, all that share o
 stays in proportion to the fingerprints however similar they are, and no link is lost.
 
 ``near_dedup`` is the filter for whole documents: it links the texts whose sets of five-word shingles have a Jaccard similarity of at
-least 0.8. All shingles are put in one order, rare ones first; two sets that similar share one of the first fifth of each (prefix filter), whatever
+least 0.8. SimHash gives the first pairs, those whose fingerprints are within two bits; texts with more changed words are out of its reach, and these are found
+by their shingles. Both kinds of pairs get the same exact check. All shingles are put in one order, rare ones first; two sets that similar share one of the first fifth of each (prefix filter), whatever
 the lengths of the texts, so buckets of those shingles hold every such pair. The place of the shared shingle in both sets bounds how many
 can follow it, which drops most other pairs before their sets are compared. Large buckets are linked through a central text first; what that leaves
 in different components is then paired in full, in blocks, so no link is lost and one key is the work of many tasks. Its work grows with the
@@ -42,7 +43,7 @@ SEED = 42
 CUTS = ((0, 22), (22, 21), (43, 21))  # first bit and length of the segments of 64 bits
 PAIRS = 16  # larger buckets take the way whose work does not grow with their square
 # The search of near_dedup.
-FEATURE_WORDS, SHINGLE_WORDS, SIMILARITY = 2, 5, 0.8
+FEATURE_WORDS, FINGERPRINT_WORDS, SHINGLE_WORDS, SIMILARITY = 2, 3, 5, 0.8
 GROUP_PAIRS = 32
 BLOCK = 256  # members of a large bucket that one task pairs with those outside its largest component
 CROWD = 4096  # and at most so many of these
@@ -129,19 +130,20 @@ def link_fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
 
 
 # --- the search for similar texts ---
-SIGNATURE = StructType([*[StructField(n, LongType()) for n in ("f0", "f1", "n", "c0", "c1", "size")], StructField("first", ArrayType(LongType()))])
+SIGNATURE = StructType([*[StructField(n, LongType()) for n in ("f0", "f1", "n", "c0", "c1", "fp", "size")], StructField("first", ArrayType(LongType()))])
 
 
-def signature(text: str | None) -> tuple[int, int, int, int, int]:
-    """128-bit SimHash over short shingles, number of words, and a 128-bit hash of the lower-cased words."""
+def signature(text: str | None) -> tuple[int, int, int, int, int, int]:
+    """128-bit SimHash over short shingles, number of words, a 128-bit hash of the lower-cased words, and the 64-bit fingerprint."""
     tokens = words(text, lower=True)
     digest = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(tokens)), "<i8")
     if not tokens:
-        return 0, 0, 0, int(digest[0]), int(digest[1])
+        return 0, 0, 0, int(digest[0]), int(digest[1]), 0
     grams = shingles(text, FEATURE_WORDS)
     rows = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, grams)), np.uint8).reshape(-1, 16)
     bits = _majority(rows).view("<i8")
-    return int(bits[0]), int(bits[1]), len(tokens), int(digest[0]), int(digest[1])
+    fp = np.uint64(simhash(shingles(text, FINGERPRINT_WORDS))).view(np.int64)
+    return int(bits[0]), int(bits[1]), len(tokens), int(digest[0]), int(digest[1]), int(fp)
 
 
 def shingle_hashes(text: str | None) -> np.ndarray:
@@ -197,6 +199,15 @@ def signatures(counts: Broadcast, least: float):
     return sign
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs of ids (``a`` < ``b``) by SimHash: texts of one fingerprint with the first of them, and the first ones of fingerprints within two bits."""
+    fps = stage_table(nodes.groupBy("fp").agg(F.min("id").alias("first_id")), "node-fingerprints")
+    same = nodes.join(fps, "fp").select(F.col("first_id").alias("x"), F.col("id").alias("y"))
+    one, two = (fps.select(F.col("fp").alias(c), F.col("first_id").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    near = close_pairs(fps).join(one, "a").join(two, "b").select("x", "y")
+    return same.unionByName(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
+
+
 def central(crowd: DataFrame) -> DataFrame:
     """``key``, ``h_id``, ``h_size``, ``h_rest``: the member of each bucket that is nearest to the majority of its members, bit by bit.
 
@@ -301,8 +312,10 @@ def near_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(named))
     signed = stage_table(named.select("doc_id", signatures(counts, least)("text").alias("s")).select("doc_id", "s.*"), "signatures")
     nodes = stage_table(signed.groupBy("c0", "c1").agg(
-        F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("f0", "f1", "n", "size", "first")]), "signature-nodes")
+        F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("f0", "f1", "n", "fp", "size", "first")]), "signature-nodes")
+    close = fingerprint_pairs(nodes.filter("n > 0"))
     pairs, crowd = candidate_pairs(nodes.filter("n > 0"), least)
+    pairs = stage_table(close.unionByName(pairs).distinct(), "compared")
     links = stage_table(similar_pairs(named, pairs, least), "links")
     roots = components(links)
     if not crowd.isEmpty():
