@@ -101,3 +101,31 @@ def test_evidence_is_read_once_for_global_facts(spark):
     track = inputs.track(spark, SF)
     assert "lineitem" not in "".join(track.global_normalized.inputFiles())
     inputs.reset()
+
+
+def test_hot_keys_are_broadcast_however_large_the_counts(spark):
+    """The large side of a spread join is shuffled once, for the join itself."""
+    from pyspark.sql import functions as F
+
+    from specledger.operators import skew
+
+    big = spark.range(2000).selectExpr("id % 40 as k", "id as pos")
+    small = spark.range(40).selectExpr("id as k", "id * 2 as v")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = skew.join_spread(big, small, ["k"], ["pos"], "inner", counts=big.groupBy("k").agg(F.count(F.lit(1)).alias("n_rows")), hot_rows=20)
+        assert out._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == 1
+        assert sorted((r["k"], r["pos"], r["v"]) for r in out.collect()) == sorted((i % 40, i, i % 40 * 2) for i in range(2000))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_files_of_stage_tables_are_bounded(spark, monkeypatch):
+    from specledger.plans import inputs, tracks
+
+    monkeypatch.setattr(tracks, "FILE_ROWS", 100)
+    inputs.reset()
+    sizes = inputs.track(spark, SF).normalized.groupBy("_metadata.file_path").count().collect()
+    inputs.reset()
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) <= 100
