@@ -29,8 +29,13 @@ def html_strip(pages: DataFrame, keep: Sequence[str] = KEEP) -> DataFrame:
 
 
 def html_tokens(pages: DataFrame) -> DataFrame:
-    """Stored tokens of pages (``product_id, url, html``), for the functions below that read them more than once."""
-    return stage_table(markup.tokens(pages, KEEP), "page-tokens")
+    """Stored tokens of pages (``product_id, url, html``), for the functions below that read them more than once.
+
+    They are stored by page and shuffled so, once for each reader; then the tokens of a page are together.
+    """
+    token = F.struct("pos", "name", "delta", "text")
+    pages = markup.tokens(pages, KEEP).groupBy(PAGE).agg(F.collect_list(token).alias("tokens"))
+    return stage_table(pages, "page-tokens").repartition(PAGE).select(PAGE, F.inline("tokens"))
 
 
 def _number(raw: Column) -> Column:

@@ -2,7 +2,7 @@
 
 A page becomes one row per tag and per text between tags. Depths are running sums over these rows, so nested elements of one name need no special
 pattern: an element is open while its depth is above zero, the innermost table of a token is its table depth, and a token inside nested tables
-belongs to one table on each level up to its depth. All windows run over one page, so the tokens are shuffled once, by page.
+belongs to one table on each level up to its depth. All windows and groups run over one page or less, so pages are shuffled once, before they are cut, and tokens never.
 
 Reading follows HTML where authors rely on it: attribute values may hold ``>``, scripts and styles end at their own end tag only, comments are no text,
 cells, rows and list entries end where the next one begins, character references are decoded by number and by name.
@@ -79,6 +79,19 @@ def with_depths(tokens: DataFrame, names: Mapping[str, Sequence[str]]) -> DataFr
         (F.col(f"_sum_{d}") - F.least(F.lit(0), F.min(f"_sum_{d}").over(over))).alias(d) for d in names])
 
 
+# Bytes of pages that one task cuts up: their tokens take some thirty times as much memory, and are sorted in it.
+TASK_BYTES = 8 << 20
+
+
+def _by_page(pages: DataFrame) -> DataFrame:
+    """Pages (``_page, html``) shuffled whole: their tokens are many times as large, and stay where their page is.
+
+    The number of tasks goes by the size of the pages as they are. Shuffled bytes would not tell it, as pages are packed to any small part of that.
+    """
+    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    return pages.repartition(max(pages.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), PAGE)
+
+
 def tokens(pages: DataFrame, keep: Sequence[str] = ("product_id", "url"), html: str = "html") -> DataFrame:
     """``_page``, ``pos``, ``name``, ``delta`` (1 start tag, -1 end tag, 0 text), ``text`` of every token outside noise.
 
@@ -86,6 +99,7 @@ def tokens(pages: DataFrame, keep: Sequence[str] = ("product_id", "url"), html:
     footers and headers. The first token of a page stays, without a name and text if it is noise, so that every page has a row.
     """
     numbered = pages.select(F.struct(F.monotonically_increasing_id().alias("id"), *[F.col(f"`{c}`") for c in keep]).alias(PAGE), F.col(html).alias("html"))
+    numbered = _by_page(numbered)
     cut = numbered.select(PAGE, F.posexplode_outer(F.regexp_extract_all("html", F.lit(_TOKEN), F.lit(0))).alias("at", "token")).withColumn(
         "pos", F.coalesce("at", F.lit(0)))
     token = F.coalesce("token", F.lit("<!"))
@@ -128,23 +142,24 @@ def page_texts(found: DataFrame) -> DataFrame:
     return texts.select(PAGE, F.when(F.col("main").isNotNull(), F.col("in_main")).when(F.col("body") == 1, F.col("in_body")).otherwise(F.col("in_page")).alias("text"))
 
 
-def headings(found: DataFrame) -> DataFrame:
-    """``_page``, ``pos``, ``heading`` of every heading with a text."""
+def with_headings(found: DataFrame) -> DataFrame:
+    """Add ``heading``: the position of the heading that a token lies in, below zero or null outside of one."""
     named = F.col("name").isin(*HEADINGS)
     current = F.last(F.when(named & (F.col("delta") == 1), F.col("pos")).when(named, F.lit(-1)), ignorenulls=True).over(_running(PAGE))
-    return found.withColumn("_in", current).filter("_in >= 0 and text <> ''").groupBy(PAGE, F.col("_in").alias("pos")).agg(joined().alias("heading"))
+    return found.withColumn("heading", current)
 
 
 def levels(found: DataFrame, container: str, parts: Mapping[str, tuple[Sequence[str], Sequence[str]]]) -> DataFrame:
-    """A row for each token inside ``container`` elements and each level of these that is open around it.
+    """A row for each token inside ``container`` elements and each level of these that is open around it, and one of level 0 for each text of a heading outside.
 
-    Adds ``depth`` (of the token), ``level`` (1 up to the depth), ``container`` (position of the element of that level) and, for every entry of ``parts``, the position
-    of the part of that level which is open, null if none. A part begins at a start tag of the first names and ends at its end tag, where the next begins, or at a
-    tag of the second names. Tags of a deeper level change nothing.
+    Adds ``heading`` (see ``with_headings``), ``depth`` (of the token), ``level`` (1 up to the depth), ``container`` (position of the element of that level) and, for every entry
+    of ``parts``, the position of the part of that level which is open, null if none. A part begins at a start tag of the first names and ends at its end tag, where the next
+    begins, or at a tag of the second names. Tags of a deeper level change nothing.
     """
-    deep = with_depths(found, {"depth": [container]}).filter((F.col("depth") > 0) & ~((F.col("name") == container) & (F.col("delta") == -1)))
+    deep = with_depths(with_headings(found), {"depth": [container]}).filter(
+        ((F.col("depth") > 0) & ~((F.col("name") == container) & (F.col("delta") == -1))) | ((F.col("heading") >= 0) & (F.col("text") != "")))
     starts = (F.col("name") == container) & (F.col("delta") == 1)
-    spread = deep.withColumn("level", F.explode(F.when(starts, F.array("depth")).otherwise(F.sequence(F.lit(1).cast("long"), F.col("depth")))))
+    spread = deep.withColumn("level", F.explode(F.when(starts | (F.col("depth") == 0), F.array("depth")).otherwise(F.sequence(F.lit(1).cast("long"), F.col("depth")))))
     over, own = _running(PAGE, "level"), F.col("level") == F.col("depth")
     columns = {"container": F.last(F.when(starts, F.col("pos")), ignorenulls=True).over(over)}
     for part, (begin, end) in parts.items():
@@ -158,12 +173,27 @@ def begins(names: Sequence[str]) -> Column:
     return F.col("name").isin(*names) & (F.col("delta") == 1)
 
 
-def with_section(items: DataFrame, found: DataFrame) -> DataFrame:
-    """Add ``section``: the nearest heading with a text that begins before ``container``, cut to 100 characters."""
-    heads = headings(found).select(PAGE, "pos", "heading", F.lit(None).cast("int").alias("container"))
-    starts = items.select(PAGE, F.col("container").alias("pos"), F.lit(None).cast("string").alias("heading"), "container").distinct()
-    before = heads.unionByName(starts).withColumn("section", F.left(F.last("heading", ignorenulls=True).over(_running(PAGE)), F.lit(100)))
-    return items.join(before.filter("container is not null").select(PAGE, "container", "section"), [PAGE, "container"])
+def parts_with_words(inside: DataFrame, names: Sequence[str], part: str, keep: Sequence[str]) -> DataFrame:
+    """A row per element of the ``names`` (by its start tag) with its text and ``starts``, and per heading with a text: ``_page``, ``key``, ``words``, ``starts``, ``titled``.
+
+    ``key`` is the position of the start tag. Texts belong to the open ``part`` and to their heading. ``starts`` has ``name`` and the columns ``keep`` for every level of the element.
+    """
+    has_text, start = F.col("text") != "", begins(names) & (F.col("level") > 0)
+    keys = F.array_compact(F.array(
+        F.when(start, F.col("pos")), F.when(has_text & (F.col(part) >= 0), F.col(part)),
+        F.when(has_text & (F.col("heading") >= 0) & (F.col("level") == F.col("depth")), F.col("heading"))))
+    return inside.withColumn("key", F.explode(keys)).groupBy(PAGE, "key").agg(
+        joined().alias("words"), F.collect_list(F.when(start, F.struct("name", *keep))).alias("starts"),
+        F.max(has_text & F.coalesce(F.col("key") == F.col("heading"), F.lit(False))).alias("titled"))
+
+
+def with_section(items: DataFrame) -> DataFrame:
+    """Add ``section``: the nearest heading with a text that begins before ``container``, cut to 100 characters.
+
+    ``items`` holds the headings as well: rows with a ``title`` and its place ``at``, without a container. They are dropped.
+    """
+    over = Window.partitionBy(PAGE).orderBy(F.coalesce("container", "at"))
+    return items.withColumn("section", F.left(F.last("title", ignorenulls=True).over(over), F.lit(100))).filter("container is not null").drop("title", "at")
 
 
 TABLE_PARTS = {"row": (["tr"], ["tbody", "thead", "tfoot"]), "cell": (["td", "th"], ["tr", "tbody", "thead", "tfoot"]),
@@ -175,26 +205,29 @@ def tables(found: DataFrame) -> DataFrame:
 
     A table holds the rows of the tables inside it as well, and a row the cells inside its cells, each with the text of all it contains. Headers are the
     cells of the first ``thead``, whose rows count as data too, or else of the first row. Tables need two rows.
+
+    Tokens become cells, cells become rows and heads, and these are seen table by table. Each step groups what the step before gave by more than the page, so
+    nothing is joined, and nothing is shuffled once the tokens are with their page.
     """
     inside = levels(found, "table", TABLE_PARTS)
-    texts = inside.filter("cell >= 0 and text <> ''").groupBy(PAGE, "cell").agg(joined().alias("words"))
-    cells = inside.filter(begins(["td", "th"])).select(PAGE, F.col("pos").alias("cell"), "row", "head").join(texts, [PAGE, "cell"], "left").select(
-        PAGE, "row", "head", F.struct("cell", F.coalesce("words", F.lit("")).alias("text")).alias("c"))
-
-    def gathered(part: str) -> DataFrame:
-        lists = cells.filter(F.col(part) >= 0).groupBy(PAGE, part).agg(F.transform(F.array_sort(F.collect_list("c")), lambda x: x["text"]).alias("cells"))
-        return lists.select(PAGE, part, "cells")
-
-    rows = inside.filter(begins(["tr"])).groupBy(PAGE, "container").agg(F.array_sort(F.collect_list("pos")).alias("rows"))
-    heads = inside.filter(begins(["thead"])).groupBy(PAGE, "container").agg(F.min("pos").alias("head"))
-    of_row = gathered("row")
-    kept = rows.filter(F.size("rows") >= 2).join(heads, [PAGE, "container"], "left")
-    first = kept.select(PAGE, "container", "head", "rows", F.col("rows")[0].alias("row")).join(of_row, [PAGE, "row"], "left").join(
-        gathered("head").withColumnRenamed("cells", "head_cells"), [PAGE, "head"], "left")
-    headed = first.select(
-        PAGE, "container", F.coalesce(F.when(F.col("head").isNotNull(), F.col("head_cells")).otherwise(F.col("cells")), F.array().cast("array<string>")).alias("headers"),
-        F.explode(F.when(F.col("head").isNotNull(), F.col("rows")).otherwise(F.slice("rows", 2, F.size("rows")))).alias("row"))
-    return with_section(headed.join(of_row, [PAGE, "row"]), found)
+    words = parts_with_words(inside, ["td", "th", "tr", "thead"], "cell", ["container", "row", "head"])
+    starts = words.select(PAGE, "key", "words", "titled", F.explode_outer("starts").alias("s"))
+    is_cell = F.col("s.name").isin("td", "th")
+    held = F.array_compact(F.array(*[F.when(F.col(f"s.{c}") >= 0, F.col(f"s.{c}")) for c in ("row", "head")]))
+    lists = starts.select(PAGE, F.explode(F.when(is_cell, held).otherwise(F.array("key"))).alias("at"), F.when(is_cell, F.struct("key", "words")).alias("cell"),
+                          F.when(~is_cell, F.col("s.container")).alias("container"), (F.col("s.name") == "thead").alias("is_head"), F.when(F.col("titled"), F.col("words")).alias("title"))
+    gathered = lists.groupBy(PAGE, "at").agg(
+        F.transform(F.array_sort(F.collect_list("cell")), lambda c: c["words"]).alias("cells"), F.collect_list("container").alias("containers"),
+        F.coalesce(F.max("is_head"), F.lit(False)).alias("is_head"), F.max("title").alias("title"))
+    placed = gathered.select(PAGE, "at", "cells", "is_head", "title", F.explode_outer("containers").alias("container"))
+    over = Window.partitionBy(PAGE, "container")
+    row, head = F.when(~F.col("is_head"), F.col("at")), F.when(F.col("is_head"), F.col("at"))
+    seen = placed.select(
+        "*", F.count(row).over(over).alias("_rows"), F.min(row).over(over).alias("_first"), F.min(head).over(over).alias("_head"),
+        F.when(F.min(head).over(over).isNotNull(), F.min_by("cells", head).over(over)).otherwise(F.min_by("cells", row).over(over)).alias("headers"))
+    data = ~F.col("is_head") & (F.col("_rows") >= 2) & (F.size("cells") > 0) & (F.col("_head").isNotNull() | (F.col("at") > F.col("_first")))
+    return with_section(seen.filter(F.col("container").isNull() | data).withColumn("row", F.col("at"))).select(
+        PAGE, "container", "row", "section", "headers", "cells")
 
 
 def definition_lists(found: DataFrame) -> DataFrame:
@@ -202,10 +235,10 @@ def definition_lists(found: DataFrame) -> DataFrame:
 
     The i-th term goes with the i-th definition. A list holds the entries of the lists inside it as well.
     """
-    inside = levels(found, "dl", {"entry": (["dt", "dd"], [])})
-    texts = inside.filter("entry >= 0 and text <> ''").groupBy(PAGE, "entry").agg(joined().alias("words"))
-    entries = inside.filter(begins(["dt", "dd"])).select(PAGE, "container", "name", F.col("pos").alias("entry")).join(texts, [PAGE, "entry"], "left")
-    numbered = entries.withColumn("i", F.row_number().over(Window.partitionBy(PAGE, "container", "name").orderBy("entry")) - 1)
+    words = parts_with_words(levels(found, "dl", {"entry": (["dt", "dd"], [])}), ["dt", "dd"], "entry", ["container"])
+    entries = words.select(PAGE, "key", "words", "titled", F.explode_outer("starts").alias("s")).select(PAGE, "key", "words", "titled", "s.*")
+    numbered = entries.withColumn("i", F.row_number().over(Window.partitionBy(PAGE, "container", "name").orderBy("key")) - 1)
     pairs = numbered.groupBy(PAGE, "container", "i").agg(
-        *[F.max(F.when(F.col("name") == n, F.coalesce("words", F.lit("")))).alias(c) for n, c in (("dt", "term"), ("dd", "definition"))])
-    return with_section(pairs.filter("term is not null and definition is not null"), found)
+        *[F.max(F.when(F.col("name") == n, F.col("words"))).alias(c) for n, c in (("dt", "term"), ("dd", "definition"))],
+        F.max(F.when(F.col("titled"), F.col("words"))).alias("title"), F.max("key").alias("at"))
+    return with_section(pairs.filter("container is null or (term is not null and definition is not null)"))

@@ -275,3 +275,11 @@ def test_global_facts_reach_every_product(spark):
     products = spark.createDataFrame([("P1",), ("P2",)], "product_id string")
     rows = stored.collect_sources([own], products, shared).groupBy("product_id").agg(F.sum("n_copies").alias("n")).collect()
     assert {r["product_id"]: r["n"] for r in rows} == {"P1": 5, "P2": 4}
+
+
+def test_tokens_are_shuffled_once(spark):
+    """Tables and lists are read from tokens without a join: one shuffle brings the pages together, none follows."""
+    tokens = html.html_tokens(pages(spark))
+    for df in (html.html_table_specs(tokens), html.html_dl_specs(tokens)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
