@@ -300,3 +300,15 @@ def test_documents_have_bounded_lines(spark, demo, monkeypatch):
     assert {e["field"] for s, e in entries if s == "conflicts"} == {"rated_power", "rated_current"}
     conflict = next(e for s, e in entries if s == "conflicts" and e["field"] == "rated_current")
     assert (conflict["value_a"], conflict["value_b"], conflict["ref_a"]["source_type"], conflict["ref_b"]["page"] if "page" in conflict["ref_b"] else None) == (2.34, 7.22, "pdf", None)
+
+
+def test_documents_are_stored_packed(spark, demo, tmp_path):
+    import os
+
+    from specledger.sinks import delivery
+
+    documents = delivery.product_documents(demo.fields, demo.products, demo.normalized, demo.pairs, demo.unmapped).select("document").crossJoin(spark.range(200)).coalesce(1)
+    delivery.write_products(documents, path := str(tmp_path / "documents"))
+    want = sorted(r["document"] for r in documents.collect())
+    assert sorted(r["value"] for r in spark.read.text(path).collect()) == want
+    assert sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.startswith("part")) < sum(map(len, want)) / 5
