@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from specledger import dims
 from specledger.functions.text import location_text, source_display
 from specledger.operators.normalize import KEYS
-from specledger.operators.signals import match_signal
+from specledger.operators.signals import SignalIndex, match_indexed, signal_index
 
 CATEGORY = "Industrial Electric Motor"
 # --- fixed values: wide columns of the product list by field ---
@@ -129,11 +129,17 @@ def latest_resolutions(log: DataFrame, key: str = "review_id", order: tuple[str,
     return log.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(key, "r.*")
 
 
-def attach_product(new: DataFrame, products: DataFrame) -> DataFrame:
-    """Product of a resolution: the first product id contained in its review id, '' when there is none."""
+def product_index(products: DataFrame) -> SignalIndex:
+    """Product ids prepared for ``attach_product``, for callers that add to a log more than once."""
     ids = products.select(F.lit(0).alias("entry_pos"), F.lit(0).alias("signal_pos"), F.col("product_id").alias("signal"),
                           *[F.lit("").alias(c) for c in ("canonical_manufacturer", "canonical_brand", "trade_name")])
-    found = match_signal(new.drop("product_id"), "review_id", ids, ignore_case=False, placeholders=False)
+    return signal_index(ids, ignore_case=False)
+
+
+def attach_product(new: DataFrame, products: DataFrame | SignalIndex) -> DataFrame:
+    """Product of a resolution: the first product id contained in its review id, '' when there is none."""
+    index = products if isinstance(products, SignalIndex) else product_index(products)
+    found = match_indexed(new.drop("product_id"), "review_id", index, ignore_case=False, placeholders=False)
     return found.withColumn("product_id", F.coalesce("m.signal", F.lit(""))).drop("m")
 
 
@@ -153,7 +159,7 @@ def _write_log(entries: DataFrame, path: str, mode: str) -> None:
     entries.withColumn("bucket", bucket).repartition("bucket", spread).write.mode(mode).partitionBy("bucket").parquet(path)
 
 
-def append_resolutions(new: DataFrame, products: DataFrame, path: str) -> None:
+def append_resolutions(new: DataFrame, products: DataFrame | SignalIndex, path: str) -> None:
     """Add answers to a stored log, with their product. Nothing is read or rewritten, so several writers may add at once."""
     known = new.drop("product_id") if "product_id" in new.columns else new
     _write_log(attach_product(known.withColumn("product_id", F.lit(None).cast("string")), products), path, "append")

@@ -53,10 +53,13 @@ def signals(dictionary: DataFrame) -> DataFrame:
 
 @dataclass
 class SignalIndex:
-    """A dictionary prepared for matching: its first entry by signal, and the value that goes to the tasks."""
+    """A dictionary prepared for matching: its first entry by signal, and what goes to the tasks: two tables of ``words`` words and the lengths of its signals."""
 
     first: DataFrame
-    probe: Column
+    heads: Column
+    wholes: Column
+    lengths: list[int]
+    words: int
     inline: bool
 
 
@@ -84,39 +87,48 @@ def signal_index(dictionary: DataFrame, ignore_case: bool = True, inline_bytes:
     # Signals shorter than MIN_CONTAINED have no head: they match whole texts only.
     heads = table(f"left(low, {MIN_CONTAINED})", first.filter(F.length("low") >= MIN_CONTAINED), *bits)
     wholes = table("low", first, *((F.collect_list("m"), F.array().cast(T.ArrayType(SIGNAL))) if inline else bits))
-    lengths = F.lit([n for n in size["lengths"] if n >= MIN_CONTAINED]).cast("array<int>")
-    return SignalIndex(first, F.struct(heads.alias("heads"), wholes.alias("wholes"), lengths.alias("lengths")), inline)
+    lengths = [n for n in size["lengths"] if n >= MIN_CONTAINED]
+    return SignalIndex(first, heads, wholes, lengths, words, inline)
 
 
-def _word(table: str, text: str) -> str:
-    return f"{table}[cast(shiftrightunsigned(xxhash64({text}), 6) & (size({table}) - 1) as int)]"
+# In these expressions a table is named once: then the optimiser puts the table itself in the place of its column, which a row would carry as a copy of up to
+# ``INLINE_BYTES`` (see ``match_columns``).
 
+def _word(table: str, text: str, index: SignalIndex) -> str:
+    return f"{table}[cast(shiftrightunsigned(xxhash64({text}), 6) & {index.words - 1} as int)]"
 
-def _bit(table: str, text: str) -> str:
-    return f"(shiftright({_word(table, text)}, cast(xxhash64({text}) & 63 as int)) & 1L) = 1L"
 
+def _bit(table: str, text: str, index: SignalIndex) -> str:
+    return f"(shiftright({_word(table, text, index)}, cast(xxhash64({text}) & 63 as int)) & 1L) = 1L"
 
-def _parts(low: str, probe: str) -> str:
+
+def _parts(low: str, heads: str, index: SignalIndex) -> str:
     """A lower-case text, and its substrings of the lengths of signals where the head of a signal may be."""
+    lengths = f"cast(array({', '.join(map(str, index.lengths))}) as array<int>)"
     places = (f"filter(case when length({low}) >= {MIN_CONTAINED} then sequence(1, length({low}) - {MIN_CONTAINED - 1}) else cast(array() as array<int>) end,"
-              f" i -> {_bit(f'{probe}.heads', f'substr({low}, i, {MIN_CONTAINED})')})")
-    return f"concat(array({low}), flatten(transform({places}, i -> transform(filter({probe}.lengths, n -> i + n <= length({low}) + 1), n -> substr({low}, i, n)))))"
+              f" i -> {_bit(heads, f'substr({low}, i, {MIN_CONTAINED})', index)})")
+    return f"concat(array({low}), flatten(transform({places}, i -> transform(filter({lengths}, n -> i + n <= length({low}) + 1), n -> substr({low}, i, n)))))"
 
 
-def likely_signals(low: str, probe: str) -> Column:
+def likely_signals(low: str, heads: str, wholes: str, index: SignalIndex) -> Column:
     """Substrings that pass both tests: all signals in a text, and few others."""
-    return F.expr(f"array_distinct(filter({_parts(low, probe)}, s -> {_bit(f'{probe}.wholes', 's')}))")
+    return F.expr(f"array_distinct(filter({_parts(low, heads, index)}, s -> {_bit(wholes, 's', index)}))")
 
 
-def first_signal(low: str, probe: str) -> Column:
+def first_signal(low: str, heads: str, wholes: str, index: SignalIndex) -> Column:
     """The first signal of the dictionary in a text, with its entry."""
-    return F.expr(f"array_min(flatten(transform({_parts(low, probe)}, s -> filter({_word(f'{probe}.wholes', 's')}, m -> m.low = s))))")
+    return F.expr(f"array_min(flatten(transform({_parts(low, heads, index)}, s -> filter({_word(wholes, 's', index)}, m -> m.low = s))))")
+
 
+def match_columns(rows: DataFrame, texts: dict[str, Column], index: SignalIndex, find: Callable[[str, str, str, SignalIndex], Column]) -> DataFrame:
+    """Add a column for each lower-case text, found by one of the functions above. A null text gives null.
 
-def match_columns(rows: DataFrame, texts: dict[str, Column], index: SignalIndex, find: Callable[[str, str], Column]) -> DataFrame:
-    """Add a column for each lower-case text, found by one of the functions above. A null text gives null."""
-    low = once(rows, {f"_low_{n}": t for n, t in texts.items()} | {"_probe": index.probe})
-    return once(low, {n: F.when(F.col(f"_low_{n}").isNotNull(), find(f"_low_{n}", "_probe")) for n in texts}).drop("_probe", *[f"_low_{n}" for n in texts])
+    Each text has columns of its own for the tables, so that each of these is used once and never becomes part of a row.
+    """
+    low = once(rows, {f"_low_{n}": t for n, t in texts.items()})
+    tables = {f"_{t}_{n}": c for n in texts for t, c in (("heads", index.heads), ("wholes", index.wholes))}
+    found = {n: F.when(F.col(f"_low_{n}").isNotNull(), find(f"_low_{n}", f"_heads_{n}", f"_wholes_{n}", index)) for n in texts}
+    return once(low.withColumns(tables), found).drop(*tables, *[f"_low_{n}" for n in texts])
 
 
 def match_texts(texts: DataFrame, index: SignalIndex, low: Column) -> tuple[DataFrame, DataFrame]:
@@ -133,7 +145,11 @@ def match_signal(df: DataFrame, text: str, dictionary: DataFrame, ignore_case: b
 
     Texts are trimmed, and those that stand for nothing are null, unless ``placeholders`` is false.
     """
-    index = signal_index(dictionary, ignore_case, inline_bytes)
+    return match_indexed(df, text, signal_index(dictionary, ignore_case, inline_bytes), ignore_case, placeholders)
+
+
+def match_indexed(df: DataFrame, text: str, index: SignalIndex, ignore_case: bool = True, placeholders: bool = True) -> DataFrame:
+    """``match_signal`` with a prepared dictionary, for several tables of texts. ``ignore_case`` is that of the index."""
     own = clean_string(F.col(text)) if placeholders else F.col(text)
     if index.inline:
         return match_columns(df, {"m": F.lower(own) if ignore_case else own}, index, first_signal)

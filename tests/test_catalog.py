@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +120,19 @@ def test_only_likely_texts_leave_their_task(spark):
     assert found <= likely.count() < found + 0.5 * frame.count()
 
 
+@pytest.mark.parametrize("inline_bytes, find", [(0, signals.likely_signals), (1 << 30, signals.first_signal)])
+def test_dictionary_tables_are_not_in_rows(spark, inline_bytes, find):
+    """A row that carries a table of the dictionary is a copy of it per text."""
+    dictionary = spark.createDataFrame([(i, f"sig-{i}", "m", "b", 0, "") for i in range(500)],
+                                       "entry_pos long, signal string, canonical_manufacturer string, canonical_brand string, signal_pos int, trade_name string")
+    frame = spark.createDataFrame([(f"a sig-{i}", f"sig-{i} b") for i in range(0, 1000, 100)], "a string, b string")
+    found = signals.match_columns(frame, {"x": F.col("a"), "y": F.col("b")}, signals.signal_index(dictionary, inline_bytes=inline_bytes), find)
+    widths = [r["w"] for r in found.filter("x is not null and y is not null").select(F.size(F.array("x", "y")).alias("w")).collect()]
+    assert len(widths) == 10
+    plan = found.filter("x is not null and y is not null")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search("_(heads|wholes|probe)", plan)
+
+
 def test_raw_rows(spark):
     raw = spark.createDataFrame([(1, " A ", None, "-- Unbranded --", "-", " TREX ", "N/A")],
                                 "row_id long, Mfg_Part_Num string, Part_Desc string, E1_Brand string, Unilog_Brand string, DIB_Brand string, Part_Manuf string")
