@@ -129,3 +129,16 @@ def test_files_of_stage_tables_are_bounded(spark, monkeypatch):
     sizes = inputs.track(spark, SF).normalized.groupBy("_metadata.file_path").count().collect()
     inputs.reset()
     assert len(sizes) > 1 and max(r["count"] for r in sizes) <= 100
+
+
+@tables
+def test_nested_details_are_gathered_once(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("region", "part", "lineitem"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = entry.queries()["product_details_nested"](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Aggregate" in line and "collect_list" in line for line in plan.splitlines()) == 1
+    want = con.sql(entry.oracle_sql()["product_details_nested"]).fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in df.collect())
